@@ -19,6 +19,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_spans(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    from strandline.llm.licenses import license_scan
+
+    return license_scan(_read(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.85 or more."""
     from strandline.llm.near_dedup import near_duplicates
@@ -26,6 +33,27 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op4_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from strandline.llm.html_text import page_texts
+
+    return page_texts(_read(spark, sf_dir, "pages"))
+
+
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate passages of all documents."""
+    from strandline.llm.passages import repeated_passages
+
+    return repeated_passages(_read(spark, sf_dir, "documents"))
+
+
+def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 400-byte strings that occur elsewhere."""
+    from strandline.llm.repeated_bytes import repeated_bytes
+
+    return repeated_bytes(_read(spark, sf_dir, "documents"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document for the target mix of sources."""
     from strandline.llm.mixing import mix
@@ -44,6 +72,13 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    from strandline.llm.quality_model import quality_scores
+
+    return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts, n-gram likelihood ratio and verdict of every document."""
     from strandline.llm.quality_rules import quality_rules
@@ -52,6 +87,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op3_near_dedup, op7_mix, op8_secrets, op10_quality_rules)
-}
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_licenses, op3_near_dedup, op4_page_texts, op5_passages,
+        op6_repeated_bytes, op7_mix, op8_secrets, op9_quality, op10_quality_rules,
+    )
+}
 SQL: dict[str, str] = {}
