@@ -3,13 +3,13 @@
 Each distinct shingle has one 52-bit hash. Its top 7 bits choose one of 128 buckets; of the smallest
 rest in a bucket a 16-bit register keeps the count of leading zeros and 10 mantissa bits. Four
 registers, packed into 64 bits, are a band. Documents that share a band are candidates; the
-collision-corrected estimate drops those that are far below the threshold (six deviations), and the
+collision-corrected estimate drops those that are far below the threshold (five deviations), and the
 full shingle sets decide about the rest.
 
 Scale. Equal sets collapse to one class first, with partial aggregation, so a group of exact copies of
 any size is one row from there on. Within a band every class is compared with the smallest one (a
-star, linear in the band). Only bands that still hold several components afterwards are compared
-across those components. With 32 bands of 4 a pair at the threshold is missed with odds of about 1e-10.
+star, linear in the band), then with 8 and 32 more; only what still is apart in a band is compared
+across its components. With 32 bands of 4 a pair at the threshold is missed with odds of about 1e-10.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from strandline.llm.shared import components, is_empty, settle
 
 HASH_BITS, BUCKET_BITS, MANTISSA, BAND = 52, 7, 10, 4
 BUCKETS = 1 << BUCKET_BITS
+#: Members of a band that the others are compared with, by round, after the smallest one.
+PIVOTS = (8, 32)
 U = np.uint64
 
 
@@ -111,7 +113,7 @@ def _likely(least: float):
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("rx", "ry"))
             j, used = estimate(x, y, batch.column("nx").to_numpy(), batch.column("ny").to_numpy())
-            keep = j >= least - 6 * np.sqrt(least * (1 - least) / np.maximum(used, 1))
+            keep = j >= least - 5 * np.sqrt(least * (1 - least) / np.maximum(used, 1))
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -166,21 +168,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         both = both.withColumn("common", F.size(F.array_intersect("sx", "sy")))
         return both.filter(f"100 * common >= {percent} * (size(sx) + size(sy) - common)").select("a", "b")
 
-    tried = members.filter("class_id <> least").select(F.col("class_id").alias("a"), F.col("least").alias("b")).distinct()
+    tried = settle(members.filter("class_id <> least").select(F.col("class_id").alias("a"), F.col("least").alias("b")).distinct())
     edges = settle(confirmed(tried))
     of = components(edges) if not is_empty(edges) else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
-    # what the star of a band left apart is compared across components
-    named = members.select("class_id", "band").join(of.withColumnRenamed("node", "class_id"), "class_id", "left")
-    named = named.withColumn("component", F.coalesce("component", "class_id"))
-    named = named.withColumn("lo", F.min("component").over(band)).withColumn("hi", F.max("component").over(band)).filter("lo <> hi")
-    open_bands = settle(named.select("class_id", "band", "component"))
-    if not is_empty(open_bands):
-        x, y = open_bands.select("band", F.col("class_id").alias("a"), F.col("component").alias("ca")), open_bands.select("band", F.col("class_id").alias("b"), F.col("component").alias("cb"))
-        across = x.join(y, "band").filter("ca > cb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        more = settle(confirmed(across.join(tried, ["a", "b"], "left_anti")))
+    # what the star of a band left apart is compared with a few more members of the band, the same ones
+    # in every band, and only what that leaves apart with every member of another component
+    for pivots in (*PIVOTS, None):
+        named = members.select("class_id", "band").join(of.withColumnRenamed("node", "class_id"), "class_id", "left")
+        named = named.withColumn("component", F.coalesce("component", "class_id"))
+        named = named.withColumn("lo", F.min("component").over(band)).withColumn("hi", F.max("component").over(band)).filter("lo <> hi")
+        named = named.withColumn("place", F.row_number().over(band.orderBy(F.xxhash64("class_id"), "class_id")))
+        apart = settle(named.select("class_id", "band", "component", "place"))
+        if is_empty(apart):
+            break
+        x, y = (apart.select("band", F.col("class_id").alias(i), F.col("component").alias(f"c{i}"), F.col("place").alias(f"p{i}")) for i in "ab")
+        pairs = x.join(y.filter(f"pb <= {pivots}"), "band").filter("ca <> cb") if pivots else x.join(y, "band").filter("ca > cb")
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"))
+        more = settle(confirmed(pairs))
+        tried = tried.unionByName(pairs)
         if not is_empty(more):
-            of = components(edges.unionByName(more))
+            of = components(more.unionByName(of.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     grouped = classes.select(*text_key, "class_id").join(of.withColumnRenamed("node", "class_id"), "class_id", "left")
     grouped = grouped.select(*text_key, F.coalesce("component", "class_id").alias("component_id"))
     # the few columns below, not texts, are what this last join moves
