@@ -40,9 +40,9 @@ def targets(sizes: list[int], weights: Sequence[float] = (1, 2, 3), most: int =
 def subset_counts(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many of each length to take so that the words sum to ``budget`` or, failing that, to the most below it.
 
-    An equal share of every length leaves a rest of less than one document a length; whole documents,
-    longest first, cut that to less than the longest; a bounded-knapsack table of reachable sums, kept
-    as bits, places it. The table covers twice the longest length, whatever the budget.
+    An equal share of every length leaves a rest of some documents a length; whole documents,
+    longest first, cut that to about eight times the longest; a bounded-knapsack table of reachable sums,
+    kept as bits, places it. The table is that long whatever the budget.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget <= 0 or not total:
@@ -51,10 +51,11 @@ def subset_counts(lengths: list[int], counts: list[int], budget: int) -> list[in
         return list(counts)
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     longest = lengths[order[0]]
-    taken = [c * budget // total for c in counts]
+    spare = 8 * longest
+    taken = [c * max(0, budget - spare) // total for c in counts]
     rest = budget - sum(n * t for n, t in zip(lengths, taken, strict=True))
-    for i in order:  # but leave about twice the longest for the table
-        more = min(counts[i] - taken[i], max(0, rest - 2 * longest) // lengths[i]) if lengths[i] else 0
+    for i in order:
+        more = min(counts[i] - taken[i], max(0, rest - spare) // lengths[i]) if lengths[i] else 0
         taken[i] += more
         rest -= more * lengths[i]
     mask = (1 << (rest + 1)) - 1
