@@ -7,9 +7,10 @@ Documents that share a band are candidates; the collision-corrected estimate fro
 those that are far below the threshold (five deviations), and the full shingle sets decide about the rest.
 
 Scale. Equal sets collapse to one class first, with partial aggregation, so a group of exact copies of
-any size is one row from there on. Within a band every class is compared with the smallest one (a
-star, linear in the band), then with 8 and 32 more; only what still is apart in a band is compared
-across its components. A pair of similarity 0.85 is missed with odds of about 1e-9, one of 0.8 of about 1e-5.
+any size is one row from there on. Within a band every class is compared with the smallest one, its hub (a
+star, linear in the band). What that leaves apart is compared by what sets it off from the other members of the
+hub (``apart_pairs``), so texts that only resemble a large group are not compared with all of it.
+A pair of similarity 0.85 is missed with odds of about 1e-9, one of 0.8 of about 1e-5.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from strandline.llm.shared import components, is_empty, settle
 
 HASH_BITS, BUCKET_BITS, MANTISSA, BAND = 52, 8, 10, 8
 BUCKETS = 1 << BUCKET_BITS
-#: Members of a band that the others are compared with, by round, after the smallest one.
-PIVOTS = (8,)
 U = np.uint64
 
 
@@ -158,6 +157,45 @@ def _sets(k: int):
     return run
 
 
+def apart_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a > b, that may connect the rows of ``apart`` (hub, class_id, component) of one hub.
+
+    d(x) is what x has and the usual member of the hub has not, and the reverse; the usual member has
+    what more than half of them have. Two sets are similar enough exactly if their difference is at most c (|x| + |y|),
+    c = (100 - percent) / (100 + percent), so if 2 |d(x) & d(y)| >= w(x) + w(y), where w(x) = |d(x)| - c |x|.
+    Where w(x) + w(y) <= 0 both are linked with the member of the smallest w too, and so a star
+    is enough. Any other pair shares an element of d; from the first that it shares, the rarest first, both must have enough
+    elements left. Elements that only one member has come first and meet nothing.
+    """
+    sides = apart.join(sets.select(F.col("doc_id").alias("class_id"), F.col("shingles").alias("sx")), "class_id")
+    sides = sides.join(sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("sh")), "hub")
+    either = lambda p, q: F.concat(F.array_except(p, q), F.array_except(q, p))
+    sides = settle(sides.select("hub", "class_id", "component", F.size("sx").alias("n"), either("sx", "sh").alias("d")))
+
+    members = sides.groupBy("hub").agg(F.count("*").alias("members"))
+    held = sides.select("hub", F.explode("d").alias("e")).groupBy("hub", "e").agg(F.count("*").alias("held"))
+    usual = held.join(members, "hub").filter("2 * held > members").groupBy("hub").agg(F.collect_list("e").alias("usual"))
+    sides = sides.join(usual, "hub", "left").withColumn("d", F.when(F.col("usual").isNull(), F.col("d")).otherwise(either("d", "usual")))
+    # whole numbers: (100 + percent) * w
+    w = (100 + percent) * F.size("d").cast("long") - (100 - percent) * F.col("n")
+    sides = settle(sides.select("hub", "class_id", "component", "n", "d", w.alias("w")))
+
+    lows = sides.groupBy("hub").agg(F.min(F.struct("w", "class_id", "component")).alias("low"))
+    star = sides.join(lows, "hub").filter("w + low.w <= 0 AND component <> low.component")
+    star = star.select(F.col("class_id").alias("x"), F.col("low.class_id").alias("y"))
+
+    each = sides.select("hub", "class_id", "component", "n", "w", F.size("d").alias("m"), F.explode("d").alias("e"))
+    each = each.withColumn("held", F.count("*").over(Window.partitionBy("hub", "e")))
+    each = each.withColumn("left", F.col("m") + 1 - F.row_number().over(Window.partitionBy("hub", "class_id").orderBy("held", "e")))
+    # no partner in the hub has less than the smallest w
+    reach = each.filter("held > 1").join(lows.select("hub", F.col("low.w").alias("low")), "hub").filter(f"{2 * (100 + percent)} * left >= w + low")
+    reach = settle(reach.select("hub", "e", "class_id", "component", "n", "w", "left"))
+    x, y = (reach.select("hub", "e", *(F.col(c).alias(f"{c}_{i}") for c in ("class_id", "component", "n", "w", "left"))) for i in "xy")
+    fits = f"class_id_x > class_id_y AND component_x <> component_y AND w_x + w_y > 0 AND 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y) AND {2 * (100 + percent)} * least(left_x, left_y) >= w_x + w_y"
+    met = x.join(y, ["hub", "e"]).filter(fits).select(F.col("class_id_x").alias("x"), F.col("class_id_y").alias("y"))
+    return star.unionByName(met).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id integer, text).
 
@@ -199,22 +237,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     edges = settle(confirmed(tried))
     of = components(edges) if not is_empty(edges) else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
-    # what the star of a band left apart is compared with a few more members of the band, the same ones
-    # in every band, and only what that leaves apart with every member of another component
-    for pivots in (*PIVOTS, None):
-        named = members.select("class_id", "band").join(of.withColumnRenamed("node", "class_id"), "class_id", "left")
-        named = named.withColumn("component", F.coalesce("component", "class_id"))
-        named = named.withColumn("lo", F.min("component").over(band)).withColumn("hi", F.max("component").over(band)).filter("lo <> hi")
-        named = named.withColumn("place", F.row_number().over(band.orderBy(F.xxhash64("class_id"), "class_id")))
-        apart = settle(named.select("class_id", "band", "component", "place"))
-        if is_empty(apart):
-            break
-        x, y = (apart.select("band", F.col("class_id").alias(i), F.col("component").alias(f"c{i}"), F.col("place").alias(f"p{i}")) for i in "ab")
-        pairs = x.join(y.filter(f"pb <= {pivots}"), "band").filter("ca <> cb") if pivots else x.join(y, "band").filter("ca > cb")
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"))
+    named = members.select("class_id", "band", "least").join(of.withColumnRenamed("node", "class_id"), "class_id", "left")
+    named = named.withColumn("component", F.coalesce("component", "class_id"))
+    named = named.withColumn("lo", F.min("component").over(band)).withColumn("hi", F.max("component").over(band))
+    apart = settle(named.filter("lo <> hi AND class_id <> least").select(F.col("least").alias("hub"), "class_id", "component").distinct())
+    if not is_empty(apart):
+        ids = apart.select(F.col("class_id").alias("doc_id")).union(apart.select("hub")).distinct()
+        full = settle(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, shingles array<long>"))
+        pairs = settle(apart_pairs(apart, full, percent).join(tried, ["a", "b"], "left_anti"))
         more = settle(confirmed(pairs))
-        tried = tried.unionByName(pairs)
         if not is_empty(more):
             of = components(more.unionByName(of.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     grouped = classes.select(*text_key, "class_id").join(of.withColumnRenamed("node", "class_id"), "class_id", "left")

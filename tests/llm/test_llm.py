@@ -63,6 +63,32 @@ def test_near_duplicates(docs, rows, k, percent):
     assert near_dedup.near_duplicates(docs.limit(0), k, percent).count() == 0
 
 
+def test_near_duplicates_of_a_large_group_that_is_partly_linked(spark):
+    r = random.Random(6)
+    base = text(r, 150).split(" ")
+    rows = []
+    for i in range(150):
+        share = r.choice((0.005, 0.01, 0.02, 0.03, 0.05))
+        rows.append((i, " ".join(w if r.random() > share else word(r) + "x" for w in base)))
+    sets = {i: shingles(t, 3) for i, t in rows}
+    up = dict(zip(sets, sets, strict=True))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    want = {i: top(i) for i in sets}
+    assert 5 < len(set(want.values())) < 140
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {g.doc_id: g.component_id for g in got} == want
+
+
 def test_quality_rules(spark, docs, rows):
     target = spark.createDataFrame([(i,) for i in range(30)], "doc_id long")
     got = Counter((g.doc_id, g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed) for g in quality_rules.quality_rules(docs, target).collect())
