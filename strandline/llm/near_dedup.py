@@ -8,7 +8,8 @@ those that are far below the threshold (five deviations), and the full shingle s
 
 Scale. Equal sets collapse to one class first, with partial aggregation, so a group of exact copies of
 any size is one row from there on. Within a band every class is compared with the smallest one, its hub (a
-star, linear in the band). What that leaves apart is compared by what sets it off from the other members of the
+star, linear in the band). The texts are fetched once, compressed, and meet their hub in runs of at most about
+``MEMBERS`` of its members, so no hub is too large for a task. What that leaves apart is compared by what sets it off from the other members of the
 hub (``apart_pairs``), so texts that only resemble a large group are not compared with all of it.
 A pair of similarity 0.85 is missed with odds of about 1e-9, one of 0.8 of about 1e-5.
 """
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,33 +147,69 @@ def _likely(least: float):
     return run
 
 
-def _sets(k: int):
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    z = zstandard.ZstdCompressor()
+    for batch in batches:
+        for at in range(0, len(batch), 512):
+            part = batch.slice(at, 512)
+            packed = [z.compress((t or "").encode()) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+
+
+#: Members of a hub that meet it in one run.
+MEMBERS = 4096
+
+
+def _compared(k: int, percent: int):
+    """Rows (hub, part, doc_id, near, packed) in that order, the hub first of each part: every member against its hub."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        before, base = None, np.zeros(0, U)
         for batch in batches:
-            for a, b, data, off in K.chunks(batch.column(1)):
-                key = shingle_sets(data, off, k)
-                at = np.searchsorted(key, np.arange(b - a + 1, dtype=np.uint64) << U(HASH_BITS))
-                h = (key & U((1 << HASH_BITS) - 1)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h))], ["doc_id", "shingles"])
+            for at in range(0, len(batch), 256):
+                rows = batch.slice(at, 256)
+                hub, part, ids, near = (rows.column(c).to_pylist() for c in ("hub", "part", "doc_id", "near"))
+                texts = pa.array([z.decompress(p) for p in rows.column("packed").to_pylist()], pa.large_binary()).cast(pa.large_string())
+                out: list[tuple] = []
+                apart = []
+                for a, b, data, off in K.chunks(texts):
+                    key = shingle_sets(data, off, k)
+                    cut = np.searchsorted(key, np.arange(b - a + 1, dtype=np.uint64) << U(HASH_BITS))
+                    h = key & U((1 << HASH_BITS) - 1)
+                    for r in range(a, b):
+                        own = h[cut[r - a] : cut[r - a + 1]]
+                        same, before = before == (hub[r], part[r], ids[r]), (hub[r], part[r], ids[r])
+                        if same:  # another row of the doc_id
+                            continue
+                        if ids[r] == hub[r]:
+                            base = own.copy()
+                            continue
+                        d = np.setxor1d(own, base, assume_unique=True)
+                        common = (len(own) + len(base) - len(d)) // 2
+                        out.append((hub[r], ids[r], len(own), bool(near[r]) and 100 * common >= percent * (common + len(d))))
+                        apart.append(d)
+                if out:
+                    hubs, members, n, linked = zip(*out, strict=True)
+                    cut = np.concatenate([[0], np.cumsum([len(d) for d in apart])])
+                    lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(apart).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(hubs), pa.array(members), pa.array(n, pa.int64()), pa.array(linked), lists], ["hub", "class_id", "n", "linked", "d"])
 
     return run
 
 
-def apart_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b), a > b, that may connect the rows of ``apart`` (hub, class_id, component) of one hub.
+def apart_pairs(sides: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a > b, that connect the rows of ``sides`` (hub, class_id, component, n, d) of one hub.
 
-    d(x) is what x has and the usual member of the hub has not, and the reverse; the usual member has
-    what more than half of them have. Two sets are similar enough exactly if their difference is at most c (|x| + |y|),
+    d(x) is what x has and the hub has not, and the reverse, then likewise of the usual member of the hub, which
+    has what more than half of them have. Two sets are similar enough exactly if their difference is at most c (|x| + |y|),
     c = (100 - percent) / (100 + percent), so if 2 |d(x) & d(y)| >= w(x) + w(y), where w(x) = |d(x)| - c |x|.
     Where w(x) + w(y) <= 0 both are linked with the member of the smallest w too, and so a star
     is enough. Any other pair shares an element of d; from the first that it shares, the rarest first, both must have enough
-    elements left. Elements that only one member has come first and meet nothing.
+    elements left. Elements that only one member has come first and meet nothing. The pairs that
+    meet are decided by their whole d.
     """
-    sides = apart.join(sets.select(F.col("doc_id").alias("class_id"), F.col("shingles").alias("sx")), "class_id")
-    sides = sides.join(sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("sh")), "hub")
     either = lambda p, q: F.concat(F.array_except(p, q), F.array_except(q, p))
-    sides = settle(sides.select("hub", "class_id", "component", F.size("sx").alias("n"), either("sx", "sh").alias("d")))
-
     members = sides.groupBy("hub").agg(F.count("*").alias("members"))
     held = sides.select("hub", F.explode("d").alias("e")).groupBy("hub", "e").agg(F.count("*").alias("held"))
     usual = held.join(members, "hub").filter("2 * held > members").groupBy("hub").agg(F.collect_list("e").alias("usual"))
@@ -192,7 +230,11 @@ def apart_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     reach = settle(reach.select("hub", "e", "class_id", "component", "n", "w", "left"))
     x, y = (reach.select("hub", "e", *(F.col(c).alias(f"{c}_{i}") for c in ("class_id", "component", "n", "w", "left"))) for i in "xy")
     fits = f"class_id_x > class_id_y AND component_x <> component_y AND w_x + w_y > 0 AND 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y) AND {2 * (100 + percent)} * least(left_x, left_y) >= w_x + w_y"
-    met = x.join(y, ["hub", "e"]).filter(fits).select(F.col("class_id_x").alias("x"), F.col("class_id_y").alias("y"))
+    met = settle(x.join(y, ["hub", "e"]).filter(fits).select("hub", "class_id_x", "class_id_y").distinct())
+    for i in "xy":
+        met = met.join(sides.select("hub", *(F.col(c).alias(f"{c}_{i}") for c in ("class_id", "d", "w"))), ["hub", f"class_id_{i}"])
+    met = met.filter(f"{2 * (100 + percent)} * size(array_intersect(d_x, d_y)) >= w_x + w_y")
+    met = met.select(F.col("class_id_x").alias("x"), F.col("class_id_y").alias("y"))
     return star.unionByName(met).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
@@ -210,31 +252,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sketches = settle(docs.mapInArrow(_sketch(shingle), "doc_id long, n long, f1 long, f2 long, reg binary"))
     text_key = ["f1", "f2", "n"]
     some = sketches.filter("n > 0 AND doc_id IS NOT NULL")
-    heads = some.groupBy(*text_key).agg(F.min("doc_id").alias("class_id"))
-    classes = settle(some.join(heads.withColumnRenamed("class_id", "doc_id"), [*text_key, "doc_id"], "left_semi").dropDuplicates(text_key).withColumnRenamed("doc_id", "class_id"))
+    heads = some.groupBy(*text_key).agg(F.min(F.struct("doc_id", "reg")).alias("head"))
+    classes = settle(heads.select(*text_key, F.col("head.doc_id").alias("class_id"), "head.reg"))
 
     band = Window.partitionBy("band")
     members = classes.select("class_id", "reg").mapInArrow(_bands, "class_id long, band long")
     members = members.withColumn("least", F.min("class_id").over(band)).withColumn("most", F.max("class_id").over(band))
     members = settle(members.filter("least <> most"))
 
-    sizes = classes.select("class_id", "n", "reg")
-    texts = docs.filter("doc_id IS NOT NULL")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of the distinct pairs (a, b) those whose full sets are similar enough."""
-        x, y = (sizes.select(F.col("class_id").alias(i), F.col("n").alias(f"n{j}"), F.col("reg").alias(f"r{j}")) for i, j in (("a", "x"), ("b", "y")))
-        near = pairs.join(x, "a").join(y, "b").filter(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-        near = settle(near.select("a", "b", "nx", "ny", "rx", "ry").mapInArrow(_likely(percent / 100), "a long, b long"))
-        ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-        full = settle(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, shingles array<long>"))
-        both = near.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sx")), "a")
-        both = both.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sy")), "b")
-        both = both.withColumn("common", F.size(F.array_intersect("sx", "sy")))
-        return both.filter(f"100 * common >= {percent} * (size(sx) + size(sy) - common)").select("a", "b")
-
     tried = settle(members.filter("class_id <> least").select(F.col("class_id").alias("a"), F.col("least").alias("b")).distinct())
-    edges = settle(confirmed(tried))
+    x, y = (classes.select(F.col("class_id").alias(i), F.col("n").alias(f"n{j}"), F.col("reg").alias(f"r{j}")) for i, j in (("a", "x"), ("b", "y")))
+    near = tried.join(x, "a").join(y, "b").filter(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+    near = settle(near.select("a", "b", "nx", "ny", "rx", "ry").mapInArrow(_likely(percent / 100), "a long, b long"))
+
+    parts = tried.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
+    runs = tried.join(near.distinct().withColumn("near", F.lit(True)), ["a", "b"], "left").join(parts, "b")
+    runs = runs.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), "parts").alias("part"), "near")
+    runs = settle(runs.unionByName(runs.select(F.col("hub").alias("doc_id"), "hub", "part", F.lit(None).cast("boolean").alias("near")).distinct()))
+    packed = docs.filter("doc_id IS NOT NULL").mapInArrow(_pack, "doc_id long, packed binary")
+    # the same join at every size: a third of all documents may have a partner
+    runs = runs.join(packed.hint("merge"), "doc_id").select("hub", "part", "doc_id", "near", "packed")
+    runs = runs.repartition("hub", "part").sortWithinPartitions("hub", "part", "doc_id", "packed")
+    compared = settle(runs.mapInArrow(_compared(shingle, percent), "hub long, class_id long, n long, linked boolean, d array<long>"))
+    edges = compared.filter("linked").select(F.col("class_id").alias("a"), F.col("hub").alias("b"))
     of = components(edges) if not is_empty(edges) else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
     named = members.select("class_id", "band", "least").join(of.withColumnRenamed("node", "class_id"), "class_id", "left")
@@ -242,10 +282,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     named = named.withColumn("lo", F.min("component").over(band)).withColumn("hi", F.max("component").over(band))
     apart = settle(named.filter("lo <> hi AND class_id <> least").select(F.col("least").alias("hub"), "class_id", "component").distinct())
     if not is_empty(apart):
-        ids = apart.select(F.col("class_id").alias("doc_id")).union(apart.select("hub")).distinct()
-        full = settle(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, shingles array<long>"))
-        pairs = settle(apart_pairs(apart, full, percent).join(tried, ["a", "b"], "left_anti"))
-        more = settle(confirmed(pairs))
+        sides = apart.join(compared.drop("linked"), ["hub", "class_id"])
+        more = settle(apart_pairs(sides, percent))
         if not is_empty(more):
             of = components(more.unionByName(of.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     grouped = classes.select(*text_key, "class_id").join(of.withColumnRenamed("node", "class_id"), "class_id", "left")
