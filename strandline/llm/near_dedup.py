@@ -8,8 +8,8 @@ those that are far below the threshold (five deviations), and the full shingle s
 
 Scale. Equal sets collapse to one class first, with partial aggregation, so a group of exact copies of
 any size is one row from there on. Within a band every class is compared with the smallest one, its hub (a
-star, linear in the band). The texts are fetched once, compressed, and meet their hub in runs of at most about
-``MEMBERS`` of its members, so no hub is too large for a task. What that leaves apart is compared by what sets it off from the other members of the
+star, linear in the band). The texts are fetched once, compressed, and meet their hub in runs of bounded
+size, so no hub is too large for a task. What that leaves apart is compared by what sets it off from the other members of the
 hub (``apart_pairs``), so texts that only resemble a large group are not compared with all of it.
 A pair of similarity 0.85 is missed with odds of about 1e-9, one of 0.8 of about 1e-5.
 """
@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import kernels as K
+from strandline.llm.meeting import meet, unpack
 from strandline.llm.shared import components, is_empty, settle
 
 HASH_BITS, BUCKET_BITS, MANTISSA, BAND = 52, 8, 10, 8
@@ -147,30 +147,16 @@ def _likely(least: float):
     return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    z = zstandard.ZstdCompressor()
-    for batch in batches:
-        for at in range(0, len(batch), 512):
-            part = batch.slice(at, 512)
-            packed = [z.compress((t or "").encode()) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
-
-
-#: Members of a hub that meet it in one run.
-MEMBERS = 4096
-
-
 def _compared(k: int, percent: int):
     """Rows (hub, part, doc_id, near, packed) in that order, the hub first of each part: every member against its hub."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
         before, base = None, np.zeros(0, U)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 rows = batch.slice(at, 256)
                 hub, part, ids, near = (rows.column(c).to_pylist() for c in ("hub", "part", "doc_id", "near"))
-                texts = pa.array([z.decompress(p) for p in rows.column("packed").to_pylist()], pa.large_binary()).cast(pa.large_string())
+                texts = unpack(rows.column("packed"))
                 out: list[tuple] = []
                 apart = []
                 for a, b, data, off in K.chunks(texts):
@@ -265,14 +251,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     near = tried.join(x, "a").join(y, "b").filter(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
     near = settle(near.select("a", "b", "nx", "ny", "rx", "ry").mapInArrow(_likely(percent / 100), "a long, b long"))
 
-    parts = tried.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
-    runs = tried.join(near.distinct().withColumn("near", F.lit(True)), ["a", "b"], "left").join(parts, "b")
-    runs = runs.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), "parts").alias("part"), "near")
-    runs = settle(runs.unionByName(runs.select(F.col("hub").alias("doc_id"), "hub", "part", F.lit(None).cast("boolean").alias("near")).distinct()))
-    packed = docs.filter("doc_id IS NOT NULL").mapInArrow(_pack, "doc_id long, packed binary")
-    # the same join at every size: a third of all documents may have a partner
-    runs = runs.join(packed.hint("merge"), "doc_id").select("hub", "part", "doc_id", "near", "packed")
-    runs = runs.repartition("hub", "part").sortWithinPartitions("hub", "part", "doc_id", "packed")
+    runs = meet(tried.join(near.distinct().withColumn("near", F.lit(True)), ["a", "b"], "left"), docs, "near")
     compared = settle(runs.mapInArrow(_compared(shingle, percent), "hub long, class_id long, n long, linked boolean, d array<long>"))
     edges = compared.filter("linked").select(F.col("class_id").alias("a"), F.col("hub").alias("b"))
     of = components(edges) if not is_empty(edges) else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
