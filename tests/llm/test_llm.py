@@ -150,6 +150,25 @@ def test_passages(spark):
     assert all(g.last_word - g.first_word >= 49 for g in got)
 
 
+def test_passages_with_inserted_missing_and_changed_words(spark):
+    r = random.Random(9)
+    own = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    rows, changes = [], ((50, 1, 0), (50, 0, 1), (50, 1, 1), (54, 1, 0), (60, 3, 0), (60, 0, 3))
+    for k in range(60):
+        n, more, less = changes[k % 6]
+        passage = own(n)
+        other = passage[: n // 2] + own(more) + passage[n // 2 + less :]
+        if n - less < 50:  # fifty words are left in the shorter one
+            other += own(less)
+        rows += [(2 * k, " ".join(own(70) + passage + own(90))), (2 * k + 1, " ".join(own(40) + other + own(80)))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(g.doc_id, g.other_id) for g in got} == {(2 * k + 1, 2 * k) for k in range(60)}
+    texts = dict(rows)
+    for g in got:
+        x, y = (shingles(" ".join(texts[i].split(" ")[a : b + 1]), 5) for i, a, b in ((g.doc_id, g.first_word, g.last_word), (g.other_id, g.other_first, g.other_last)))
+        assert min(len(x), len(y)) >= 46 and abs(len(x & y) / len(x | y) - g.similarity) < 1e-9 and g.similarity >= 0.8
+
+
 def test_secrets(spark):
     net = secrets.trained()
     x, y = secrets.labelled_findings(600, 123)
