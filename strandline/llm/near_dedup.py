@@ -87,6 +87,10 @@ def _sketch(k: int):
     return run
 
 
+#: For each bucket all buckets in an order of its own.
+SOURCES = K.mix(np.arange(1, BUCKETS * BUCKETS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)).reshape(BUCKETS, BUCKETS).argsort(1)
+
+
 def densified(reg: np.ndarray) -> np.ndarray:
     """Registers with each empty one filled from another, chosen by a hash of the bucket and the attempt.
 
@@ -102,8 +106,12 @@ def densified(reg: np.ndarray) -> np.ndarray:
         hit = used[row, source]
         out[row[hit], slot[hit]] = reg[row[hit], source[hit]]
         row, slot = row[~hit], slot[~hit]
-    first = used.argmax(1)
-    out[row, slot] = reg[row, first[row]]
+    # the rest, of short texts: the first used one in an order of all sources that each bucket has for itself
+    for at in range(0, len(row), 8192):
+        r, t = row[at : at + 8192], slot[at : at + 8192]
+        sources = SOURCES[t]
+        source = sources[np.arange(len(r)), used[r[:, None], sources].argmax(1)]
+        out[r, t] = reg[r, source]
     return out
 
 

@@ -89,6 +89,22 @@ def test_near_duplicates_of_a_large_group_that_is_partly_linked(spark):
     assert {g.doc_id: g.component_id for g in got} == want
 
 
+@pytest.mark.parametrize("n", [7, 8, 10, 14])
+def test_short_texts_that_differ_in_one_shingle_share_a_band(n):
+    np = kernels.np
+    r = np.random.default_rng(n)
+    low = (1 << near_dedup.HASH_BITS) - 1
+    pairs = 300
+    h = r.integers(0, low, (pairs, n), dtype=np.uint64)
+    regs = []
+    for own in (h, h[:, : n - 1]):  # the second has one shingle less
+        row = np.repeat(np.arange(pairs), own.shape[1])
+        key = np.sort((row.astype(np.uint64) << np.uint64(near_dedup.HASH_BITS)) | own.ravel())
+        filled = near_dedup.densified(near_dedup.registers(row, key & np.uint64(low), pairs))
+        regs.append(filled[:, near_dedup.ORDER].reshape(pairs, -1, near_dedup.BAND))
+    assert (regs[0] == regs[1]).all(2).any(1).all()
+
+
 def test_quality_rules(spark, docs, rows):
     target = spark.createDataFrame([(i,) for i in range(30)], "doc_id long")
     got = Counter((g.doc_id, g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed) for g in quality_rules.quality_rules(docs, target).collect())
