@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from strandline.llm.words import alnum_words
 
-#: Fixed masks: 1 is compared, 0 is ignored. The short ones serve items of few words.
-MASKS = ("1101100111", "1110010111", "11011")
-#: Items with fewer words than this are looked up by the short mask.
+#: Fixed masks: 1 is compared, 0 is ignored. The first two hit every stretch of 13 words of which any two are
+#: substituted; the others every item of 5 to 12 words in which as many are as ``SHARE`` allows (one, two from 10 words on).
+MASKS = ("11010111", "11100001011", "10111", "1111", "11101", "11011")
+LONG_MASKS = 2
+#: Items with fewer words than this are looked up by the short masks.
 LONG_ITEM = 13
 SHARE = 0.8
 #: Words of an item that must stand in a document, but for the substitutions.
@@ -43,7 +45,7 @@ def seed_table(benchmark: DataFrame) -> DataFrame:
     """(item_id, item, mask, at, seed): each masked hash of each item, its position, and the item's word hashes."""
     items = _hashed(benchmark.filter("item_id IS NOT NULL"), "item_id").distinct()
     lists = ", ".join(
-        f"if(size(h) {'<' if len(mask) < LONG_ITEM - 4 else '>='} {LONG_ITEM}, {_seeds(k)}, array())" for k, mask in enumerate(MASKS)
+        f"if(size(h) {'>=' if k < LONG_MASKS else '<'} {LONG_ITEM}, {_seeds(k)}, array())" for k in range(len(MASKS))
     )
     out = items.select("item_id", F.col("h").alias("item"), F.posexplode_outer(F.expr(f"array({lists})")).alias("mask", "list"))
     return out.select("item_id", "item", "mask", F.posexplode_outer("list").alias("at", "seed")).filter("seed IS NOT NULL")
@@ -55,8 +57,8 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, share: float = SHA
     An overlap is a diagonal, item word 0 against document word ``first_word`` (negative where the
     document begins inside the item), that holds ``stretch`` consecutive words (all of a shorter item)
     of which at least ``share`` are equal. n_equal counts the whole item, similarity is its share.
-    Words are alphanumeric, A-Z lower-cased. Items shorter than the shortest mask cannot be found by seeds
-    and are not looked for. Null or empty texts, null ids and empty tables give no rows; a repeated
+    Words are alphanumeric, A-Z lower-cased. Items shorter than five words (only a four-word
+    one without substitutions could be) are not looked for. Null or empty texts, null ids and empty tables give no rows; a repeated
     row of either table gives no second row; the same item at several places of a document gives a
     row each. Extra columns are ignored.
     """

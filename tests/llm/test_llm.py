@@ -129,6 +129,25 @@ def test_decontamination_tolerates_substitutions(spark):
     assert got == {(1, 0), (2, 1), (5, 2), (6, 3)}
 
 
+def test_decontamination_finds_every_placement_of_the_allowed_substitutions(spark):
+    from itertools import combinations
+
+    r = random.Random(12)
+    items, rows, want = [], [], set()
+    placed = [(n, c) for n in range(5, 17) for c in combinations(range(n), n - -(-4 * n // 5))]
+    placed += [(n, tuple(range(phase, n, 5))) for n in (30, 60) for phase in range(5)]
+    for n in {n for n, _ in placed}:
+        items.append((n, " ".join(f"i{n}w{k}" for k in range(n))))
+    for d, (n, changed) in enumerate(placed):
+        words = [f"x{r.randrange(10**9)}" if k in changed else f"i{n}w{k}" for k in range(n)]
+        rows.append((d, " ".join(["before"] * 7 + words + ["after"] * 7)))
+        w = min(n, 13)
+        if any(5 * sum(k not in changed for k in range(i, i + w)) >= 4 * w for i in range(n - w + 1)):
+            want.add((d, n))
+    got = contaminated_spans(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(g.doc_id, g.item_id) for g in got} == want and {g.first_word for g in got} == {7}
+
+
 def test_repeated_bytes(docs, rows):
     n = 400
     raw = [(i, (t or "").encode()) for i, t, *_ in rows]
