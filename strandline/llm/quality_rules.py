@@ -1,7 +1,6 @@
 """Rule features of a text, and a likelihood ratio of hashed n-grams against a trusted target.
 
-Everything is a DataFrame expression. The n-grams are the character n-grams that end the words, which
-generalise over unseen words; they are hashed into ``BUCKETS`` counters. One
+Everything is a DataFrame expression. The n-grams are the words and the pairs of neighbouring words; they are hashed into ``BUCKETS`` counters. One
 pass counts every document (partial aggregation leaves at most one row a bucket and task), one
 scores every document. The weights are one row of fixed size, read as a scalar subquery.
 """
@@ -15,30 +14,28 @@ from strandline.llm.shared import settle
 from strandline.llm.words import blank_words
 
 BUCKETS = 1 << 14
-ENDING = 3
 #: Documents below this mean log-likelihood ratio an n-gram are rejected.
 THRESHOLD = -0.5
 #: Weight of the raw distribution in the target's, as a share of the target's n-grams.
 PRIOR = 0.01
-#: Bound of the trusted sample: labelled rows in the order of a hash of their doc_id.
-TARGET_ROWS = 4000
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
     """``docs`` with words, their number, the n-gram buckets."""
     docs = docs.withColumn("words", blank_words(F.col("text"))).withColumn("n_words", F.size("words"))
-    return docs.withColumn("buckets", F.expr(f"transform(words, w -> cast(pmod(xxhash64(substring(w, -{ENDING})), {BUCKETS}) as int))"))
+    pairs = "transform(slice(words, 1, greatest(n_words - 1, 0)), (w, i) -> xxhash64(w, get(words, i + 1)))"
+    return docs.withColumn("buckets", F.expr(f"transform(concat(transform(words, w -> xxhash64(w)), {pairs}), h -> cast(pmod(h, {BUCKETS}) as int))"))
 
 
 def ngram_weights(docs: DataFrame, target: DataFrame) -> DataFrame:
     """One row: ``weights``, the log ratio of each bucket's probability in the target and in all of ``docs``.
 
-    ``target`` has the doc_ids of the trusted rows, of which the first ``TARGET_ROWS`` by hash count.
+    ``target`` has the doc_ids of the trusted rows, which all count; they grow with the input, so a shuffle joins them.
     Without any target row every weight is 0. The target's multinomial is smoothed towards the raw one.
     """
     chosen = target.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS).withColumn("chosen", F.lit(1))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id", "left")
+    chosen = chosen.withColumn("chosen", F.lit(1))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen.hint("merge"), "doc_id", "left")
     counts = _hashed(rows).select("chosen", F.explode_outer("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("chosen").alias("trusted"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0, ["raw", "trusted"])
     listed = every.groupBy().agg(F.sum("raw").alias("n_raw"), F.sum("trusted").alias("n_trusted"), F.array_sort(F.collect_list(F.struct("bucket", "raw", "trusted"))).alias("c"))

@@ -119,6 +119,21 @@ def test_quality_rules(spark, docs, rows):
     assert got == want
 
 
+def test_ngram_weights_count_every_trusted_row_and_pairs_of_words(spark):
+    from math import log
+
+    rows = [(k, f"common w{k % 7} {'good' if k % 2 else 'bad'}" + (f" rare{k}" if k % 50 == 1 else "")) for k in range(9200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    target = spark.createDataFrame([(k,) for k in range(1, 9200, 2)], "doc_id long")
+    got = quality_rules.ngram_weights(docs, target).first()["weights"]
+    own = quality_rules._hashed(docs).select("doc_id", "text", "buckets").collect()
+    assert all(len(g.buckets) == 2 * len(g.text.split()) - 1 for g in own)
+    raw, trusted = Counter(b for g in own for b in g.buckets), Counter(b for g in own if g.doc_id % 2 for b in g.buckets)
+    n, m = sum(raw.values()), sum(trusted.values())
+    want = {b: log((trusted[b] + 0.01 * m * c / n) / (1.01 * m) / (c / n)) for b, c in raw.items()}
+    assert all(abs(got[b] - w) < 1e-9 for b, w in want.items())
+
+
 def test_decontamination_tolerates_substitutions(spark):
     r = random.Random(8)
     items = [(k, text(r, n)) for k, n in enumerate((15, 30, 60, 6))] + [(9, None), (None, "x y z")]
