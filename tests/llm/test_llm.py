@@ -163,20 +163,33 @@ def test_decontamination_finds_every_placement_of_the_allowed_substitutions(spar
     assert {(g.doc_id, g.item_id) for g in got} == want and {g.first_word for g in got} == {7}
 
 
-def test_repeated_bytes(docs, rows):
-    n = 400
-    raw = [(i, (t or "").encode()) for i, t, *_ in rows]
+def gone_bytes(raw, n):
+    """For each text the bytes that a string of n bytes covers which also starts elsewhere."""
     c = Counter(b[k : k + n] for _, b in raw for k in range(len(b) - n + 1))
-    want = Counter()
-    for i, b in raw:
+    out = []
+    for _, b in raw:
         gone = bytearray(len(b))
         for k in range(len(b) - n + 1):
             if c[b[k : k + n]] > 1:
                 gone[k : k + n] = b"\1" * n
+        out.append(gone)
+    return out
+
+
+def runs_of(gone):
+    starts = [k for k, g in enumerate(gone) if g and (not k or not gone[k - 1])]
+    return [(k, next((j for j in range(k, len(gone)) if not gone[j]), len(gone))) for k in starts]
+
+
+@pytest.mark.parametrize("many", [4096, 1])
+def test_repeated_bytes(docs, rows, many):
+    raw = [(i, (t or "").encode()) for i, t, *_ in rows]
+    want = Counter()
+    for (i, b), gone, told in zip(raw, gone_bytes(raw, 400), gone_bytes(raw, 256), strict=True):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        runs = sum(1 for k, g in enumerate(gone) if g and (not k or not gone[k - 1]))
-        want[(i, len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest())] += 1
-    assert Counter(tuple(g) for g in repeated_bytes.repeated_bytes(docs).collect()) == want
+        passages = sum(len(re.findall(rb"[^\x20\x09-\x0D]+", b[x:y])) > 50 for x, y in runs_of(told))
+        want[(i, len(b), sum(gone), len(runs_of(gone)), hashlib.sha256(kept).hexdigest(), passages, passages > 0)] += 1
+    assert Counter(tuple(g) for g in repeated_bytes.repeated_bytes(docs, many=many).collect()) == want
 
 
 def test_compact_windows_stand_for_every_sequence():
