@@ -32,22 +32,32 @@ _HEX[list(b"0123456789abcdef")] = True
 _TOKEN = np.zeros(256, bool)
 _TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
 
-LEFT, BODY, RIGHT = 24, 48, 8
-WIDE, WIDTH, FILTERS, EMBED = LEFT + BODY + RIGHT, 5, 24, 8
+LEFT, RIGHT = 24, 8
+WIDTH, FILTERS, EMBED = 5, 24, 8
+#: Symbols that the convolution reads at a time; a longer candidate is read in overlapping pieces, which have the same maxima.
+PIECE = 256
 
 
 def encode(text: str, start: int, end: int) -> np.ndarray:
-    """Symbols of the window around a candidate: 0 none, 1 other, 2.. printable ASCII; +98 inside the candidate."""
-    left, body, right = text[max(0, start - LEFT) : start], text[start : min(end, start + BODY)], text[end : end + RIGHT]
-    out = np.zeros(WIDE, np.int64)
-    for at, part, shift in ((LEFT - len(left), left, 0), (LEFT, body, 98), (LEFT + BODY, right, 0)):
+    """Symbols of a whole candidate and what is around it: 0 none, 1 other, 2.. printable ASCII; +98 inside the candidate."""
+    left, body, right = text[max(0, start - LEFT) : start], text[start:end], text[end : end + RIGHT]
+    out = np.zeros(LEFT + len(body) + RIGHT, np.int64)
+    for at, part, shift in ((LEFT - len(left), left, 0), (LEFT, body, 98), (LEFT + len(body), right, 0)):
         codes = np.frombuffer(part.encode("utf-32-le"), np.uint32).astype(np.int64)
         out[at : at + len(codes)] = np.where((codes >= 32) & (codes < 127), codes - 30, 1) + shift
     return out
 
 
+def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.array([len(r) for r in rows])
+    out = np.zeros((len(rows), int(n.max(initial=WIDTH))), np.int64)
+    for k, r in enumerate(rows):
+        out[k, : len(r)] = r
+    return out, n
+
+
 class Network:
-    """Embedding, one convolution, maximum over positions, one logistic unit; Adam on the log loss."""
+    """Embedding, one convolution, maximum over all positions, one logistic unit; Adam on the log loss."""
 
     def __init__(self, seed: int):
         r = np.random.default_rng(seed)
@@ -58,43 +68,53 @@ class Network:
         self.a = np.zeros(1, np.float32)
         self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
 
-    def _forward(self, x: np.ndarray):
+    def _maxima(self, x: np.ndarray, n: np.ndarray):
+        """Windows, the place of each filter's maximum and the maximum, for padded rows of lengths n."""
         emb = self.e[x]
-        win = np.lib.stride_tricks.sliding_window_view(emb, WIDTH, axis=1).transpose(0, 1, 3, 2).reshape(len(x), WIDE - WIDTH + 1, -1)
+        win = np.lib.stride_tricks.sliding_window_view(emb, WIDTH, axis=1).transpose(0, 1, 3, 2).reshape(len(x), x.shape[1] - WIDTH + 1, -1)
         act = win @ self.c + self.b
+        act[np.arange(act.shape[1])[None, :] > (n - WIDTH)[:, None]] = -np.inf
         at = act.argmax(1)
-        top = np.take_along_axis(act, at[:, None], 1)[:, 0]
-        return win, at, top, np.maximum(top, 0) @ self.w + self.a
-
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([self._forward(x[i : i + 256])[3] for i in range(0, len(x), 256)] or [np.zeros(0, np.float32)])
-
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.scale * self.logits(x) + self.shift)))
-
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, seed: int) -> None:
+        return win, at, np.take_along_axis(act, at[:, None], 1)[:, 0]
+
+    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
+        step = PIECE - WIDTH + 1
+        pieces = [(k, r[i : i + PIECE]) for k, r in enumerate(rows) for i in range(0, max(1, len(r) - WIDTH + 1), step)]
+        pieces.sort(key=lambda p: len(p[1]))
+        top = np.full((len(rows), FILTERS), -np.inf, np.float32)
+        for i in range(0, len(pieces), 256):
+            some = pieces[i : i + 256]
+            np.maximum.at(top, [k for k, _ in some], self._maxima(*padded([p for _, p in some]))[2])
+        return np.maximum(top, 0) @ self.w + self.a if len(rows) else np.zeros(0, np.float32)
+
+    def probability(self, rows: list[np.ndarray]) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.scale * self.logits(rows) + self.shift)))
+
+    def fit(self, x: list[np.ndarray], y: np.ndarray, epochs: int, seed: int) -> None:
         r, params, step = np.random.default_rng(seed), [self.e, self.c, self.b, self.w, self.a], 0
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for _ in range(epochs):
             order = r.permutation(len(x))
             for i in range(0, len(x), 64):
                 rows = order[i : i + 64]
-                win, at, top, z = self._forward(x[rows])
+                symbols, n = padded([x[k] for k in rows])
+                win, at, top = self._maxima(symbols, n)
+                z = np.maximum(top, 0) @ self.w + self.a
                 dz = (1 / (1 + np.exp(-z)) - y[rows]).astype(np.float32) / len(rows)
                 dtop = np.outer(dz, self.w) * (top > 0)
                 picked = win[np.arange(len(rows))[:, None], at]  # rows, filters, window
                 dc = np.einsum("rf,rfw->wf", dtop, picked)
                 de = np.zeros_like(self.e)
                 back = (dtop[:, :, None] * self.c.T[None]).reshape(len(rows), FILTERS, WIDTH, EMBED)
-                np.add.at(de, x[rows][np.arange(len(rows))[:, None, None], at[:, :, None] + np.arange(WIDTH)], back)
+                np.add.at(de, symbols[np.arange(len(rows))[:, None, None], at[:, :, None] + np.arange(WIDTH)], back)
                 step += 1
                 for k, g in enumerate((de, dc, dtop.sum(0), np.maximum(top, 0).T @ dz, dz.sum(keepdims=True))):
                     m[k] += 0.1 * (g - m[k])
                     v[k] += 0.001 * (g * g - v[k])
                     params[k] -= 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Logistic calibration by Newton steps; the highest threshold of at least ``recall``."""
+    def calibrate(self, x: list[np.ndarray], y: np.ndarray, recall: float) -> None:
+        """Logistic calibration by Newton steps; the highest threshold that keeps ``recall``, two deviations of its estimate on the safe side."""
         z, p = self.logits(x).astype(float), np.array([1.0, 0.0])
         f = np.stack([z, np.ones_like(z)], 1)
         for _ in range(25):
@@ -102,10 +122,11 @@ class Network:
             p -= np.linalg.solve(f.T @ (f * (q * (1 - q))[:, None]) + 1e-3 * np.eye(2), f.T @ (q - y) + 1e-3 * (p - [1, 0]))
         self.scale, self.shift = p
         good = np.sort(self.probability(x)[y == 1])
-        self.threshold = float(max(0.5, good[int((1 - recall) * len(good))]))
+        missed = (1 - recall) * len(good) - 2 * np.sqrt(recall * (1 - recall) * len(good))
+        self.threshold = float(good[max(0, int(missed))])
 
 
-def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def labelled_findings(n: int, seed: int) -> tuple[list[np.ndarray], np.ndarray]:
     """``n`` encoded candidates in context and whether each is a secret."""
     r = np.random.default_rng(seed)
     pick = lambda s, k: "".join(s[i] for i in r.integers(0, len(s), k))
@@ -123,7 +144,16 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: pick(low + up + dig + "-_", int(r.integers(24, 64))),
         lambda: pick(up + dig, int(r.integers(24, 40))),
     )
+    path = lambda a, b: "/".join(word() for _ in range(r.integers(a, b)))
+    secrets += (
+        # a key behind a long path, and a key joined to a long name
+        lambda: path(6, 24) + "/" + pick(low + up + dig, int(r.integers(24, 48))),
+        lambda: "_".join(word() for _ in range(r.integers(8, 16))) + "=" + pick(low + up + dig, int(r.integers(28, 48))),
+    )
     harmless = (
+        lambda: path(10, 40),
+        lambda: path(8, 24) + "/" + pick(dig, int(r.integers(1, 9))) + "/" + word(),
+        lambda: "_".join(word() for _ in range(r.integers(8, 24))) + "=" + word(),
         lambda: "_".join(word() for _ in range(r.integers(4, 8))),
         lambda: "-".join(word() for _ in range(r.integers(4, 8))) + "-" + pick(dig, int(r.integers(1, 5))),
         lambda: "/".join(word() for _ in range(r.integers(4, 8))) + "/" + pick(dig, int(r.integers(1, 7))),
@@ -138,19 +168,19 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     )
     before = (lambda: prose(3) + " ", lambda: "key = ", lambda: "secret: '", lambda: '"auth": "', lambda: "Bearer ", lambda: "http://" + word() + ".example.com/", lambda: word() + "(", lambda: "")
     after = (lambda: " " + prose(2), lambda: '"', lambda: "'", lambda: ".", lambda: "\n", lambda: "")
-    x, y = np.zeros((n, WIDE), np.int64), np.zeros(n, np.float32)
+    x, y = [], np.zeros(n, np.float32)
     for k in range(n):
         y[k] = k % 2
         make = secrets if k % 2 else harmless
         left, body, right = (t[r.integers(0, len(t))]() for t in (before, make, after))
         while not CANDIDATE.fullmatch(body):
             body = make[r.integers(0, len(make))]()
-        x[k] = encode(left + body + right, len(left), len(left) + len(body))
+        x.append(encode(left + body + right, len(left), len(left) + len(body)))
     return x, y
 
 
 @lru_cache(maxsize=4)
-def trained(seed: int = 17, findings: int = 4800, recall: float = 0.98) -> Network:
+def trained(seed: int = 17, findings: int = 8000, recall: float = 0.98) -> Network:
     """The network, from ``findings`` labelled findings of which a quarter calibrates it."""
     x, y = labelled_findings(findings, seed)
     cut = findings * 3 // 4
@@ -191,7 +221,7 @@ def spans_of(texts: list[str], net: Network) -> list[list[tuple[int, int, int, f
         asked += [(k, m.start(), 3, m.end()) for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken)]
     out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
     if asked:
-        score = net.probability(np.stack([encode(texts[k], s, e) for k, s, _, e in asked]))
+        score = net.probability([encode(texts[k], s, e) for k, s, _, e in asked])
         for (k, s, kind, e), p in zip(asked, score, strict=True):
             if kind < 3 or p >= net.threshold:
                 out[k].append((s, kind, e, float(p)))
@@ -216,7 +246,7 @@ def secret_spans(docs: DataFrame, seed: int = 17, recall: float = 0.98) -> DataF
 
     Spans of the fixed patterns come back whatever their probability; a candidate that overlaps none
     of them comes back as kind ``model`` if its probability reaches the threshold. A null or empty
-    text has none. Repeated rows come back each; extra columns are ignored; an empty table gives no rows.
+    text has none; of a very long one all is searched, and a candidate of any length is read whole. Repeated rows come back each; extra columns are ignored; an empty table gives no rows.
     """
     net = trained(seed, recall=recall)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
@@ -233,7 +263,8 @@ def secret_spans(docs: DataFrame, seed: int = 17, recall: float = 0.98) -> DataF
 def redact_secrets(docs: DataFrame, mark: str = "[secret]", seed: int = 17, recall: float = 0.98) -> DataFrame:
     """``docs`` with every secret replaced by ``mark``; ``n_chars``, where there is one, follows the text.
 
-    Overlapping spans become one mark. Texts without secrets, nulls among them, stay as they are.
+    Overlapping spans become one mark. Texts without secrets, nulls among them, stay as they are, very long ones are searched whole, and
+    repeated rows, extra columns and an empty table come back as such.
     """
     net = trained(seed, recall=recall)
     names = docs.columns
