@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from strandline.llm import kernels as K
 
 PASSAGE, FEATURES, HIDDEN, ATTENTION = 480, 512, 24, 12
-#: Bound of the fit: labelled rows, in the order of a hash of their doc_id.
+#: Bounds of the fit: labelled rows, in the order of a hash of their doc_id, and the bytes of a text; longer ones are not learnt from.
 SAMPLE = 1600
+LEARNT_BYTES = 1 << 15
 PREDICT = 0.7
 
 
@@ -92,10 +93,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed:
     """The model, from the ``sample`` first labelled rows (doc_id, quality) by hash; None without both classes."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.filter("quality IN (0, 1) AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
-    # encoded where they lie; bounded by the sample
-    rows = sorted((r for r in rows.collect()), key=lambda r: (r["doc_id"], r["text"] or ""))
+    # twice as many ids as rows are wanted, as some texts are missing or too long
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= LEARNT_BYTES)
+    rows = rows.join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # one text of a repeated doc_id
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = sorted((r for r in rows.collect()), key=lambda r: (r["doc_id"], r["text"] or ""))  # at most SAMPLE times LEARNT_BYTES
     y = np.array([r["quality"] for r in rows], np.float32)
     if not 0 < y.sum() < len(y):
         return None
@@ -115,7 +118,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The model learns from labelled rows that are not held out, those whose crc32 of the doc_id as text
     is not 2 modulo 4; only texts are its input. A null text is an empty one and has a score too.
     Without labels of both classes every score is 0.5. A null doc_id is not held out. Repeated rows
-    come back each; extra columns are ignored; an empty table gives no rows.
+    come back each; extra columns are ignored; an empty table gives no rows. Very long texts are scored whole, in memory in proportion to the
+    longest one.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = fit_quality(docs, labels.filter(~held))

@@ -61,28 +61,51 @@ def with_rules(docs: DataFrame) -> DataFrame:
     # one xor with each neighbour tells whether all but the position bits are equal
     alike = " OR ".join(f"shiftright(x ^ get(ordered, i {side}), bits) = 0" for side in ("- 1", "+ 1"))
     docs = docs.withColumn("repeats", F.expr(f"sort_array(transform(filter(ordered, (x, i) -> {alike}), x -> x & (shiftleft(1L, bits) - 1)))"))
+    # windows that are equal in those bits and not in the others: then all are compared by their whole hashes
+    full = "xxhash64(get(whole, cast(x & mask as int)), get(whole, cast(x & mask as int) + 1), get(whole, cast(x & mask as int) + 2))"
+    docs = docs.withColumn("mask", F.expr("shiftleft(1L, bits) - 1"))
+    after = "get(ordered, i + 1)"
+    docs = docs.withColumn("mixed", F.expr(f"exists(transform(ordered, (x, i) -> coalesce(shiftright(x ^ {after}, bits) = 0 AND {full} <> {full.replace('x & mask', after + ' & mask')}, false)), x -> x)"))
+    pairs = "array_sort(transform(slice(whole, 1, greatest(n_words - 2, 0)), (h, i) -> struct(xxhash64(h, get(whole, i + 1), get(whole, i + 2)) AS f, cast(i as long) AS i)))"
+    docs = docs.withColumn("pairs", F.expr(f"if(mixed, {pairs}, NULL)"))
+    exact = "sort_array(transform(filter(pairs, (x, i) -> x.f = get(pairs, i - 1).f OR x.f = get(pairs, i + 1).f), x -> x.i))"
+    docs = docs.withColumn("repeats", F.expr(f"if(mixed, {exact}, repeats)"))
     covered = "aggregate(zip_with(repeats, slice(repeats, 2, size(repeats)), (p, q) -> least(3L, coalesce(q - p, 3L))), 0L, (a, x) -> a + x)"
     docs = docs.withColumn("n_repeat_words", F.expr(covered))
-    return docs.drop("lines", "bits", "whole", "ordered", "repeats")
+    return docs.drop("lines", "bits", "whole", "ordered", "repeats", "mask", "mixed", "pairs")
 
 
-def quality_rules(docs: DataFrame, target: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rule counts, llr and verdict of every row of ``docs`` (doc_id, text).
+RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
-    ``base_failed``: n_words < 50, or 100 * n_repeat_words > 50 * n_words. ``kept``: not base_failed
-    and llr, the mean log ratio an n-gram, at least ``threshold``. A null or blank text has no words:
-    zeros, llr 0, base_failed. Repeated rows are counted and returned as often as they come; extra
-    columns are ignored; an empty table gives no rows. Two different windows of one text of n words
-    count as equal with odds of about n**3 / 2**65.
-    """
+
+def judged(docs: DataFrame, target: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` (doc_id, text and any others) with the columns ``RULES``; see ``quality_rules``."""
     weights = ngram_weights(docs, target)
-    rows = _hashed(docs.select("doc_id", "text"))
-    rows = with_rules(rows.withColumn("weights", weights.scalar()))
+    names = [c for c in docs.columns if c not in RULES]
+    own = docs.select(F.struct(*names).alias("own"), "text")
+    rows = with_rules(_hashed(own).withColumn("weights", weights.scalar()))
     rows = rows.withColumn("llr", F.expr("if(n_words = 0, 0D, aggregate(buckets, 0D, (a, b) -> a + weights[b]) / greatest(size(buckets), 1))"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "own.*", F.col("n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"), "llr",
     )
     # written: a filter on the verdict would otherwise be moved below the arrays and rebuild them for each element
     return settle(rows)
+
+
+def quality_rules(docs: DataFrame, target: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rule counts, llr and verdict of every row of ``docs`` (doc_id, text).
+
+    ``base_failed``: n_words < 50, or 100 * n_repeat_words > 50 * n_words. ``kept``: not base_failed
+    and llr, the mean log ratio an n-gram, at least ``threshold``. A null or blank text has no words:
+    zeros, llr 0, base_failed. Repeated rows are counted and returned as often as they come; rows without doc_id are
+    judged and are in no target; extra columns are ignored; an empty table gives no rows. Very long texts are counted whole: a
+    text's arrays take some 60 bytes a word in its task. Windows are compared by 64-bit hashes of their words.
+    """
+    return judged(docs.select("doc_id", "text"), target, threshold).select("doc_id", *RULES)
+
+
+def drop_rejected(docs: DataFrame, target: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, each judged by itself; columns named like a rule are not for this."""
+    return judged(docs, target, threshold).filter("kept").select(docs.columns)

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset and all tasks run on this machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -22,11 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, so that its lineage ends there.
 
-    Unlike ``checkpoint()``, which computes its input twice, this runs the plan once.
+    Unlike ``checkpoint()``, which computes its input twice, this runs the plan once. The table goes when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
