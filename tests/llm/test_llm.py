@@ -134,22 +134,24 @@ def test_ngram_weights_count_every_trusted_row_and_pairs_of_words(spark):
     assert all(abs(got[b] - w) < 1e-9 for b, w in want.items())
 
 
-def test_decontamination_tolerates_substitutions(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_decontamination_tolerates_substitutions(spark, most):
     r = random.Random(8)
     items = [(k, text(r, n)) for k, n in enumerate((15, 30, 60, 6))] + [(9, None), (None, "x y z")]
     changed = items[1][1].split(" ")
     changed[7] = changed[20] = "other"
     rows = [(1, text(r, 20) + " " + items[0][1]), (2, " ".join(changed)), (3, text(r, 300)), (4, None), (5, items[2][1][40:]), (6, items[3][1].upper() + "!")]
-    got = {(g.doc_id, g.item_id) for g in contaminated_spans(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    got = {(g.doc_id, g.item_id) for g in contaminated_spans(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=most).collect()}
     assert got == {(1, 0), (2, 1), (5, 2), (6, 3)}
 
 
-def test_decontamination_finds_every_placement_of_the_allowed_substitutions(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_decontamination_finds_every_placement_of_the_allowed_substitutions(spark, most):
     from itertools import combinations
 
     r = random.Random(12)
     items, rows, want = [], [], set()
-    placed = [(n, c) for n in range(5, 17) for c in combinations(range(n), n - -(-4 * n // 5))]
+    placed = [(n, c) for n in range(1, 17) for c in combinations(range(n), n - -(-4 * n // 5))]
     placed += [(n, tuple(range(phase, n, 5))) for n in (30, 60) for phase in range(5)]
     for n in {n for n, _ in placed}:
         items.append((n, " ".join(f"i{n}w{k}" for k in range(n))))
@@ -159,7 +161,7 @@ def test_decontamination_finds_every_placement_of_the_allowed_substitutions(spar
         w = min(n, 13)
         if any(5 * sum(k not in changed for k in range(i, i + w)) >= 4 * w for i in range(n - w + 1)):
             want.add((d, n))
-    got = contaminated_spans(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = contaminated_spans(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=most).collect()
     assert {(g.doc_id, g.item_id) for g in got} == want and {g.first_word for g in got} == {7}
 
 
