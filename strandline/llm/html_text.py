@@ -23,6 +23,8 @@ from strandline.llm import kernels as K
 
 PATH, WORDS, SIZES, HIDDEN = 128, 32, 4, 16
 INPUT = PATH + WORDS + SIZES
+#: Enclosing elements, the innermost, that a block is told by; deeper pages than any author writes would else take quadratic memory.
+DEPTH = 64
 # Elements whose content is never text, that hold nothing, and that start a block.
 RAW = "script|style|noscript|template|svg|iframe|textarea|title"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -30,8 +32,73 @@ BLOCK = frozenset(
     "html head body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr li main nav ol option p pre section select summary table tbody td tfoot th thead tr ul button label".split()
 )
-PIECE = re.compile(rf"<!--.*?(?:-->|$)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+BARE = re.compile(r"[^\s>]*")
+#: An attribute up to its value, or what stands between attributes.
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(\s*=\s*)?|[\s/=]+")
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW.split("|")}
+
+
+class Tags:
+    """The markup of a page in order: (start, end, closing, name, attributes), found in time linear in its length.
+
+    What begins like a tag and never ends is text, as is a lone ``<``. A quoted value counts as one only if a blank, a
+    slash or the end of the tag follows its closing quote, so that a stray quote hides no text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.quotes: dict[str, int] = {q: page.rfind(q) for q in "\"'"}
+
+    def _value(self, at: int) -> tuple[str, int]:
+        q = self.page[at : at + 1]
+        if q and q in self.quotes and self.quotes[q] > at:
+            to = self.page.find(q, at + 1)
+            if self.page[to + 1 : to + 2] in ("", ">", "/") or self.page[to + 1].isspace():
+                return self.page[at + 1 : to], to + 1
+        m = BARE.match(self.page, at)
+        return m[0], m.end()
+
+    def _attributes(self, at: int) -> tuple[list[tuple[str, str]], int]:
+        out = []
+        while at <= self.last and self.page[at] != ">":
+            m = ATTRIBUTE.match(self.page, at)
+            at = m.end()
+            if m[1]:
+                value = ""
+                if m[2]:
+                    value, at = self._value(at)
+                out.append((m[1].lower(), value))
+        return out, at
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str, list[tuple[str, str]]]]:
+        page, at = self.page, 0
+        while 0 <= (at := page.find("<", at)) <= self.last:
+            begin, nxt = at, page[at + 1 : at + 2]
+            if page.startswith("<!--", at):
+                to = page.find("-->", at + 4)
+                at = to + 3 if to >= 0 else len(page)
+                yield begin, at, False, "", []
+            elif nxt in ("!", "?"):
+                at = page.find(">", at) + 1
+                yield begin, at, False, "", []
+            elif m := NAME.match(page, at + 1 + (nxt == "/")):
+                name, closing = m[0].lower(), nxt == "/"
+                attributes, to = self._attributes(m.end())
+                if to > self.last:  # it never ends
+                    return
+                at = to + 1
+                if name in ENDS and not closing:
+                    end = ENDS[name].search(page, at)
+                    to = page.find(">", end.end()) if end else -1
+                    at = to + 1 if to >= 0 else len(page)
+                    yield begin, at, False, "", []
+                else:
+                    yield begin, at, closing, name, attributes
+            else:
+                at += 1
+
+
 #: Elements that the start of another one of the same group closes.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 
@@ -47,7 +114,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            out.append((joined, tuple(x for _, names in path for x in names), linked))
+            out.append((joined, tuple(x for _, names in path[-DEPTH:] for x in names), linked))
         text.clear()
         linked = 0
 
@@ -57,17 +124,16 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
             text.append(piece)
             linked += len(piece) * (in_link > 0)
 
-    for m in PIECE.finditer(page):
-        take(page[at : m.start()])
-        at = m.end()
-        name = m[3].lower() if m[3] else ""
+    for begin, end, closing, name, attributes in Tags(page):
+        take(page[at:begin])
+        at = end
         if name == "a":
-            in_link = max(0, in_link + (-1 if m[2] else 1))
+            in_link = max(0, in_link + (-1 if closing else 1))
         elif name == "br":
             text.append(" ")
         elif name in BLOCK:
             close()
-            if m[2]:
+            if closing:
                 depth = next((i for i in range(len(path) - 1, -1, -1) if path[i][0] == name), None)
                 if depth is not None:
                     del path[depth:]
@@ -76,7 +142,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
                 while path and path[-1][0] in shut:
                     path.pop()
                 if name not in VOID:
-                    named = [w for x in NAMED.findall(m[4] or "") for w in re.split(r"[\s_-]+", "".join(x).lower()) if w]
+                    named = [w for key, x in attributes if key in ("class", "id", "role") for w in re.split(r"[\s_-]+", x.lower()) if w]
                     path.append((name, (f"<{name}>", *(f".{w}" for w in named))))
             in_link = 0
     take(page[at:])
@@ -213,7 +279,7 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[int]]]:
             labels.append(label)
 
         def menu(parts: list[str] = parts) -> None:
-            wrap = one(("<nav>", "<nav><ul>", "<nav><ul>", "<header><nav><ul>", '<div class="menu"><ul>', '<div class="menu">', '<ul class="nav">', "<header>", '<div id="header">', '<div class="breadcrumb">'))
+            wrap = one((f'<div class="{word()}">', "<ul>", "<nav>", "<nav><ul>", "<nav><ul>", "<header><nav><ul>", '<div class="menu"><ul>', '<div class="menu">', '<ul class="nav">', "<header>", '<div id="header">', '<div class="breadcrumb">'))
             parts.append(wrap)
             for _ in range(r.integers(1, 8)):
                 block(one(("li", "li", "div", "p")), f'<a href="/{word()}">{one((word(), words(1, 4)))}{one(("", "", ",", "."))}</a>', 0)
@@ -221,14 +287,14 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[int]]]:
 
         def side(parts: list[str] = parts) -> None:
             names = ("ad", "ads advert", "sidebar", "promo banner", "cookie notice", "related", "share", "comments", "comment", "newsletter", "popup", "widget", "comment list", "user comments", "reply")
-            wrap = one([f'<div class="{x}">' for x in names] + ["<aside>", '<div id="comments">', '<section class="comments">', "<form>", '<div id="sidebar">', '<div role="complementary">'])
+            wrap = one([f'<div class="{x}">' for x in names] + [f'<div class="{one(names)} {word()}">', f'<div id="{word()}-{one(names).split()[0]}">',"<aside>", '<div id="comments">', '<section class="comments">', "<form>", '<div id="sidebar">', '<div role="complementary">'])
             parts.append(wrap)
             for _ in range(r.integers(1, 5)):
                 block(one(("p", "div", "h3", "li")), odd(words(2, 40)), 0)
             parts.append(f"</{re.split('[ >]', wrap[1:])[0]}>")
 
         def main(parts: list[str] = parts) -> None:
-            wrap = one(("<article>", "<article>", "<main>", '<div class="content">', '<div id="content">', '<div class="post entry">', '<article class="post">', '<section class="article body">', '<div id="main">', '<div class="story text">'))
+            wrap = one(("<article>", "<article>", "<main>", "<div>", "<div>", f'<div class="{word()}">', f'<section id="{word()}-{word()}">', '<div class="content">', '<div id="content">', '<div class="post entry">', '<article class="post">', '<section class="article body">', '<div id="main">', '<div class="story text">'))
             parts.append(wrap)
             inner = r.random() < 0.3
             parts.append("<div>" * inner)
@@ -289,7 +355,8 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
     The text holds the blocks labelled as main text, character references decoded, white space within a block as
     one space, one line a block. A null or empty page, or one without main text, has an empty text and
-    0 characters. Repeated rows come back each; extra columns are ignored; an empty table gives no rows.
+    0 characters. Very long and malformed pages are read in time linear in their length; a tag that never ends is text.
+    Repeated rows come back each; extra columns are ignored; an empty table gives no rows.
     """
     net = trained()
     pages = pages.select("page_id", "url", "html")
