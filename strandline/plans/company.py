@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions.scalar import days_of_volume, rounded
+from strandline.functions.scalar import crore, days_of_volume, distance_to, flow_primitives, rounded
 from strandline.operators.order import ranked
+from strandline.plans.tables import stored, table
 
 GAP = 0.01
 HELD_UNTIL = "2000-01-01"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a part: price, shares, two float factors, the chosen one with its rule, and the free float."""
     lines = table(spark, sf_dir, "lineitem")
@@ -41,37 +38,85 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_funds(rows: DataFrame) -> DataFrame:
     """Fund membership by held value, and the segment: the top 14 % standard, the next 38 % small-cap."""
+    rows = stored(rows.withColumn("ext_hold", F.col("ext_hold").cast("double")).withColumn("ff", F.col("ff").cast("double")))
     n = rows.count()
-    rows = ranked(rows.withColumn("ext_hold", F.col("ext_hold").cast("double")), "ext_hold", "p_partkey", "hold_rank")
+    rows = ranked(rows, "ext_hold", "p_partkey", "hold_rank")
     eem, smin = F.col("hold_rank") <= n * 14 // 100, (F.col("hold_rank") > n * 14 // 100) & (F.col("hold_rank") <= n * 52 // 100)
     rows = rows.withColumn("in_eem", eem).withColumn("in_smin", smin).withColumn("in_eems", smin & (F.col("p_partkey") % 10 != 0))
     return rows.withColumn("segment", F.when(F.col("in_eem"), "standard").when(F.col("in_smin"), "smallcap").otherwise("outside"))
 
 
-def verdicts(rows: DataFrame) -> DataFrame:
-    """The ordered rules: verdict and the list of the rules reached, so that a verdict can be replayed."""
-    head = rows.agg((F.sum("ff") / F.count("ff")).alias("u"), F.count_if((F.col("segment") == "standard") & F.col("ff").isNotNull()).alias("n_standard"))
-    rows = ranked(rows.withColumn("ff", F.col("ff").cast("double")), "ff", "p_partkey", "ff_rank").withColumn("u", head.select("u").scalar()).withColumn("n_standard", head.select("n_standard").scalar())
+#: Moves below this many percent are recorded and float no band.
+LEAST_MOVE = 1.0
+SEGMENTS = ("standard", "smallcap", "outside")
+
+
+def bands(unit: float, returns: dict[str, float] | None = None) -> dict[str, dict]:
+    """For each segment the inclusion and exclusion bands in force, raw ones beside them, and why they were floated or not."""
+    raw = {"inclusion_low": 0.9 * unit, "inclusion_high": unit, "exclusion_low": 0.8 * unit, "exclusion_high": 0.88 * unit}
+    out = {}
+    for segment in SEGMENTS:
+        move = (returns or {}).get(segment)
+        known = move is not None and abs(move) != float("inf") and move == move
+        applied = known and abs(move) >= LEAST_MOVE
+        factor = 1 + move / 100 if applied else 1.0
+        scaled = {k: float(int(v * factor + 0.5)) for k, v in raw.items()} if applied else raw
+        why = "no return for this segment, the raw band stands" if not known else f"the segment moved {move:+.2f} %" + ("" if applied else f", inside {LEAST_MOVE:g} %")
+        out[segment] = {"applied": applied, "factor": factor, "reason": why, **scaled, **{f"raw_{k}": v for k, v in raw.items()}}
+    return out
+
+
+def verdicts(rows: DataFrame, returns: dict[str, float] | None = None) -> DataFrame:
+    """The ordered rules: verdict, the list of the rules reached so that a verdict can be replayed, the distance from its threshold, notes.
+
+    ``returns``: percent moves by segment that float the desk's bands.
+    """
+    rows = ranked(rows.withColumn("ff", F.col("ff").cast("double")), "ff", "p_partkey", "ff_rank")
+    standard_row = (F.col("segment") == "standard") & F.col("ff").isNotNull()
+    head = rows.agg((F.sum("ff") / F.count("ff")).alias("u"), F.count_if(standard_row).alias("n")).first()  # two numbers
+    u, n_standard = float(head["u"] or 0.0), int(head["n"])
+    cut = rows.filter(F.col("ff_rank") == n_standard).select("ff").first()
+    cut = None if cut is None else cut["ff"]
     ff, outside = F.col("ff"), F.col("segment") == "outside"
     small, standard = F.col("segment") == "smallcap", F.col("segment") == "standard"
+    known = bands(u, returns)
+
+    def band(name: str) -> Column:
+        out = F.lit(None).cast("double")
+        for segment in SEGMENTS:
+            out = F.when(F.col("segment") == segment, F.lit(known[segment][name]).cast("double")).otherwise(out)
+        return out
+
+    in_high, in_low, ex_low, ex_high = (band(k) for k in ("inclusion_high", "inclusion_low", "exclusion_low", "exclusion_high"))
+    # name, asked of, fires, verdict, threshold, threshold that the distance is from
+    n, at_cut, none = F.lit(float(n_standard)), F.lit(cut).cast("double"), F.lit(None).cast("double")
     rules = (
-        ("quarantine", F.lit(True), F.col("quarantined"), "unknown"),
-        ("no-float", F.lit(True), ff.isNull(), "unknown"),
-        ("inclusion-high", outside, ff >= F.col("u"), "likely-inclusion"),
-        ("inclusion-low", outside, ff >= 0.9 * F.col("u"), "possible-inclusion"),
-        ("exclusion-low", ~outside, ff < 0.8 * F.col("u"), "likely-exclusion"),
-        ("exclusion-high", ~outside, ff < 0.88 * F.col("u"), "exclusion-risk"),
-        ("rank-up", small, F.col("ff_rank") <= F.col("n_standard"), "migration-up"),
-        ("rank-down", standard, F.col("ff_rank") > F.col("n_standard"), "migration-down"),
+        ("quarantine", F.lit(True), F.col("quarantined"), "unknown", none, none),
+        ("no-float", F.lit(True), ff.isNull(), "unknown", none, none),
+        ("inclusion-high", outside, ff >= in_high, "likely-inclusion", in_high, in_high),
+        ("inclusion-low", outside, ff >= in_low, "possible-inclusion", in_low, in_high),
+        ("exclusion-low", ~outside, ff < ex_low, "likely-exclusion", ex_low, ex_low),
+        ("exclusion-high", ~outside, ff < ex_high, "exclusion-risk", ex_high, ex_low),
+        ("rank-up", small & (F.lit(n_standard) > 0), F.col("ff_rank") <= n_standard, "migration-up", n, at_cut),
+        ("rank-down", standard & (F.lit(n_standard) > 0), F.col("ff_rank") > n_standard, "migration-down", n, at_cut),
     )
+    factor, raw_of = band("factor"), {"inclusion-high": "inclusion_high", "inclusion-low": "inclusion_low", "exclusion-low": "exclusion_low", "exclusion-high": "exclusion_high"}
     verdict, reached, listed = F.lit("stable"), F.lit(True), []
-    for name, asked, fires, _ in rules:
+    threshold = F.when(outside, in_low).otherwise(ex_high)
+    for name, asked, fires, _, limit, _ in rules:
         hit = asked & F.coalesce(fires, F.lit(False))
-        listed.append(F.when(reached & asked, F.struct(F.lit(name).alias("rule"), hit.alias("fired"))))
+        value = F.col("ff_rank").cast("double") if name.startswith("rank") else ff
+        raw = band(f"raw_{raw_of[name]}") if name in raw_of else none
+        one = F.struct(F.lit(name).alias("rule"), hit.alias("fired"), value.alias("value"), limit.alias("threshold"), raw.alias("raw_threshold"), factor.alias("factor"))
+        listed.append(F.when(reached & asked, one))
         reached = reached & ~hit
-    for _, asked, fires, says in reversed(rules):
-        verdict = F.when(asked & F.coalesce(fires, F.lit(False)), says).otherwise(verdict)
-    return rows.withColumn("verdict", verdict).withColumn("rules", F.array_compact(F.array(*listed)))
+    for _, asked, fires, says, _, measured in reversed(rules):
+        hit = asked & F.coalesce(fires, F.lit(False))
+        verdict = F.when(hit, says).otherwise(verdict)
+        threshold = F.when(hit, measured).otherwise(threshold)
+    note = F.when(~verdict.isin("stable", "unknown") & ~standard & ~F.col("in_eems"), F.lit("not sampled by the sampling fund, so without a flow of it"))
+    rows = rows.withColumn("verdict", verdict).withColumn("rules", F.array_compact(F.array(*listed)))
+    return rows.withColumn("distance_threshold", threshold).withColumn("distance_pct", rounded(distance_to(ff, threshold), 3)).withColumn("note", note)
 
 
 VERDICT_OF = {
@@ -87,35 +132,69 @@ def replayed(rules: Column | None = None) -> Column:
     return F.coalesce(names[F.get(F.filter(rules, lambda r: r["fired"]), F.lit(0))["rule"]], F.lit("stable"))
 
 
-def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts(with_funds(companies(spark, sf_dir)))
+def assessed(spark: SparkSession, sf_dir: str, returns: dict[str, float] | None = None) -> DataFrame:
+    return verdicts(with_funds(companies(spark, sf_dir)), returns)
+
+
+FUNDS = ("eem", "smin", "eems")
+#: Rupees a dollar in the holdings files.
+FX = 83.0
+
+
+def fund_totals(rows: DataFrame) -> dict[str, float]:
+    """Held value of each fund and free float of each segment, a few numbers from one pass."""
+    held = [F.sum(F.when(F.col(f"in_{f}"), F.col("ext_hold"))).alias(f) for f in FUNDS]
+    floats = [F.sum(F.when(F.col("segment") == s, F.col("ff"))).alias(s) for s in SEGMENTS]
+    return {k: float(v or 0.0) for k, v in rows.agg(*held, *floats).first().asDict().items()}
 
 
 def fund_weights(rows: DataFrame) -> DataFrame:
     """(p_partkey, fund, weight_pct, fund_value): long form of the three funds."""
-    long = rows.select("p_partkey", "ext_hold", F.explode(F.expr("filter(array(if(in_eem, 'eem', NULL), if(in_smin, 'smin', NULL), if(in_eems, 'eems', NULL)), f -> f IS NOT NULL)")).alias("fund"))
-    total = F.sum("ext_hold").over(Window.partitionBy("fund"))
-    return long.select("p_partkey", "fund", (100 * F.col("ext_hold") / total).alias("weight_pct"), total.alias("fund_value"))
+    value = fund_totals(rows.withColumn("ff", F.col("ff").cast("double")))
+    slots = F.array(*(F.when(F.col(f"in_{f}"), F.struct(F.lit(f).alias("fund"), F.lit(value[f]).alias("v"))) for f in FUNDS))
+    long = rows.select("p_partkey", "ext_hold", F.explode(F.array_compact(slots)).alias("s"))
+    return long.select("p_partkey", F.col("s.fund").alias("fund"), F.try_divide(100 * F.col("ext_hold"), F.col("s.v")).alias("weight_pct"), F.col("s.v").alias("fund_value"))
 
 
-#: Shape of the flows: verdict, fund, direction.
+#: Shape of the flows: verdict, fund, direction, segment that the bought weight is a share of, whether only a fund that holds the company takes part.
 FLOWS = (
-    ("likely-exclusion", "eem", "sell"), ("likely-exclusion", "smin", "sell"), ("likely-exclusion", "eems", "sell"),
-    ("exclusion-risk", "eem", "sell"), ("exclusion-risk", "smin", "sell"), ("exclusion-risk", "eems", "sell"),
-    ("migration-up", "smin", "sell"), ("migration-up", "eems", "sell"), ("migration-up", "eem", "buy"),
-    ("migration-down", "eem", "sell"), ("migration-down", "smin", "buy"),
-    ("likely-inclusion", "smin", "buy"), ("possible-inclusion", "smin", "buy"),
+    ("likely-exclusion", "eem", "sell", None, True), ("likely-exclusion", "smin", "sell", None, True), ("likely-exclusion", "eems", "sell", None, True),
+    ("exclusion-risk", "eem", "sell", None, True), ("exclusion-risk", "smin", "sell", None, True), ("exclusion-risk", "eems", "sell", None, True),
+    ("migration-up", "smin", "sell", None, True), ("migration-up", "eems", "sell", None, True), ("migration-up", "eem", "buy", "standard", False),
+    ("migration-down", "eem", "sell", None, True), ("migration-down", "smin", "buy", "smallcap", False),
+    ("likely-inclusion", "smin", "buy", "smallcap", False), ("likely-inclusion", "eems", "buy", "smallcap", True),
+    ("possible-inclusion", "smin", "buy", "smallcap", False), ("possible-inclusion", "eems", "buy", "smallcap", True),
 )
+#: Where the sampling fund may or may not take part, which is told and not counted as zero.
+NOT_SAMPLED = ("migration-up", "migration-down", "likely-inclusion", "possible-inclusion")
+
+
+def flows(rows: DataFrame, fx: float = FX) -> DataFrame:
+    """Flows by verdict: what a fund holds is sold whole, what it enters is bought at its share of the segment's float.
+
+    The shape is a table of few rows that each row picks from, so nothing is joined or shuffled.
+    """
+    value = fund_totals(rows)
+    options = []
+    for verdict, fund, direction, segment, held in FLOWS:
+        sell = direction == "sell"
+        own = F.try_divide(100 * F.col("ext_hold"), F.lit(value[fund])) if sell else F.try_divide(100 * F.col("ff"), F.lit(value[segment]))
+        weight = F.when(F.col(f"in_{fund}"), own) if held else own
+        per_point = flow_primitives(F.lit(value[fund] / 100), F.lit(fx))["inr_per_point"]
+        one = F.struct(F.lit(fund).alias("fund"), F.lit(direction).alias("direction"), weight.alias("weight"), per_point.alias("per_point"), F.lit("measured-position" if sell else "estimated").alias("certainty"))
+        options.append(F.when((F.col("verdict") == verdict) & weight.isNotNull(), one))
+    rows = rows.withColumn("adv", F.when(F.col("p_partkey") % 11 != 0, F.col("shares") / 20))
+    out = rows.select("p_partkey", "verdict", "price", "adv", F.explode(F.array_compact(F.array(*options))).alias("f")).select("p_partkey", "verdict", "price", "adv", "f.*")
+    sign = F.when(F.col("direction") == "sell", -1).otherwise(1)
+    size = F.abs("weight") * F.col("per_point")
+    shares = F.when(F.col("price") > 0, size / F.col("price"))
+    return out.select(
+        "p_partkey", "verdict", "fund", "direction", rounded(F.col("weight"), 6).alias("weight"), rounded(sign * size).alias("flow"), rounded(crore(sign * size), 2).alias("flow_crore"),
+        rounded(sign * shares).alias("flow_shares"), rounded(days_of_volume(shares, F.col("adv")), 4).alias("days"), "adv", "certainty",
+    )
 
 
-def flows(rows: DataFrame) -> DataFrame:
-    """Flows by verdict: what a fund holds is sold whole, what it enters is bought at its share of the segment's float."""
-    shape = rows.sparkSession.createDataFrame(list(FLOWS), "verdict string, fund string, direction string")
-    weights = fund_weights(rows)
-    value = weights.groupBy("fund").agg(F.max("fund_value").alias("fund_value"))
-    total = rows.groupBy().agg(F.sum("ff").alias("t")).scalar()
-    out = rows.join(F.broadcast(shape), "verdict").join(weights.drop("fund_value"), ["p_partkey", "fund"], "left").join(F.broadcast(value), "fund")
-    weight = F.when(F.col("direction") == "sell", F.col("weight_pct")).otherwise(100 * F.col("ff") / total)
-    sign = F.when(F.col("direction") == "sell", -1).otherwise(1)
-    out = out.withColumn("weight", weight).filter("weight IS NOT NULL").withColumn("flow", rounded(sign * F.col("weight") * F.col("fund_value") / 100, 0))
-    return out.select("p_partkey", "verdict", "fund", "direction", rounded(F.col("weight"), 4).alias("weight"), "flow", rounded(days_of_volume(F.col("flow") / F.col("price"), F.col("shares")), 4).alias("days"))
+def not_sampled(rows: DataFrame) -> DataFrame:
+    """(p_partkey, verdict, fund): flows of the sampling fund that cannot be told, as it does not hold the company; no zeros."""
+    skipped = (F.col("verdict") == "migration-down") | (F.col("verdict").isin(*NOT_SAMPLED) & ~F.col("in_eems"))
+    return rows.filter(skipped).select("p_partkey", "verdict", F.lit("eems").alias("fund"))

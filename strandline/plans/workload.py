@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions import parse, scalar
 from strandline.functions.scalar import rounded
 from strandline.operators import lookup, series
-from strandline.operators.order import nearest_rank
+from strandline.operators.order import exact_median, nearest_rank
 from strandline.plans import company as C
 from strandline.plans import rules as R
 from strandline.plans.screen import Screen, screened, size_band
@@ -101,17 +101,17 @@ def float_gap_top10(spark: SparkSession, d: str) -> DataFrame:
 
 @query(COMPANY + f"SELECT {_half_up('median(gap)', 8)} AS median_gap FROM company")
 def gap_median_exact(spark: SparkSession, d: str) -> DataFrame:
-    return C.companies(spark, d).agg(rounded(F.median("gap"), 8).alias("median_gap"))
+    return exact_median(C.companies(spark, d), "gap", "p_partkey", "m").select(rounded(F.col("m"), 8).alias("median_gap"))
 
 
 @query(COMPANY + ", r AS (SELECT segment, ff, row_number() OVER (PARTITION BY segment ORDER BY ff) AS i, count(*) OVER (PARTITION BY segment) AS n FROM seg WHERE ff IS NOT NULL) SELECT segment, ff AS upper_median FROM r WHERE i = least(n, CAST(floor(n * 0.5) AS BIGINT) + 1)")
 def upper_median(spark: SparkSession, d: str) -> DataFrame:
-    return nearest_rank(C.with_funds(C.companies(spark, d)).withColumn("ff", F.col("ff").cast("double")), ["segment"], "ff", 0.5, "upper_median")
+    return nearest_rank(C.with_funds(C.companies(spark, d)).withColumn("ff", F.col("ff").cast("double")), ["segment"], "ff", 0.5, "upper_median", "p_partkey")
 
 
 @query(COMPANY + ", r AS (SELECT segment, ff, row_number() OVER (PARTITION BY segment ORDER BY ff) AS i, count(*) OVER (PARTITION BY segment) AS n FROM seg WHERE ff IS NOT NULL) SELECT segment, ff AS p5 FROM r WHERE i = least(n, CAST(floor(n * 0.05) AS BIGINT) + 1)")
 def nearest_rank_p5(spark: SparkSession, d: str) -> DataFrame:
-    return nearest_rank(C.with_funds(C.companies(spark, d)).withColumn("ff", F.col("ff").cast("double")), ["segment"], "ff", 0.05, "p5")
+    return nearest_rank(C.with_funds(C.companies(spark, d)).withColumn("ff", F.col("ff").cast("double")), ["segment"], "ff", 0.05, "p5", "p_partkey")
 
 
 @query(COMPANY + "SELECT segment, sum(ff) AS total, count(ff) AS with_float, count(*) AS n FROM seg GROUP BY 1")
@@ -147,19 +147,34 @@ def unheld_append(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "part").join(held, "p_partkey", "left_anti").agg(F.count("*").alias("unheld"), F.sum("p_partkey").alias("keys"))
 
 
-@query(COMPANY + """, shape(verdict, fund, direction) AS (VALUES ('likely-exclusion','eem','sell'),('likely-exclusion','smin','sell'),('likely-exclusion','eems','sell'),('exclusion-risk','eem','sell'),
-('exclusion-risk','smin','sell'),('exclusion-risk','eems','sell'),('migration-up','smin','sell'),('migration-up','eems','sell'),('migration-up','eem','buy'),('migration-down','eem','sell'),
-('migration-down','smin','buy'),('likely-inclusion','smin','buy'),('possible-inclusion','smin','buy')),
+FLOW = """, shape(verdict, fund, direction, target, held) AS (VALUES ('likely-exclusion','eem','sell','',true),('likely-exclusion','smin','sell','',true),('likely-exclusion','eems','sell','',true),
+('exclusion-risk','eem','sell','',true),('exclusion-risk','smin','sell','',true),('exclusion-risk','eems','sell','',true),('migration-up','smin','sell','',true),('migration-up','eems','sell','',true),
+('migration-up','eem','buy','standard',false),('migration-down','eem','sell','',true),('migration-down','smin','buy','smallcap',false),('likely-inclusion','smin','buy','smallcap',false),
+('likely-inclusion','eems','buy','smallcap',true),('possible-inclusion','smin','buy','smallcap',false),('possible-inclusion','eems','buy','smallcap',true)),
 wide AS (SELECT 'eem' AS fund, p_partkey, ext_hold FROM seg WHERE in_eem UNION ALL SELECT 'smin', p_partkey, ext_hold FROM seg WHERE in_smin UNION ALL SELECT 'eems', p_partkey, ext_hold FROM seg WHERE in_eems),
-val AS (SELECT fund, sum(ext_hold) AS v FROM wide GROUP BY 1), tot AS (SELECT sum(ff) AS t FROM seg),
-fl AS (SELECT v.p_partkey, v.verdict, s.fund, s.direction, CASE WHEN s.direction = 'sell' THEN 100 * CAST(w.ext_hold AS DOUBLE) / val.v ELSE 100 * ff / t END AS w0, val.v AS v, price, shares
- FROM verdict v JOIN shape s ON v.verdict = s.verdict LEFT JOIN wide w ON w.p_partkey = v.p_partkey AND w.fund = s.fund JOIN val ON val.fund = s.fund, tot)
-SELECT verdict, fund, direction, count(*) AS n, sum(floor((CASE WHEN direction = 'sell' THEN -1 ELSE 1 END) * w0 * v / 100 + 0.5)) AS flow FROM fl WHERE w0 IS NOT NULL GROUP BY 1, 2, 3""")
+val AS (SELECT fund, CAST(sum(ext_hold) AS DOUBLE) AS v FROM wide GROUP BY 1), tot AS (SELECT segment, sum(ff) AS t FROM seg GROUP BY 1),
+fl0 AS (SELECT v.p_partkey, v.verdict, s.fund, s.direction, v.price, CASE WHEN v.p_partkey % 11 <> 0 THEN v.shares / 20 END AS adv, val.v / 100 * 83 / 100 AS pt,
+ CASE WHEN s.direction = 'sell' THEN 100 * CAST(w.ext_hold AS DOUBLE) / val.v WHEN NOT s.held OR w.ext_hold IS NOT NULL THEN 100 * v.ff / tot.t END AS w0
+ FROM verdict v JOIN shape s ON v.verdict = s.verdict LEFT JOIN wide w ON w.p_partkey = v.p_partkey AND w.fund = s.fund JOIN val ON val.fund = s.fund LEFT JOIN tot ON tot.segment = s.target),
+fl AS (SELECT *, CASE WHEN direction = 'sell' THEN -1 ELSE 1 END AS sg, CASE WHEN price > 0 THEN w0 * pt / price END AS sh FROM fl0 WHERE w0 IS NOT NULL) """
+
+
+@query(COMPANY + FLOW + "SELECT verdict, fund, direction, count(*) AS n, sum(floor(sg * w0 * pt + 0.5)) AS flow FROM fl GROUP BY 1, 2, 3")
 def flows_by_shape(spark: SparkSession, d: str) -> DataFrame:
     return C.flows(C.assessed(spark, d)).groupBy("verdict", "fund", "direction").agg(F.count("*").alias("n"), F.sum("flow").alias("flow"))
 
 
-@query()
+@query(COMPANY + FLOW + f"SELECT p_partkey, fund, direction, {_half_up('sg * w0 * pt / 1e7', 2)} AS flow_crore, floor(sg * sh + 0.5) AS flow_shares, {_half_up('CASE WHEN adv > 0 THEN sh / adv END', 4)} AS days, CASE WHEN direction = 'sell' THEN 'measured-position' ELSE 'estimated' END AS certainty FROM fl")
+def flow_records(spark: SparkSession, d: str) -> DataFrame:
+    return C.flows(C.assessed(spark, d)).select("p_partkey", "fund", "direction", "flow_crore", "flow_shares", "days", "certainty")
+
+
+@query(COMPANY + "SELECT verdict, count(*) AS n FROM verdict WHERE verdict = 'migration-down' OR (verdict IN ('migration-up', 'likely-inclusion', 'possible-inclusion') AND NOT in_eems) GROUP BY 1")
+def flows_not_sampled(spark: SparkSession, d: str) -> DataFrame:
+    return C.not_sampled(C.assessed(spark, d)).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query(COMPANY + FLOW + "SELECT fund, arg_max(floor(sg * w0 * pt + 0.5), (abs(floor(sg * w0 * pt + 0.5)), p_partkey)) AS flow FROM fl GROUP BY 1")
 def largest_flow(spark: SparkSession, d: str) -> DataFrame:
     """The flow of largest magnitude by fund, with its sign."""
     return C.flows(C.assessed(spark, d)).groupBy("fund").agg(F.max_by("flow", F.struct(F.abs("flow"), "p_partkey")).alias("flow"))
