@@ -17,21 +17,97 @@ def grouped_number(c: Column) -> Column:
     return F.when(t.rlike(WESTERN) | t.rlike(INDIAN), F.replace(t, F.lit(","), F.lit("")).try_cast("double"))
 
 
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def _number(c: Column) -> Column:
+    """The whole text as a number once commas are gone; words such as NaN and Infinity and suffixes are none."""
+    t = F.replace(F.trim(c), F.lit(","), F.lit(""))
+    return F.when(t.rlike(NUMBER), t.try_cast("double"))
+
+
 def positive(c: Column) -> Column:
-    """``c`` where it is above zero, else null."""
-    return F.when(c > 0, c)
+    """``c`` where it is a finite number above zero, else null."""
+    return F.when((c > 0) & ~F.isnan(c) & (c < float("inf")), c)
 
 
 def price(c: Column) -> Column:
-    return positive(F.replace(F.trim(c), F.lit(","), F.lit("")).try_cast("double"))
+    return positive(_number(c))
 
 
 def count_value(c: Column) -> Column:
     """Count of zero or more; zero is a reading."""
-    n = F.replace(F.trim(c), F.lit(","), F.lit("")).try_cast("double")
+    n = _number(c)
     return F.when(n >= 0, n)
 
 
+def declared_number(c: Column) -> Column:
+    """Number of a declared numeric cell; blanks and dashes are null."""
+    return F.when(~F.trim(c).isin("", "-", "--"), _number(c))
+
+
+def reading(c: Column) -> Column:
+    """Number or grouped text above zero."""
+    return positive(F.coalesce(_number(c), grouped_number(c)))
+
+
+def typed_cell(value: Column, kind: Column) -> Column:
+    """(number, flag, text) of a workbook cell by its declared type; an empty number is null."""
+    v = F.trim(value)
+    return F.struct(F.when(kind == "Number", _number(v)).alias("number"), F.when(kind == "Boolean", F.lower(v).isin("1", "true")).alias("flag"), F.when(~F.coalesce(kind, F.lit("")).isin("Number", "Boolean"), value).alias("text"))
+
+
+def csv_text(c: Column) -> Column:
+    """Trimmed text, null where it is a mark for nothing."""
+    t = F.trim(c)
+    return F.when(~F.upper(t).isin("", "-", "--", "NA", "N/A"), t)
+
+
+#: What quotes write where they have nothing.
+MISSING = ("", "-", "--", "N/A", "NA", "null", "undefined", "NaN", "Infinity", "-Infinity")
+
+
+def quote_text(c: Column) -> Column:
+    t = F.trim(c)
+    return F.when(~t.isin(*MISSING), t)
+
+
+def quote_number(c: Column) -> Column:
+    return _number(quote_text(c))
+
+
+def quote_range(c: Column) -> Column:
+    """`lo - hi` to a struct, null unless both are numbers."""
+    t = quote_text(c)
+    lo, hi = (_number(F.regexp_extract(t, r"^(\S+)\s+-\s+(\S+)$", i)) for i in (1, 2))
+    return F.when(lo.isNotNull() & hi.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi")))
+
+
+def quote_date(c: Column) -> Column:
+    """Date of epoch seconds of 9 to 11 digits, or of a date text."""
+    t = quote_text(c)
+    return F.when(t.rlike(r"^\d{9,11}$"), F.timestamp_seconds(t.try_cast("long")).cast("date")).otherwise(feed_date(t))
+
+
+def quote_record(kv: Column, raw: Column, envelope_price: Column) -> Column:
+    """Fields of a `k=v` quote, ``kv`` being the column of its ``key_values``; the price of the envelope counts before that of the text, which is kept."""
+    f = lambda name: kv[name]
+    return F.struct(
+        quote_text(f("Symbol")).alias("symbol"), quote_text(f("Company Name")).alias("name"), F.coalesce(positive(envelope_price), positive(quote_number(f("Current Price")))).alias("price"),
+        positive(quote_number(f("Previous Close"))).alias("prev_close"), quote_number(f("Open")).alias("open"), quote_range(f("Day Range")).alias("day_range"), quote_range(f("52-Week Range")).alias("year_range"),
+        quote_number(f("Volume")).alias("volume"), quote_number(f("Market Cap")).alias("market_cap"), quote_text(f("Last Split Factor")).alias("split_factor"), quote_date(f("Last Split Date")).alias("split_date"),
+        quote_text(f("Exchange")).alias("exchange"), raw.alias("raw"),
+    )
+
+
+def first_with_source(values: dict[str, Column]) -> Column:
+    """First non-null value in order, and which one it is."""
+    source, value = F.lit(None).cast("string"), F.coalesce(*values.values())
+    for name, c in reversed(values.items()):
+        source = F.when(c.isNotNull(), name).otherwise(source)
+    return F.struct(source.alias("source"), value.alias("value"))
+
+
 def csv_number(c: Column) -> Column:
     """Strict decimal without grouping; dashes and N/A are null."""
     t = F.trim(c)
@@ -49,7 +125,7 @@ def feed_date(c: Column) -> Column:
 
 def key_values(c: Column) -> Column:
     """`k=v,k=v` to a map; a comma parts two pairs only where a key follows, the last of equal keys wins."""
-    parts = F.split(c, r",(?=\s*[A-Za-z0-9][\w \-/.()%]*=)")
+    parts = F.split(c, r",(?=\s*(?=[\w \-/.()%]*[A-Za-z])[A-Za-z0-9][\w \-/.()%]*=)")
     keyed = F.transform(F.filter(parts, lambda x: F.instr(x, "=") > 1), lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("key"), F.trim(F.regexp_replace(x, "^[^=]*=", "")).alias("value")))
     last = F.filter(keyed, lambda x, i: ~F.exists(F.slice(keyed, i + 2, F.size(keyed)), lambda y: y["key"] == x["key"]))
     return F.map_from_entries(last)

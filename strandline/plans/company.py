@@ -33,7 +33,8 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     factor = F.when(F.col("rule").isin("gap-switch", "only-b"), F.col("factor_b")).otherwise(F.col("factor_a"))
     rows = rows.withColumn("factor", factor)
     ff = F.when(F.col("p_partkey") % 53 != 0, F.floor(F.col("factor") * F.col("shares") * F.col("price") + 0.5))
-    return rows.withColumn("ff", ff).withColumn("quarantined", F.col("p_partkey") % 97 == 0)
+    basis = F.when(ff.isNotNull(), F.concat(F.lit("factor x shares x price, "), F.col("rule")))
+    return rows.withColumn("ff", ff).withColumn("basis", basis).withColumn("quarantined", F.col("p_partkey") % 97 == 0)
 
 
 def with_funds(rows: DataFrame) -> DataFrame:

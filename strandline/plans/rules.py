@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.plans.company import replayed
+from strandline.functions.scalar import csv_safe, recent_isin
+from strandline.plans.company import GAP, replayed
 
 
 def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
@@ -19,45 +20,106 @@ def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
 
 def company_rules() -> dict[str, Column]:
     """Row rules of the company model."""
-    ff, factor = F.col("ff"), F.col("factor")
+    ff, factor, a, b = F.col("ff"), F.col("factor"), F.col("factor_a"), F.col("factor_b")
+    second = F.col("rule").isin("gap-switch", "only-b")
+    derived = F.when(a.isNull() & b.isNull(), "none").when(b.isNull(), "only-a").when(a.isNull(), "only-b").when(F.abs(b - a) / a > GAP, "gap-switch").otherwise("primary")
     return {
         "disjoint": F.col("in_eem") & F.col("in_smin"),
         "sampler-subset": F.col("in_eems") & ~F.col("in_smin"),
         "replay": ~replayed().eqNullSafe(F.col("verdict")),
         "quarantine-unknown": F.col("quarantined") & (F.col("verdict") != "unknown"),
         "factor-range": ~((factor > 0) & (factor <= 1.02)),
-        "choice-has-source": F.col("rule").isin("gap-switch", "only-b") & F.col("factor_b").isNull(),
+        "choice-has-source": second & b.isNull(),
+        "primary-has-source": F.col("rule").isin("primary", "only-a") & a.isNull(),
         "float-recovers": F.abs(factor * F.col("shares") * F.col("price") - ff) > F.greatest(F.lit(1.0), 1e-6 * ff),
-        "value-has-basis": ff.isNotNull() & factor.isNull(),
+        "value-has-basis": ff.isNull() != F.col("basis").isNull(),
+        "choice-re-derives": F.col("rule") != derived,
+        "label-agrees": ~factor.eqNullSafe(F.when(second, b).otherwise(a)),
+        "no-zero-weight": (F.col("in_eem") | F.col("in_smin")) & (F.col("ext_hold") == 0),
     }
 
 
+def flow_violations(flows: DataFrame, sampled: DataFrame, key: str) -> DataFrame:
+    """(rule, key): flows of companies that have none, days without a volume, flows of a sampler that does not hold, one-sided migrations."""
+    rows = violations(flows, key, {"no-flow-of-the-stable": F.col("verdict").isin("stable", "unknown"), "days-without-volume": F.col("adv").isNull() & F.col("days").isNotNull()})
+    absent = flows.filter("fund = 'eems'").join(sampled.select(key), key, "left_anti").select(F.lit("sampler-holds").alias("rule"), F.col(key).cast("string").alias("key"))
+    both = flows.filter(F.col("verdict").startswith("migration")).groupBy(key).agg(F.bool_or(F.col("direction") == "buy").alias("b"), F.bool_or(F.col("direction") == "sell").alias("s"))
+    return all_violations(rows, absent, both.filter("NOT (b AND s)").select(F.lit("migration-both-ways").alias("rule"), F.col(key).cast("string").alias("key")))
+
+
+def seed_violations(seed: DataFrame, floor: float) -> DataFrame:
+    """(key, problem) of seed rows (key, isin, cap): malformed ISIN, value below the floor, an ISIN that another row has."""
+    rows = seed.withColumn("n", F.count("*").over(Window.partitionBy("isin")))
+    problem = F.when(~F.coalesce(recent_isin(F.col("isin")), F.lit(False)), "isin").when(~F.coalesce(F.col("cap") >= floor, F.lit(False)), "floor").when(F.col("n") > 1, "repeated isin")
+    return rows.select("key", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def inactive_codes(rows: DataFrame, master: DataFrame) -> DataFrame:
+    """Codes that the master lacks or does not call active."""
+    return rows.join(master.filter("status = 'active'").select("code"), "code", "left_anti").select(F.lit("code-active").alias("rule"), F.col("code").cast("string").alias("key"))
+
+
+def unexpected(found: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """Rows (key, n) whose number is not the expected one, and expected keys that are missing (n is null)."""
+    return expected.join(found, key, "full").filter(~F.col("n").eqNullSafe(F.col("expected")))
+
+
+def prints_as_zero(value: Column, shown: Column) -> Column:
+    """Whether a number other than zero is shown as zero, or zero as something else."""
+    zero = shown.rlike(r"^[+-]?[^0-9<>]*0(\.0*)?[^0-9]*$")
+    return (value != 0) == zero
+
+
+def not_re_derived(kept: DataFrame, fresh: DataFrame, keys: list[str], value: str, tolerance: float = 1e-6) -> DataFrame:
+    """Rows of ``fresh`` whose stored value is another one."""
+    old = kept.select(*keys, F.col(value).alias("_kept"))
+    differs = (F.abs(F.col("_kept") - F.col(value)) > tolerance) | (F.col("_kept").isNull() != F.col(value).isNull())
+    return fresh.join(old, keys).filter(differs).drop("_kept")
+
+
 class Refused(ValueError):
     """A write that its rules forbid; nothing was written."""
 
 
-def guarded_write(df: DataFrame, path: str, found: DataFrame, least_rows: int = 0, shrink: float = 1.0) -> None:
-    """Replace ``path`` by ``df`` if ``found`` is empty and the rows reach ``least_rows`` and ``shrink`` of those there.
+def guarded_write(df: DataFrame, path: str, found: DataFrame, least_rows: int = 0, shrink: float = 1.0, floors: dict[str, tuple[Column, float]] | None = None) -> None:
+    """Replace ``path`` by ``df`` if ``found`` is empty, the rows reach ``least_rows`` and ``shrink`` of those there, and each share of ``floors`` its least.
 
-    The rows are written beside the target first; the target is replaced by a copy of a complete table.
+    The rows are written beside the target once and take its place by renaming, so the good table stays until the new one is
+    whole; what was refused is removed.
     """
     spark = df.sparkSession
     bad = found.groupBy("rule").count().orderBy("rule").limit(100).collect()
     if bad:
         raise Refused("; ".join(f"{r['rule']}: {r['count']}" for r in bad))
-    aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    df.write.parquet(aside)
-    new = spark.read.parquet(aside)
-    n = new.count()
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    target = path.rstrip("/")
+    fs = at(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    new, old = (at(f"{target}-{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
     try:
-        before = spark.read.parquet(path).count()
-    except Exception as e:  # no table there yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        before = 0
-    if n < least_rows or n < shrink * before:
-        raise Refused(f"{n} rows; {least_rows} are the least, {before} are there")
-    new.write.mode("overwrite").parquet(path)
+        df.write.parquet(new.toString())
+        rows = spark.read.schema(df.schema).parquet(new.toString())
+        shares = {k: F.coalesce(F.avg(c.cast("double")), F.lit(0.0)).alias(k) for k, (c, _) in (floors or {}).items()}
+        got = rows.agg(F.count("*").alias("_n"), *shares.values()).first()
+        before = spark.read.parquet(target).count() if fs.exists(at(target)) else 0
+        if got["_n"] < least_rows or got["_n"] < shrink * before:
+            raise Refused(f"{got['_n']} rows; {least_rows} are the least, {before} are there")
+        if low := [f"{k}: {got[k]:.4f} of {least:g}" for k, (_, least) in (floors or {}).items() if got[k] < least]:
+            raise Refused("; ".join(low))
+        if fs.exists(at(target)):
+            fs.rename(at(target), old)
+        fs.rename(new, at(target))
+        fs.delete(old, True)
+    finally:
+        fs.delete(new, True)
+
+
+def export_csv(df: DataFrame, path: str, banner: list[str]) -> None:
+    """Rows in their order as CSV parts that no spreadsheet takes for formulas, and the banner, where the rows are from, beside them."""
+    safe = [csv_safe(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]
+    df.select(*safe).write.mode("overwrite").csv(f"{path}/rows", header=True, escape='"', lineSep="\n")
+    lines = df.sparkSession.createDataFrame([(line,) for line in banner], "value string")  # a few lines
+    lines.coalesce(1).write.mode("overwrite").text(f"{path}/banner")
 
 
 def all_violations(*parts: DataFrame) -> DataFrame:

@@ -38,7 +38,29 @@ def screened(df: DataFrame, spec: Screen, options: Mapping[str, Mapping[str, Col
     for term in spec.query.lower().split():
         df = df.filter(text.contains(term))
     by = F.col(spec.sort)
+    kind = df.schema[spec.sort].dataType.simpleString()
+    if kind in ("double", "float"):
+        by = F.when(~F.isnan(by), by)  # not a number sorts as null does
+    elif kind == "string":
+        by = natural_order(by)
     df = df.orderBy(by.desc_nulls_last() if spec.descending else by.asc_nulls_last(), key)
     if spec.offset:
         df = df.offset(spec.offset)
     return df if spec.limit is None else df.limit(spec.limit)
+
+
+def watched(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in a watchlist."""
+    return df.join(keys.select(key), key, "left_semi")
+
+
+def ordinal(c: Column, listed: Sequence[str]) -> Column:
+    """Place in a list of priorities; what is not listed comes last."""
+    at = F.array_position(F.array(*map(F.lit, listed)), c)
+    return F.when(at > 0, at).otherwise(len(listed) + 1)
+
+
+def natural_order(c: Column) -> Column:
+    """Key of a text order that ignores case and takes runs of digits as numbers (of up to 18 digits)."""
+    pieces = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 18, "0")).otherwise(p)), "")

@@ -12,7 +12,6 @@ from strandline.functions.scalar import rounded
 from strandline.operators import lookup, series
 from strandline.operators.order import exact_median, nearest_rank
 from strandline.plans import company as C
-from strandline.plans import rules as R
 from strandline.plans.screen import Screen, screened, size_band
 from strandline.sources.readers import shape_problems
 from strandline.streaming import live
@@ -83,11 +82,6 @@ def verdict_counts(spark: SparkSession, d: str) -> DataFrame:
     return C.assessed(spark, d).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@query(COMPANY + "SELECT count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM verdict")
-def rules_replay_mismatch(spark: SparkSession, d: str) -> DataFrame:
-    return C.assessed(spark, d).agg(F.count("*").alias("n"), F.count_if(~C.replayed().eqNullSafe(F.col("verdict"))).alias("mismatches"))
-
-
 @query(COMPANY + "SELECT rule, count(*) AS n FROM company GROUP BY 1")
 def float_choice_rules(spark: SparkSession, d: str) -> DataFrame:
     return C.companies(spark, d).groupBy("rule").agg(F.count("*").alias("n"))
@@ -185,14 +179,10 @@ def days_of_adv(spark: SparkSession, d: str) -> DataFrame:
     return C.companies(spark, d).select("p_partkey", rounded(scalar.days_of_volume(F.col("ff").cast("double"), F.col("shares")), 4).alias("days"))
 
 
-@query(COMPANY + "SELECT rule, count(*) AS n FROM (SELECT CAST('replay' AS VARCHAR) AS rule FROM company WHERE false) GROUP BY 1")
-def dq_violations(spark: SparkSession, d: str) -> DataFrame:
-    return R.violations(C.assessed(spark, d), "p_partkey", R.company_rules()).groupBy("rule").agg(F.count("*").alias("n"))
-
-
-@query(COMPANY + "SELECT p_partkey, ratio FROM (SELECT p_partkey, factor_a / nullif(factor_b, 0) * (1 + p_partkey % 11) AS r FROM company) CROSS JOIN LATERAL (SELECT CASE WHEN abs(r - 10) / 10 <= 0.002 THEN 10.0 WHEN abs(r - 0.1) / 0.1 <= 0.002 THEN 0.1 WHEN abs(r - 5) / 5 <= 0.002 THEN 5.0 WHEN abs(r - 0.2) / 0.2 <= 0.002 THEN 0.2 WHEN abs(r - 4) / 4 <= 0.002 THEN 4.0 WHEN abs(r - 0.25) / 0.25 <= 0.002 THEN 0.25 WHEN abs(r - 3) / 3 <= 0.002 THEN 3.0 WHEN abs(r - 2) / 2 <= 0.002 THEN 2.0 END::DOUBLE AS ratio) WHERE ratio IS NOT NULL")
+@query(COMPANY + "SELECT p_partkey, ratio FROM (SELECT p_partkey, factor_a / nullif(factor_b, 0) * (CASE WHEN p_partkey % 4 = 0 THEN 1 / (1 + p_partkey % 11)::DOUBLE WHEN p_partkey % 4 = 1 THEN 1.25 WHEN p_partkey % 4 = 2 THEN 1.5 ELSE 1 + p_partkey % 11 END) AS r FROM company) CROSS JOIN LATERAL (SELECT CASE WHEN abs(r - 10::DOUBLE) / (10::DOUBLE) <= 0.002 THEN (10::DOUBLE)::DOUBLE WHEN abs(r - 1 / 10::DOUBLE) / (1 / 10::DOUBLE) <= 0.002 THEN (1 / 10::DOUBLE)::DOUBLE WHEN abs(r - 5::DOUBLE) / (5::DOUBLE) <= 0.002 THEN (5::DOUBLE)::DOUBLE WHEN abs(r - 1 / 5::DOUBLE) / (1 / 5::DOUBLE) <= 0.002 THEN (1 / 5::DOUBLE)::DOUBLE WHEN abs(r - 4::DOUBLE) / (4::DOUBLE) <= 0.002 THEN (4::DOUBLE)::DOUBLE WHEN abs(r - 1 / 4::DOUBLE) / (1 / 4::DOUBLE) <= 0.002 THEN (1 / 4::DOUBLE)::DOUBLE WHEN abs(r - 3::DOUBLE) / (3::DOUBLE) <= 0.002 THEN (3::DOUBLE)::DOUBLE WHEN abs(r - 1 / 3::DOUBLE) / (1 / 3::DOUBLE) <= 0.002 THEN (1 / 3::DOUBLE)::DOUBLE WHEN abs(r - 2.5::DOUBLE) / (2.5::DOUBLE) <= 0.002 THEN (2.5::DOUBLE)::DOUBLE WHEN abs(r - 1 / 2.5::DOUBLE) / (1 / 2.5::DOUBLE) <= 0.002 THEN (1 / 2.5::DOUBLE)::DOUBLE WHEN abs(r - 2::DOUBLE) / (2::DOUBLE) <= 0.002 THEN (2::DOUBLE)::DOUBLE WHEN abs(r - 1 / 2::DOUBLE) / (1 / 2::DOUBLE) <= 0.002 THEN (1 / 2::DOUBLE)::DOUBLE WHEN abs(r - 1.5::DOUBLE) / (1.5::DOUBLE) <= 0.002 THEN (1.5::DOUBLE)::DOUBLE WHEN abs(r - 1 / 1.5::DOUBLE) / (1 / 1.5::DOUBLE) <= 0.002 THEN (1 / 1.5::DOUBLE)::DOUBLE WHEN abs(r - 1.25::DOUBLE) / (1.25::DOUBLE) <= 0.002 THEN (1.25::DOUBLE)::DOUBLE WHEN abs(r - 1 / 1.25::DOUBLE) / (1 / 1.25::DOUBLE) <= 0.002 THEN (1 / 1.25::DOUBLE)::DOUBLE END::DOUBLE AS ratio) WHERE ratio IS NOT NULL")
 def ratio_classify(spark: SparkSession, d: str) -> DataFrame:
-    r = F.try_divide(F.col("factor_a"), F.col("factor_b")) * (1 + F.col("p_partkey") % 11)
+    k = F.col("p_partkey")
+    r = F.try_divide(F.col("factor_a"), F.col("factor_b")) * F.when(k % 4 == 0, 1 / (1 + k % 11)).when(k % 4 == 1, 1.25).when(k % 4 == 2, 1.5).otherwise(1 + k % 11)
     return C.companies(spark, d).select("p_partkey", scalar.ratio_class(r).alias("ratio")).filter("ratio IS NOT NULL")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.functions.parse import count_value, feed_date, price
+
 
 def strict_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     """Columns ``required`` by header name as strings, and ``reject_reason`` (null where good).
@@ -21,13 +23,24 @@ def strict_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame
     wide = [*(f"c{i}" for i in range(len(names))), "_corrupt"]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in wide])
     rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True)
-    last = F.col(wide[-2])
-    short = F.col("_corrupt").isNotNull() & last.isNull()
+    # a corrupt row is a short or a long one: its cells are counted with the quoted ones closed up
+    cells = F.size(F.split(F.regexp_replace("_corrupt", r'"([^"]|"")*"', "q"), ","))
+    short = F.col("_corrupt").isNotNull() & (cells < len(names))
     return rows.select(*(F.trim(f"c{names.index(c)}").alias(c) for c in required), F.when(short, "short row").alias("reject_reason"))
 
 
-def shape_problems(text: Column, required: list[str] | None = None) -> Column:
-    """What keeps a text from being a delimited table: an array, empty where nothing does."""
+def csv_cells(line: Column, n: int) -> Column:
+    """The first ``n`` cells of one delimited line, quotes and a leading mark of the encoding taken off."""
+    schema = ", ".join(f"c{i} string" for i in range(n))
+    row = F.from_csv(F.regexp_replace(line, "^\ufeff", ""), schema, {"mode": "PERMISSIVE", "escape": '"'})
+    return F.array(*(F.trim(row[f"c{i}"]) for i in range(n)))
+
+
+def shape_problems(text: Column, required: list[str] | None = None, content_type: Column | None = None, date_column: str | None = None, expected: Column | None = None) -> Column:
+    """What keeps a text from being a delimited table: an array, empty where nothing does.
+
+    With ``date_column`` its cells have to be ISO dates, and ``expected`` (a date) what they say.
+    """
     head = F.lower(F.substring(text, 1, 400))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     checks = [
@@ -35,7 +48,16 @@ def shape_problems(text: Column, required: list[str] | None = None) -> Column:
         (head.contains("<!doctype") | head.contains("<html"), "markup"),
         (F.size(lines) < 2, "fewer than two lines"),
     ]
-    checks += [(~F.array_contains(F.split(F.get(lines, F.lit(0)), ","), c), f"no column {c}") for c in required or []]
+    header = F.split(F.get(lines, F.lit(0)), ",")
+    checks += [(~F.array_contains(header, c), f"no column {c}") for c in required or []]
+    if content_type is not None:
+        checks.append((F.coalesce(F.lower(content_type).contains("html"), F.lit(False)), "html content type"))
+    if date_column:
+        at = (F.array_position(header, date_column) - 1).cast("int")
+        dates = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.trim(F.get(F.split(x, ","), at)))
+        checks.append((F.exists(dates, lambda x: x.isNull() | ~x.rlike(r"^\d{4}-\d{2}-\d{2}$")), "date is not iso"))
+        if expected is not None:
+            checks.append((F.exists(dates, lambda x: x.rlike(r"^\d{4}-\d{2}-\d{2}$") & (x != expected.cast("string"))), "another date"))
     return F.array_compact(F.array(*(F.when(bad, F.lit(why)) for bad, why in checks)))
 
 
@@ -64,4 +86,53 @@ def workbook_rows(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     placed = F.aggregate(F.coalesce(F.col("row.`ss:Cell`"), F.array().cast(T.ArrayType(cell))), start, put, lambda a: F.map_from_entries(a["cells"]))
     rows = rows.select("at", F.col("row.`_ss:Index`").alias("index"), placed.alias("cells"))
     wide = F.transform(F.sequence(F.lit(0), F.coalesce(F.array_max(F.map_keys("cells")), F.lit(0))), lambda i: F.col("cells")[i])
-    return rows.select(F.coalesce(F.col("index") - 1, F.col("at")).alias("row_no"), wide.alias("cells"))
+    # rows go on from the last one that names its place
+    w = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = F.last(F.when(F.col("index").isNotNull(), F.col("index") - 1 - F.col("at")), True).over(w)
+    return rows.select((F.col("at") + F.coalesce(ahead, F.lit(0))).alias("row_no"), wide.alias("cells"))
+
+
+def sheet_records(rows: DataFrame, label: str) -> DataFrame:
+    """(row_no, record): a map by header name of every row below the header, the first row whose first cell is ``label``.
+
+    Blank rows are left out; of equal header names the first counts. A sheet without such a row raises.
+    """
+    head = rows.filter(F.trim(F.get("cells", F.lit(0))) == label).orderBy("row_no").first()  # one row
+    if head is None:
+        raise ValueError(f"no header row that begins with {label}")
+    names = [(c or "").strip() for c in head["cells"]]
+    first = {n: i for i, n in reversed(list(enumerate(names))) if n}
+    record = F.create_map(*(x for n, i in sorted(first.items(), key=lambda p: p[1]) for x in (F.lit(n), F.get("cells", F.lit(i)))))
+    below = rows.filter((F.col("row_no") > head["row_no"]) & F.exists("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""))
+    return below.select("row_no", record.alias("record"))
+
+
+def preamble(rows: DataFrame, label: str) -> DataFrame:
+    """(row_no, key, value) of the rows above the header that hold two cells or more; a single cell that is no date is the title, under a null key."""
+    top = rows.filter(F.trim(F.get("cells", F.lit(0))) == label).agg(F.min("row_no")).scalar()
+    key, value = F.trim(F.get("cells", F.lit(0))), F.get(F.filter(F.slice("cells", 2, 1 << 30), lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""), F.lit(0))
+    above = rows.filter(F.col("row_no") < top).select("row_no", key.alias("key"), value.alias("value")).filter("key <> ''")
+    title = F.col("value").isNull()
+    return above.filter(~title | feed_date(F.col("key")).isNull()).select("row_no", F.when(~title, F.col("key")).alias("key"), F.when(title, F.col("key")).otherwise(F.col("value")).alias("value"))
+
+
+PRICE_COLUMNS = ("TradDt", "FinInstrmId", "ISIN", "TckrSymb", "FinInstrmNm", "SctySrs", "FinInstrmTp", "OpnPric", "HghPric", "LwPric", "ClsPric", "LastPric", "PrvsClsgPric")
+
+
+def price_file(spark: SparkSession, path: str) -> DataFrame:
+    """A day's prices by header name: prices of zero or less are null, volumes of zero stay, rows without id are left out."""
+    rows = strict_csv(spark, path, [*PRICE_COLUMNS, "TtlTradgVol"])
+    named = {"open": "OpnPric", "high": "HghPric", "low": "LwPric", "close": "ClsPric", "last": "LastPric", "prev_close": "PrvsClsgPric"}
+    rows = rows.filter("reject_reason IS NULL AND FinInstrmId <> ''")
+    return rows.select(
+        F.col("FinInstrmId").alias("scrip_code"), F.col("ISIN").alias("isin"), F.col("TckrSymb").alias("symbol"), F.col("FinInstrmNm").alias("name"), F.col("SctySrs").alias("series"), F.col("FinInstrmTp").alias("kind"),
+        feed_date(F.col("TradDt")).alias("trade_date"), *(price(F.col(c)).alias(n) for n, c in named.items()), count_value(F.col("TtlTradgVol")).alias("volume"),
+    )
+
+
+def json_document(spark: SparkSession, path: str, schema: T.StructType, required: bool = True) -> DataFrame:
+    """Rows of a whole-file JSON document; an optional one that is not there is an empty table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not required and not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path, multiLine=True)

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from strandline.functions.scalar import price_choice
+
 QUOTE = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def quotes(events: DataFrame) -> DataFrame:
     """(symbol, price, received_at, event_id) and why a row is none: reject_reason."""
-    why = F.when(F.col("event_type") == "error", "status").when(F.col("value").isNull() | ~(F.col("value") > 0) | F.isnan("value"), "no price")
+    why = F.when(F.col("event_type") == "error", "status").when(F.col("value").isNull() | ~(F.col("value") > 0) | F.isnan("value") | (F.col("value") == float("inf")), "no price")
     return events.select(F.col("user_id").alias("symbol"), F.col("value").alias("price"), F.col("ts").cast("timestamp").alias("received_at"), "event_id", why.alias("reject_reason"))
 
 
 def latest(rows: DataFrame) -> DataFrame:
     """Last good quote of each symbol by (received_at, event_id)."""
     good = rows.filter("reject_reason IS NULL")
-    return good.groupBy("symbol").agg(F.max_by("price", F.struct("received_at", "event_id")).alias("price"), F.max("received_at").alias("received_at"))
+    return good.groupBy("symbol").agg(F.max_by("price", F.struct("received_at", "event_id")).alias("price"), F.max("received_at").alias("received_at"), F.max_by("event_id", F.struct("received_at", "event_id")).alias("event_id"))
 
 
 def changed(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -27,11 +29,46 @@ def changed(before: DataFrame, now: DataFrame) -> DataFrame:
     return now.join(old, "symbol", "left").filter(~F.col("price").eqNullSafe(F.col("old_price"))).select("symbol", "old_price", "price")
 
 
-def start_latest(spark: SparkSession, path: str, checkpoint: str, table: str, once: bool = True) -> StreamingQuery:
-    """Stream of parquet files to the in-memory table ``table`` of the latest quote by symbol.
+def absent(requested: DataFrame, received: DataFrame) -> DataFrame:
+    """Dead letters for symbols that were asked for and did not come."""
+    return requested.select("symbol").join(received.select("symbol"), "symbol", "left_anti").withColumn("reject_reason", F.lit("absent"))
+
+
+def in_session(rows: DataFrame, open_now: Column) -> DataFrame:
+    """Quotes received while the market is open."""
+    return rows.filter(open_now)
+
+
+def overlaid(base: DataFrame, quotes_now: DataFrame, key: str) -> DataFrame:
+    """Company rows under live prices: price, tier and free float follow the quote where there is one, the end-of-day price stays beside."""
+    now = quotes_now.select(F.col("symbol").alias(key), F.col("price").alias("_live"))
+    rows = base.join(now, key, "left").withColumn("eod_price", F.col("price"))
+    choice = price_choice(F.col("_live"), F.lit(None).cast("double"), F.col("eod_price"), F.lit(None).cast("double"), F.lit(0))
+    rows = rows.withColumn("_c", choice).withColumn("price", F.col("_c.price")).withColumn("tier", F.col("_c.tier"))
+    ff = F.floor(F.col("factor") * F.col("shares") * F.col("price") + 0.5)
+    return rows.withColumn("ff", F.when(F.col("ff").isNotNull(), ff)).drop("_c", "_live")
+
 
-    Partial aggregation and keyed state; late data only matter by their time stamp.
+def verdict_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, before, after) of the rows whose verdict differs."""
+    old, new = before.select(key, F.col("verdict").alias("before")), after.select(key, F.col("verdict").alias("after"))
+    return old.join(new, key).filter(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def start_latest(spark: SparkSession, path: str, checkpoint: str, state: str, changes: str, once: bool = True) -> StreamingQuery:
+    """Stream of quote files: the table ``state`` holds the latest quote by symbol, ``changes`` gets the symbols that each batch changed.
+
+    A batch joins its own latest quotes with the last version of the state, writes the next one beside it and, as a batch that is
+    run again writes the same versions, survives a restart. Only keys that changed are emitted.
     """
-    rows = latest(quotes(spark.readStream.schema(QUOTE).parquet(path)))
-    writer = rows.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint)
+
+    def each(batch: DataFrame, n: int) -> None:
+        session = batch.sparkSession
+        new = latest(quotes(batch))
+        old = session.read.parquet(f"{state}/version={n - 1}") if n else new.limit(0)
+        both = old.unionByName(new).groupBy("symbol").agg(F.max_by("price", F.struct("received_at", "event_id")).alias("price"), F.max("received_at").alias("received_at"), F.max_by("event_id", F.struct("received_at", "event_id")).alias("event_id"))
+        both.write.mode("overwrite").parquet(f"{state}/version={n}")
+        changed(old, session.read.parquet(f"{state}/version={n}")).write.mode("overwrite").parquet(f"{changes}/batch={n}")
+
+    writer = spark.readStream.schema(QUOTE).parquet(path).writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()

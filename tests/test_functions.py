@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from strandline.functions import format as fmt
 from strandline.functions import parse, scalar
 
 
@@ -45,3 +46,34 @@ def test_reviews(spark):
 def test_volume_unknown_is_not_zero_days(spark):
     rows = spark.createDataFrame([(10.0, None), (10.0, 0.0), (-10.0, 4.0)], "s double, v double")
     assert [r[0] for r in rows.select(scalar.days_of_volume(F.col("s"), F.col("v"))).collect()] == [None, None, 2.5]
+
+
+def test_texts_of_numbers_and_dates(spark):
+    rows = [(0.0,), (0.0004,), (-0.0004,), (0.0005,), (12.3456,), (-1234567.5,), (None,), (float("nan"),)]
+    got = [tuple(r) for r in spark.createDataFrame(rows, "v double").select(fmt.percent(F.col("v")), fmt.signed_percent(F.col("v")), fmt.points(F.col("v")), fmt.count_text(F.col("v")), fmt.grouped(F.col("v"), 1)).collect()]
+    assert got[0] == ("0.000%", "0.00%", "0.00 pp", "0", "0.0")
+    assert got[1][:4] == ("<0.001%", "<0.01%", "<0.01 pp", "<1") and got[2][:4] == (">-0.001%", ">-0.01%", ">-0.01 pp", ">-1")
+    assert got[3][0] == "0.001%" and got[4][:3] == ("12.346%", "+12.35%", "+12.35 pp") and got[5][3:] == ("-12,34,567", "-12,34,567.5")
+    assert got[6] == got[7] == ("—",) * 5
+    ages = spark.createDataFrame([(-5,), (44,), (59,), (60,), (7200,), (86400 * 3,), (86400 * 800,)], "s long").select(fmt.relative_time(F.col("s")).alias("r"), fmt.tick_age(F.col("s")).alias("t")).collect()
+    assert [r.r for r in ages] == ["just now", "just now", "59 seconds ago", "1 minute ago", "2 hours ago", "3 days ago", "2 years ago"] and [r.t for r in ages][:4] == ["0s ago", "44s ago", "59s ago", "1m ago"]
+    money = spark.createDataFrame([(0.0,), (50000.0,), (1.234e9,), (5e8,), (-2.5e7,)], "v double").select(fmt.flow_text(F.col("v")).alias("f"), fmt.rupees(F.col("v"), 1).alias("r")).collect()
+    assert [r.f for r in money] == ["₹0 Cr", "<₹0.01 Cr", "₹123 Cr", "₹50.0 Cr", "₹2.50 Cr"] and money[2].r == "₹123.4 Cr"
+
+
+def test_quote_fields_and_typed_cells(spark):
+    raw = "Company Name=Kovai Medical Center, Hospital Ltd,Day Range=1 - 2,52-Week Range=N/A,Last Split Date=1730073600,Open=Infinity,Exchange=NSI,Current Price=3,5=6"
+    q = spark.createDataFrame([(raw,)], "raw string").withColumn("kv", parse.key_values(F.col("raw"))).select(parse.quote_record(F.col("kv"), F.col("raw"), F.lit(9.5)).alias("q"), "kv").first()
+    assert q.q.name == "Kovai Medical Center, Hospital Ltd" and q.q.day_range.hi == 2.0 and q.q.year_range is None and str(q.q.split_date) == "2024-10-28" and q.q.open is None and q.q.price == 9.5
+    assert q.kv["Current Price"] == "3,5=6"
+    cells = spark.createDataFrame([("", "Number"), ("1,2", "Number"), ("TRUE", "Boolean"), ("x", "String")], "v string, k string").select(parse.typed_cell(F.col("v"), F.col("k")).alias("c")).collect()
+    assert [tuple(r.c) for r in cells] == [(None, None, None), (12.0, None, None), (None, True, None), (None, None, "x")]
+    texts = spark.createDataFrame([("8,71,532.61",), ("1,2,3,4",), ("5d",), ("NaN",), ("-7",)], "t string")
+    assert [tuple(r) for r in texts.select(parse.reading(F.col("t")), parse.crore_to_rupees(F.col("t"))).collect()][0] == (871532.61, 8715326100000)
+    assert [r[0] for r in texts.select(parse.price(F.col("t"))).collect()] == [871532.61, 1234.0, None, None, None]
+
+
+def test_hashes_and_sets(spark):
+    got = spark.createDataFrame([("",), ("a",), ("foobar",)], "t string").select(scalar.fnv1a(F.col("t"))).collect()
+    assert [r[0] for r in got] == [0x811C9DC5, 0xE40C292C, 0xBF9CF968]
+    assert spark.createDataFrame([([" b", "A", "a", ""],)], "s array<string>").select(scalar.canonical_set(F.col("s"))).first()[0] == "A,B"

@@ -1,10 +1,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from strandline.operators import lookup, order, series
-from strandline.plans import rules
+from strandline.plans import company, rules
 from strandline.plans.company import replayed
 from strandline.sources import readers
 from strandline.streaming import live
@@ -23,14 +24,14 @@ def test_asof_tolerance(spark):
 
 def test_rank_matches_a_plain_sort(spark):
     rows = [(k, float((k * 7) % 13) if k % 5 else None) for k in range(200)]
-    got = {r.k: r["rank"] for r in order.ranked(spark.createDataFrame(rows, "k int, v double"), "v", "k", buckets=8).collect()}
+    got = {r.k: r["rank"] for r in order.ranked(spark.createDataFrame(rows, "k int, v double"), "v", "k").collect()}
     want = {k: i + 1 for i, (k, _) in enumerate(sorted(((k, v) for k, v in rows if v is not None), key=lambda x: (-x[1], x[0])))}
     assert got == {k: want.get(k) for k, _ in rows}
 
 
 def test_upper_median(spark):
-    rows = spark.createDataFrame([("g", float(v)) for v in (1, 2, 3, 4)], "g string, v double")
-    assert order.nearest_rank(rows, ["g"], "v", 0.5, "m").first().m == 3.0
+    rows = spark.createDataFrame([("g", float(v)) for v in (1, 2, 3, 4)], "g string, v double").withColumn("k", F.monotonically_increasing_id())
+    assert order.nearest_rank(rows, ["g"], "v", 0.5, "m", "k").first().m == 3.0
 
 
 def test_waterfall_is_terminal(spark):
@@ -78,9 +79,90 @@ def test_workbook_gaps(spark, tmp_path):
     assert got == {0: ["a", None, "2"], 1: ["b", None, "c"]}
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = spark.createDataFrame([(i, dt.datetime(2026, 1, 1, 0, i % 7), i % 3, "view" if i % 5 else "error", float(i - 2), "") for i in range(30)], live.QUOTE)
-    rows.write.parquet(str(tmp_path / "in"))
-    live.start_latest(spark, str(tmp_path / "in"), str(tmp_path / "cp"), "latest_quotes").awaitTermination()
+def test_stream_equals_batch_and_emits_changed_keys_only(spark, tmp_path):
+    rows = [(i, dt.datetime(2026, 1, 1, 0, i % 7), i % 3, "view" if i % 5 else "error", float(i - 2), "") for i in range(30)]
+    later = [(100, dt.datetime(2026, 1, 2), 1, "view", 77.0, ""), (101, dt.datetime(2025, 1, 1), 2, "view", 5.0, ""), (102, dt.datetime(2026, 1, 2), 0, "view", float("inf"), "")]
+    paths = {k: str(tmp_path / k) for k in ("in", "cp", "state", "changes")}
     key = lambda df: sorted(map(tuple, df.select("symbol", "price").collect()))
-    assert key(spark.table("latest_quotes")) == key(live.latest(live.quotes(rows)))
+    for part in (rows, later):
+        spark.createDataFrame(part, live.QUOTE).coalesce(1).write.mode("append").parquet(paths["in"])
+        live.start_latest(spark, paths["in"], paths["cp"], paths["state"], paths["changes"]).awaitTermination()
+    every = spark.createDataFrame(rows + later, live.QUOTE)
+    assert key(spark.read.parquet(f"{paths['state']}/version=1")) == key(live.latest(live.quotes(every)))
+    assert [tuple(r) for r in spark.read.parquet(f"{paths['changes']}/batch=1").select("symbol", "price").collect()] == [(1, 77.0)]
+
+
+def test_guarded_write_holds_floors_and_leaves_nothing_behind(spark, tmp_path):
+    none = spark.createDataFrame([], "rule string, key string")
+    path = str(tmp_path / "t")
+    rules.guarded_write(spark.range(5), path, none, floors={"priced": (F.col("id") >= 0, 0.95)})
+    with pytest.raises(rules.Refused):
+        rules.guarded_write(spark.range(9), path, none, floors={"priced": (F.col("id") > 4, 0.95)})
+    rules.guarded_write(spark.range(7), path, none)
+    assert spark.read.parquet(path).count() == 7 and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
+
+
+def test_workbook_rows_go_on_after_a_gap_and_become_records(spark, tmp_path):
+    cell = lambda *vs: "".join(f'<ss:Cell><ss:Data ss:Type="String">{v}</ss:Data></ss:Cell>' for v in vs)
+    rows = [("", cell("Fund of things")), ("", cell("Aug 17, 2026")), ("", cell("As of", "x")), (' ss:Index="6"', cell("Ticker", "Name", "Name")), ("", cell("T1", "a", "b")), ("", cell("", "")), ("", cell("T2", "c &amp; d"))]
+    p = tmp_path / "w.xml"
+    p.write_text('<?xml version="1.0"?><ss:Workbook xmlns:ss="u"><ss:Worksheet ss:Name="H"><ss:Table>' + "".join(f"<ss:Row{at}>{c}</ss:Row>" for at, c in rows) + "</ss:Table></ss:Worksheet></ss:Workbook>")
+    sheet = readers.workbook_rows(spark, str(p), "H")
+    assert sorted(r.row_no for r in sheet.collect()) == [0, 1, 2, 5, 6, 7, 8]
+    assert {r.row_no: r.record for r in readers.sheet_records(sheet, "Ticker").collect()} == {6: {"Ticker": "T1", "Name": "a"}, 8: {"Ticker": "T2", "Name": "c & d"}}
+    assert sorted(tuple(r)[1:] for r in readers.preamble(sheet, "Ticker").collect() if r.key) == [("As of", "x")]
+    assert [r.value for r in readers.preamble(sheet, "Ticker").collect() if r.key is None] == ["Fund of things"]
+    with pytest.raises(ValueError):
+        readers.sheet_records(sheet, "Nothing")
+
+
+def test_short_and_long_rows(spark, tmp_path):
+    p = tmp_path / "a.csv"
+    p.write_text('A,B,C\n1,2,,9\n"1,5",2\n1,"x ""y"", z",3\n')
+    assert [tuple(r) for r in readers.strict_csv(spark, str(p), ["A", "C"]).collect()] == [("1", None, None), ("1,5", None, "short row"), ("1", "3", None)]
+
+
+def test_price_file_and_shape_guard(spark, tmp_path):
+    head = ",".join([*readers.PRICE_COLUMNS, "TtlTradgVol"])
+    good = ["2026-08-17", "500", "INE000000001", "T", '"A, B"', "A", "STK", "1", "0", "-1", "2.5", "NaN", "1,000", "0"]
+    p = tmp_path / "p.csv"
+    p.write_text(head + "\n" + ",".join(good[:-2] + ['"1,000"', "0"]) + "\n" + ",".join(["2026-08-17", "", *good[2:-2], "3", "0"]) + "\n")
+    (row,) = readers.price_file(spark, str(p)).collect()
+    assert (row.scrip_code, row.name, row.open, row.high, row.low, row.close, row.last, row.prev_close, row.volume) == ("500", "A, B", 1.0, None, None, 2.5, None, 1000.0, 0.0)
+    texts = [("D,X\n2026-01-01,1", "text/csv"), ("D,X\n1 Jan,1", "text/html; x"), ("<html>", None)]
+    found = spark.createDataFrame(texts, "t string, c string").select(readers.shape_problems(F.col("t"), ["D"], F.col("c"), "D", F.lit("2026-01-01").cast("date")).alias("p")).collect()
+    assert [r.p for r in found] == [[], ["html content type", "date is not iso"], ["markup", "fewer than two lines", "no column D"]]
+    assert readers.json_document(spark, str(tmp_path / "no.json"), T.StructType([T.StructField("a", T.LongType())]), required=False).count() == 0
+    assert spark.createDataFrame([('\ufeffa,"b, c",',)], "t string").select(readers.csv_cells(F.col("t"), 3).alias("c")).first().c == ["a", "b, c", None]
+
+
+def test_export_is_safe_and_keeps_the_order(spark, tmp_path):
+    rules.export_csv(spark.createDataFrame([(2, "=x"), (1, 'a "b", c')], "k long, t string").coalesce(1), str(tmp_path / "e"), ["made from x", "as of y"])
+    (part,) = (tmp_path / "e" / "rows").glob("part-*")
+    assert part.read_text() == 'k,t\n2,\'=x\n1,"a ""b"", c"\n'
+
+
+def test_ranks_and_order_statistics_of_tied_values(spark):
+    rows = [(k, g, v) for k, (g, v) in enumerate([("a", 1.0)] * 40 + [("a", None)] * 3 + [("a", 5.0), ("b", 2.0), ("b", 4.0), ("b", 3.0), ("b", 9.0)])]
+    df = spark.createDataFrame(rows, "k long, g string, v double")
+    want = {r[0]: i + 1 for i, r in enumerate(sorted((r for r in rows if r[2] is not None), key=lambda r: (-r[2], r[0])))}
+    got = {r.k: r.rank for r in order.ranked(df, "v", "k").collect()}
+    assert {k: v for k, v in got.items() if v} == want and sum(v is None for v in got.values()) == 3
+    assert {r.g: r.m for r in order.nearest_rank(df, ["g"], "v", 0.5, "m", "k").collect()} == {"a": 1.0, "b": 4.0}
+    assert order.exact_median(df.filter("g = 'b'"), "v", "k", "m").first().m == 3.5
+    assert order.nth_value(df, "v", "k", 2, "x").first().x == 5.0
+
+
+def test_bands_float_only_from_the_least_move_on():
+    known = company.bands(100.0, {"standard": 1.0, "smallcap": 0.99, "outside": float("nan")})
+    assert [known[s]["applied"] for s in ("standard", "smallcap", "outside")] == [True, False, False]
+    assert known["standard"]["inclusion_high"] == 101.0 and known["standard"]["raw_inclusion_high"] == 100.0
+
+
+def test_cascade_reaches_no_rule_after_one_that_fires(spark):
+    rows = [(1, 200.0, "outside", False), (2, None, "outside", False), (3, 70.0, "standard", False), (4, 95.0, "standard", False), (5, 60.0, "smallcap", True)]
+    df = spark.createDataFrame(rows, "p_partkey long, ff double, segment string, quarantined boolean").withColumn("in_eems", F.lit(False))
+    got = {r.p_partkey: (r.verdict, [x.rule for x in r.rules]) for r in company.verdicts(df).collect()}
+    assert got[2] == ("unknown", ["quarantine", "no-float"]) and got[5] == ("unknown", ["quarantine"])
+    assert got[1] == ("likely-inclusion", ["quarantine", "no-float", "inclusion-high"])
+    assert all(company.VERDICT_OF[names[-1]] == v for v, names in got.values() if v not in ("stable",))
