@@ -9,6 +9,7 @@ import pytest
 
 from strandline.llm import html_text, kernels, licenses, mixing, near_dedup, passages, quality_model, quality_rules, repeated_bytes, secrets
 from strandline.llm.decontaminate import contaminated_spans
+from strandline.llm.shared import settle
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, words string, h long"
 
@@ -299,9 +300,192 @@ def test_quality_model_on_held_out_rows(spark):
     assert {g.score for g in quality_model.quality_scores(docs, labels.filter("quality = 1")).collect()} == {0.5}
 
 
-def test_pipeline(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    d = "/root/testdata/sf0.001"
-    out = corpus_pipeline.run(spark, d)
-    n = spark.read.parquet(f"{d}/documents.parquet").count()
-    assert 0 < out.count() < n and set(out.columns) == {"doc_id", "size", "source_size", "target", "taken"}
+@pytest.fixture(scope="module")
+def folder(spark, rows, tmp_path_factory):
+    """The tables that the pipeline reads, with a benchmark item and a secret in some documents."""
+    at = tmp_path_factory.mktemp("tables")
+    r = random.Random(31)
+    item = text(r, 20)
+    more = [(100 + k, f"{text(r, 70)} {item} {text(r, 9)}", "en", "a", 0) for k in range(3)] + [(200 + k, f"{text(r, 80)} password = Abc123{k}xyz {text(r, 60)}", "en", "b", 0) for k in range(3)]
+    docs = [(i, t, lang, src, len(t or "")) for i, t, lang, src, *_ in rows] + more
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return str(at)
+
+
+def test_pipeline_stage_by_stage(spark, folder):
+    import corpus_pipeline
+
+    steps, docs = {}, spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before, names = docs.collect(), docs.columns
+        docs = settle(stage(spark, docs, folder))
+        steps[name] = (before, docs.collect(), names, docs.columns)
+    for name, (_, _, had, has) in steps.items():
+        assert has[: len(had)] == had and (has == had or name == "mixing")
+    before, after, *_ = steps["quality_rules"]
+    target = [r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").filter("quality = 1").collect()]
+    assert Counter(after) == Counter(r for r, ok in zip(before, plain_quality(before, set(target)), strict=True) if ok)
+    before, after, *_ = steps["near_dedup"]
+    least = plain_components({r.doc_id: r.text for r in before if r.doc_id is not None}, 5, 80)
+    assert {r.doc_id for r in after if r.doc_id is not None} == set(least.values()) and sum(r.doc_id is None for r in after) == sum(r.doc_id is None for r in before)
+    before, after, *_ = steps["decontaminate"]
+    assert {r.doc_id for r in before} - {r.doc_id for r in after} == {r.doc_id for r in before if r.doc_id is not None and r.doc_id // 100 == 1}
+    before, after, *_ = steps["secrets"]
+    assert sorted(re.sub(r"password = \w+", "[secret]", r.text) for r in before) == sorted(r.text for r in after) and all(r.n_chars == len(r.text) for r in after if "[secret]" in r.text)
+    before, after, *_ = steps["mixing"]
+    assert Counter((r.doc_id, r.text) for r in before) == Counter((r.doc_id, r.text) for r in after)
+    assert all(r.size == len(r.text.split()) and 0 <= r.taken <= 3 * r.size for r in after)
+    for source in {r.source for r in after}:
+        own = [r for r in after if r.source == source]
+        assert own[0].source_size == sum(r.size for r in own) and abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own)
+
+
+def plain_components(texts, k, percent):
+    sets = {i: shingles(t, k) for i, t in texts.items()}
+    up = {i: i for i in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for x in sets:
+        for y in sets:
+            both = len(sets[x] & sets[y])
+            if x < y and sets[x] and sets[y] and 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                p, q = top(x), top(y)
+                up[max(p, q)] = min(p, q)
+    return {i: top(i) for i in sets}
+
+
+def plain_quality(rows, target):
+    """The base rules and the likelihood ratio over words and pairs of words themselves, where no two of the few share a bucket in a way that matters."""
+    import math
+
+    words = [re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in rows]
+    grams = [w + list(zip(w, w[1:], strict=False)) for w in words]
+    raw = Counter(g for gs in grams for g in gs)
+    trusted = Counter(g for r, gs in zip(rows, grams, strict=True) if r.doc_id in target for g in gs)
+    n_raw, n_t = sum(raw.values()), sum(trusted.values())
+    p = quality_rules.PRIOR
+    weight = {g: math.log((trusted[g] + p * n_t * c / n_raw) / ((1 + p) * n_t) / (c / n_raw)) for g, c in raw.items()}
+    out = []
+    for w, gs in zip(words, grams, strict=True):
+        windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        hit = {j for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+        llr = sum(weight[g] for g in gs) / max(1, len(gs))
+        out.append(not (len(w) < 50 or 2 * len(hit) > len(w)) and llr >= quality_rules.THRESHOLD)
+    return out
+
+
+OPERATORS = {
+    "op1": lambda spark, d: contaminated_spans(d, spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")),
+    "op2": lambda spark, d: licenses.license_scan(d),
+    "op3": lambda spark, d: near_dedup.near_duplicates(d, 3, 85),
+    "op5": lambda spark, d: passages.repeated_passages(d),
+    "op6": lambda spark, d: repeated_bytes.repeated_bytes(d),
+    "op7": lambda spark, d: mixing.mix(d),
+    "op8": lambda spark, d: secrets.secret_spans(d),
+    "op9": lambda spark, d: quality_model.quality_scores(d, spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, quality int")),
+    "op10": lambda spark, d: quality_rules.quality_rules(d, spark.createDataFrame([(1,)], "doc_id long")),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_tables_and_very_long_texts_ties_and_clashing_columns(spark, name):
+    extra = "hub string, part string, band string, value string, key string, size string, place string, kept string, words string, h string, spans string, own string, n string"
+    clash = ("x",) * len(extra.split(", "))
+    kind = f"doc_id long, text string, source string, {extra}"
+    assert OPERATORS[name](spark, spark.createDataFrame([], kind)).count() == 0
+    r = random.Random(2)
+    long = " ".join(str(r.randrange(10**6)) for _ in range(300_000))  # 2 MB
+    some = [(1, long), (2, long + " more"), (3, text(r, 60)), (3, text(r, 60)), (4, "tie tie"), (5, "tie tie"), (6, "one two three four five six"), (7, None), (8, ""), (None, "no id"), (6, "one two three four five six")]
+    got = OPERATORS[name](spark, spark.createDataFrame([(i, t, None, *clash) for i, t in some], kind)).collect()
+    if name == "op1":
+        assert {g.doc_id for g in got} == {6}
+    elif name == "op5":
+        assert {(g.doc_id, g.other_id) for g in got} == {(2, 1)}
+    else:
+        assert Counter(g.doc_id for g in got) == Counter(i for i, _ in some)
+
+
+def test_secret_query_against_plain_patterns(spark, tmp_path):
+    from strandline.llm.queries import op8_secrets
+
+    r = random.Random(3)
+    texts = [f"é {text(r, 5)} API-KEY apikey: '{'Zz9' * r.randrange(1, 9)}' {text(r, 3)} AKIA{'A1' * r.randrange(5, 12)} {'0af' * r.randrange(5, 15)} Token=abcdef" for _ in range(40)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    for row in op8_secrets(spark, str(tmp_path)).collect():
+        t = texts[row.doc_id] or ""
+        found = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        base = ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(found))
+        assert row.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and [row.n_assign, row.n_access, row.n_hex] == [sum(f[1] == k for f in found) for k in range(3)]
+        assert set(base.split(",")) - {""} <= set(row.spans.split(","))
+
+
+def test_secrets_behind_long_paths_are_found_and_recall_is_kept():
+    net = secrets.trained()
+    key = "k7Gh2LmQ9xZp4RtV8wYc1BnD"
+    path = "some/harmless/" * 12
+    hit = lambda t: [t[s:e] for s, k, e, _ in secrets.spans_of([t], net)[0] if k == 3]
+    assert hit(f"see {path}{key} now") and not hit(f"see {path} now")
+    for seed in (201, 202):
+        x, y = secrets.labelled_findings(2000, seed)
+        p = net.probability(x)
+        assert (p[y == 1] >= net.threshold).mean() >= 0.98 and (p[y == 0] >= net.threshold).mean() <= 0.05
+
+
+def test_quality_held_out_ranking(spark):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    got = quality_model.quality_scores(spark.read.parquet(f"{d}/documents.parquet"), labels).filter("held_out").join(labels, "doc_id").select("score", "quality").collect()
+    good, bad = ([g.score for g in got if g.quality == q] for q in (1, 0))
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad)) > 0.95
+
+
+def test_pages_of_another_maker_and_malformed_ones():
+    import time
+
+    net = html_text.trained()
+    began = time.time()
+    for bad in ("<a " * 350_000, '<a x="' * 180_000, "<p title='" * 100_000 + ">x", "<!-- " * 200_000, "<" * 1_000_000, "<div>" * 100_000 + "x"):
+        html_text.main_texts([bad], net)
+    assert time.time() - began < 12
+    blocks = [b[0] for b in html_text.blocks("<article><p title=it's>Alpha words here.</p><p>We don't lose this.</p><p>a < b &amp; c</p><p>Last one.</p></article>")]
+    assert blocks == ["Alpha words here.", "We don't lose this.", "a < b & c", "Last one."]
+    r = random.Random(5)
+    tp = wrong = exact = 0
+    for _ in range(60):
+        say = lambda n: text(r, n).capitalize() + "."
+        body = [say(r.randint(8, 60)) for _ in range(r.randint(3, 9))]
+        menu = "".join(f"<li><a href='/{word(r)}'>{word(r)}</a></li>" for _ in range(6))
+        wrap = r.choice(('<div class="td-post-content">', '<div class="story-body">', "<article>", '<section class="entry">', "<main>"))
+        page = f"<html><body><header><nav><ul>{menu}</ul></nav></header>{wrap}<h1>{body[0]}</h1>" + "".join(f"<p>{b}</p>" for b in body[1:]) + f"</{re.split('[ >]', wrap[1:])[0]}><aside class='sidebar'><p>{say(6)}</p></aside><footer><p>&copy; {say(4)}</p></footer></body></html>"
+        got = html_text.main_texts([page], net)[0].split("\n")
+        tp, wrong, exact = tp + len(set(got) & set(body)), wrong + len(set(got) ^ set(body)), exact + (got == body)
+    assert 2 * tp / (2 * tp + wrong) > 0.97 and exact >= 50
+
+
+def test_license_bodies_need_their_words_in_order(spark):
+    whole = licenses.TEMPLATES[0][1].split()
+    r = random.Random(1)
+    pieces = [whole[i : i + 6] for i in range(0, len(whole), 6)]
+    r.shuffle(pieces)
+    rows = [(1, " ".join(["x"] * 30 + whole + ["y"] * 5)), (2, " ".join(sum(pieces, []))), (3, " ".join(w if i % 11 else "z" for i, w in enumerate(whole))), (4, " ".join(whole[:50] + ["new"] + whole[50:90] + whole[92:]))]
+    got = {(g.doc_id, g.label) for g in licenses.template_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "mit"), (3, "mit"), (4, "mit")}
+
+
+def test_passages_that_share_a_frequent_sentence_with_others(spark):
+    r = random.Random(17)
+    common = text(r, 22)
+    pairs = [[text(r, 60) + " " + common + " " + text(r, 60)] * 2 for _ in range(6)]
+    rows = [(k, f"{text(r, 90)} {common} {text(r, 90)}") for k in range(40)]
+    rows += [(100 + 2 * k + j, f"{text(r, 40)} {p} {text(r, 40)}") for k, both in enumerate(pairs) for j, p in enumerate(both)]
+    r.shuffle(rows)
+    got = {(g.doc_id, g.other_id) for g in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(101 + 2 * k, 100 + 2 * k) for k in range(6)}
