@@ -78,10 +78,9 @@ def with_rules(docs: DataFrame) -> DataFrame:
 RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
-def judged(docs: DataFrame, target: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with the columns ``RULES``; see ``quality_rules``."""
+def judged(docs: DataFrame, target: DataFrame, threshold: float, names: list[str]) -> DataFrame:
+    """The columns ``names`` of ``docs`` (doc_id, text and any others) with those of ``RULES``; see ``quality_rules``."""
     weights = ngram_weights(docs, target)
-    names = [c for c in docs.columns if c not in RULES]
     own = docs.select(F.struct(*names).alias("own"), "text")
     rows = with_rules(_hashed(own).withColumn("weights", weights.scalar()))
     rows = rows.withColumn("llr", F.expr("if(n_words = 0, 0D, aggregate(buckets, 0D, (a, b) -> a + weights[b]) / greatest(size(buckets), 1))"))
@@ -103,9 +102,9 @@ def quality_rules(docs: DataFrame, target: DataFrame, threshold: float = THRESHO
     judged and are in no target; extra columns are ignored; an empty table gives no rows. Very long texts are counted whole: a
     text's arrays take some 60 bytes a word in its task. Windows are compared by 64-bit hashes of their words.
     """
-    return judged(docs.select("doc_id", "text"), target, threshold).select("doc_id", *RULES)
+    return judged(docs, target, threshold, ["doc_id"]).select("doc_id", *RULES)
 
 
 def drop_rejected(docs: DataFrame, target: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, each judged by itself; columns named like a rule are not for this."""
-    return judged(docs, target, threshold).filter("kept").select(docs.columns)
+    return judged(docs, target, threshold, [c for c in docs.columns if c not in RULES]).filter("kept").select(docs.columns)
