@@ -489,3 +489,16 @@ def test_passages_that_share_a_frequent_sentence_with_others(spark):
     r.shuffle(rows)
     got = {(g.doc_id, g.other_id) for g in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(101 + 2 * k, 100 + 2 * k) for k in range(6)}
+
+
+def test_passages_of_hot_values_are_the_same_wherever_they_meet(spark):
+    r = random.Random(23)
+    line, common = text(r, 12), text(r, 70)
+    rows = [(k, f"{text(r, 60)} {line} {text(r, 60)}") for k in range(30)]
+    rows += [(100 + k, f"{text(r, 20 + k)} {common} {text(r, 40)}") for k in range(40)]
+    rows += [(200 + k, " ".join([*(near := common.split())[:30], word(r), *near[31:]])) for k in range(20)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [Counter(map(tuple, passages.repeated_passages(docs, hot=hot).collect())) for hot in (2, 10**9)]
+    assert got[0] == got[1]
+    assert {g[0] for g in got[0]} | {g[3] for g in got[0]} == {k for k, _ in rows if k >= 100}
