@@ -40,8 +40,10 @@ def meet(pairs: DataFrame, docs: DataFrame, extra: str) -> DataFrame:
     A partition holds all rows of a (hub, part), in the order of doc_id: the hub b, whose ``extra`` is null, and
     then members a. A hub of many members has several parts and comes with each.
     """
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
-    members = pairs.join(parts, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), "parts").alias("part"), extra)
+    # large hubs alone are joined, so that small ones need no place of their own beside the rows of a large one
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).alias("parts")).filter("parts > 1")
+    part = F.coalesce(F.pmod(F.xxhash64("a"), "parts"), F.lit(0).cast("long"))
+    members = pairs.join(parts, "b", "left").select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), part.alias("part"), extra)
     members = settle(members)
     hubs = members.select(F.col("hub").alias("doc_id"), "hub", "part").distinct()
     runs = members.unionByName(hubs, allowMissingColumns=True)
