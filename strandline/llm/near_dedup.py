@@ -196,7 +196,7 @@ def apart_pairs(sides: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b), a > b, that connect the rows of ``sides`` (hub, class_id, component, n, d) of one hub.
 
     d(x) is what x has and the hub has not, and the reverse, then likewise of the usual member of the hub, which
-    has what more than half of them have. Two sets are similar enough exactly if their difference is at most c (|x| + |y|),
+    has what more than half of them have (nothing in a hub of one). Two sets are similar enough exactly if their difference is at most c (|x| + |y|),
     c = (100 - percent) / (100 + percent), so if 2 |d(x) & d(y)| >= w(x) + w(y), where w(x) = |d(x)| - c |x|.
     Where w(x) + w(y) <= 0 both are linked with the member of the smallest w too, and so a star
     is enough. Any other pair shares an element of d; from the first that it shares, the rarest first, both must have enough
@@ -206,7 +206,11 @@ def apart_pairs(sides: DataFrame, percent: int) -> DataFrame:
     either = lambda p, q: F.concat(F.array_except(p, q), F.array_except(q, p))
     members = sides.groupBy("hub").agg(F.count("*").alias("members"))
     held = sides.select("hub", F.explode("d").alias("e")).groupBy("hub", "e").agg(F.count("*").alias("held"))
-    usual = held.join(members, "hub").filter("2 * held > members").groupBy("hub").agg(F.collect_list("e").alias("usual"))
+    # what more than half of the members have is counted with one of two numbers of binary digits, which keeps the rare elements of a large hub apart
+    digits = lambda c: F.length(F.bin(c))
+    halves = members.withColumn("digits", F.explode(F.array(digits("members") - 1, digits("members"))))
+    held = held.filter("held > 1").withColumn("digits", digits("held"))
+    usual = held.join(halves, ["hub", "digits"]).filter("2 * held > members").groupBy("hub").agg(F.collect_list("e").alias("usual"))
     sides = sides.join(usual, "hub", "left").withColumn("d", F.when(F.col("usual").isNull(), F.col("d")).otherwise(either("d", "usual")))
     # whole numbers: (100 + percent) * w
     w = (100 + percent) * F.size("d").cast("long") - (100 - percent) * F.col("n")
