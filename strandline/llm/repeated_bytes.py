@@ -4,7 +4,8 @@ Every string of ``PASSAGE`` bytes has an anchor, the smallest hash of its 16-byt
 equal anchors, so the starts that share an anchor (a stretch, about 110 neighbours) need comparing only
 with stretches of the same anchor, wherever they are. A stretch is known by a digest of its bytes: one that occurs twice is
 repeated as a whole. Of the others whose anchor occurs again one copy is sent to the shard of the anchor, and there a sort of
-the fingerprints of all their strings, in runs of bounded size cut between anchors, finds the strings that start in two places.
+the fingerprints of all their strings, in runs of bounded size cut between anchors, brings equal strings side by side; what stands
+side by side is compared byte for byte.
 
 Scale. Equal texts are one text (what has a copy is covered wholly and takes part once), equal stretches one stretch. What is
 shuffled is a row a stretch, the bytes around those that only resemble each other, and each text twice. The strings of an anchor with
@@ -14,6 +15,7 @@ more than ``MANY`` different stretches are not gathered: each is a digest, and d
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,6 +104,12 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _equal(data: np.ndarray, x: np.ndarray, y: np.ndarray, length: int, rows: int = 2048) -> np.ndarray:
+    """Whether the ``length`` bytes from x and from y are the same, byte for byte."""
+    view = np.lib.stride_tricks.sliding_window_view(data, length)
+    return np.concatenate([np.zeros(0, bool), *((view[x[i : i + rows]] == view[y[i : i + rows]]).all(axis=1) for i in range(0, len(x), rows))])
+
+
 def repeated_starts(parts: list[bytes], anchor: np.ndarray, starts_of: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(part, start) of every string of ``length`` bytes that starts at two places of the parts of its anchor, among the first ``starts_of`` each."""
     data = np.frombuffer(b"".join(parts), np.uint8)
@@ -113,9 +121,20 @@ def repeated_starts(parts: list[bytes], anchor: np.ndarray, starts_of: np.ndarra
     at = begin[part] + starts
     mark = K.span(K.prefix(data), at, at + length) ^ K.mix(anchor.view(np.uint64))[part]
     order = np.argsort(mark, kind="stable")
-    same = np.diff(mark[order]) == 0
-    twice = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(order) else order
-    twice.sort()
+    if not len(order):
+        return part, starts
+    at, same = at[order], np.diff(mark[order]) == 0
+    held = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    pair = np.flatnonzero(same)
+    differ = pair[~_equal(data, at[pair], at[pair + 1], length)]
+    if len(differ):  # a mark that different strings have says nothing: its strings are told apart by digest
+        group = np.cumsum(np.concatenate([[0], ~same]))
+        for g in np.unique(group[differ]):
+            lo, hi = np.searchsorted(group, [g, g + 1])
+            digests = [hashlib.blake2b(data[p : p + length].tobytes(), digest_size=16).digest() for p in at[lo:hi]]
+            times = Counter(digests)
+            held[lo:hi] = [times[d] > 1 for d in digests]
+    twice = np.sort(order[held])
     return part[twice], starts[twice]
 
 
@@ -220,7 +239,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     strings of ``passage`` bytes (at most ``length``) cover that also start elsewhere; they stay, and ``repeats`` tells that there is one. A null text is an empty one: 0
     bytes and the digest of nothing. Repeated rows are texts of their own and so remove each other. A very long text is searched in
     overlapping parts of 1 MB; cutting takes memory in proportion to the longest text.
-    Strings count as equal by a 64-bit fingerprint and their anchor, stretches by 128-bit digests. Extra columns are ignored; an empty table gives no rows.
+    Strings of a shard are equal by their bytes, stretches and the strings of a hot anchor by 128-bit digests. Extra columns are ignored; an empty table gives no rows.
     """
     lengths = tuple(sorted({length, passage}))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

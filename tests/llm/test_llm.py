@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from strandline.llm import html_text, kernels, licenses, mixing, near_dedup, passages, quality_model, quality_rules, repeated_bytes, secrets
@@ -195,6 +196,22 @@ def test_repeated_bytes(docs, rows, many):
     assert Counter(tuple(g) for g in repeated_bytes.repeated_bytes(docs, many=many).collect()) == want
 
 
+@pytest.mark.parametrize("kept_bits", [64, 6])
+def test_repeated_starts_are_told_by_their_bytes(monkeypatch, kept_bits):
+    """Marks of six bits collide at once; the strings found stay those that really repeat."""
+    span = kernels.span
+    monkeypatch.setattr(kernels, "span", lambda *a: span(*a) >> kernels.U(64 - kept_bits))
+    r = random.Random(6)
+    base = [bytes(r.choice(b"abc") for _ in range(90)) for _ in range(6)]
+    parts = [b[k:] + bytes([r.choice(b"xyz")]) + b[:k] for b in base for k in r.sample(range(1, 60), 5)] + [b"short", b""]
+    starts = [max(0, min(40, len(p) - 19)) for p in parts]
+    strings = [(i, j, p[j : j + 20]) for i, p in enumerate(parts) for j in range(starts[i])]
+    times = Counter(s for _, _, s in strings)
+    part, start = repeated_bytes.repeated_starts(parts, np.zeros(len(parts), np.int64), np.array(starts), 20)
+    assert list(zip(part.tolist(), start.tolist(), strict=True)) == [(i, j) for i, j, s in strings if times[s] > 1]
+    assert 0 < len(part) < len(strings)
+
+
 def test_compact_windows_stand_for_every_sequence():
     r = random.Random(2)
     x = kernels.mix(kernels.np.array([r.randrange(1 << 30) for _ in range(120)], dtype=kernels.np.uint64))
