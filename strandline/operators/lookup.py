@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.plans.tables import stored
+
 
 def one_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """First row of each key in ``order``, which must be total; reverse it for last-wins."""
@@ -13,13 +15,19 @@ def one_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 
 
 def unique_only(df: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs once: what is ambiguous matches nothing."""
-    return df.withColumn("_n", F.count("*").over(Window.partitionBy(key))).filter("_n = 1").drop("_n")
+    """Rows whose key occurs once: what is ambiguous matches nothing. Rows without a key are none.
+
+    One aggregate that is combined before its shuffle, so a key of many rows is never in one place.
+    """
+    own = F.struct(*(F.col(c) for c in df.columns))
+    found = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"), F.any_value(own).alias("_row"))
+    return found.filter("_n = 1").select("_row.*")
 
 
 def collisions(df: DataFrame, keys: list[str]) -> DataFrame:
-    """All rows of keys that occur more than once."""
-    return df.withColumn("n_rows", F.count("*").over(Window.partitionBy(*keys))).filter("n_rows > 1")
+    """All rows of keys that occur more than once, with ``n_rows``; the keys are counted first and meet their rows in a join that can be split."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
+    return df.join(stored(counts), keys).select(*df.columns, "n_rows")
 
 
 def resolve(rows: DataFrame, stages: list[tuple[str, str, DataFrame]], terminal: Column) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import passive_drift, rounded
-from strandline.operators.series import asof_backward
+from strandline.operators.series import asof_backward, steps_back
 
 WINDOWS = (("1d", 1), ("1m", 21), ("3m", 63), ("1y", 250))
 
@@ -24,11 +24,10 @@ def change(last: Column, first: Column, converted: bool) -> Column:
 def summary(series: DataFrame, rates: DataFrame, anchor: str, days: int = 7) -> DataFrame:
     """(name, horizon, own_pct, converted_pct, fx_pp, measured_from): the windows and the return since ``anchor``.
 
-    ``series`` (name, d, close), ``rates`` (name, d, rate); a rate may be ``days`` old. A window longer than the series begins with it.
+    ``series`` (name, d, close), ``rates`` (d, rate) of one pair of currencies; a rate may be ``days`` old. A window longer than the series begins with it.
     """
-    rated = asof_backward(series, rates, "name", "d", "rate", days)
-    own = Window.partitionBy("name")
-    rows = rated.withColumn("at", F.row_number().over(own.orderBy(F.desc("d")))).withColumn("n", F.count("*").over(own))
+    rated = asof_backward(series, rates, [], "d", "rate", days)
+    rows = steps_back(rated, "name", "d", "close").withColumnsRenamed({"steps": "at", "n_points": "n"})
     point = F.struct("d", "close", "rate")
     pick = lambda cond: F.max(F.when(cond, point))  # noqa: E731  one row fits
     before = F.col("d") <= F.lit(anchor).cast("date")

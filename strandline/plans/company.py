@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from strandline.functions.scalar import crore, days_of_volume, distance_to, flow_primitives, rounded
 from strandline.operators.order import ranked
-from strandline.plans.tables import stored, table
+from strandline.plans.tables import kept, stored, table
 
 GAP = 0.01
 HELD_UNTIL = "2000-01-01"
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a part: price, shares, two float factors, the chosen one with its rule, and the free float."""
+    """One row a part: price, shares, two float factors, the chosen one with its rule, and the free float; stored once for all queries on the same tables."""
+    return kept(spark, sf_dir, "companies", ["part", "lineitem"], built_companies)
+
+
+def built_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``companies``, computed."""
     lines = table(spark, sf_dir, "lineitem")
     cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
     kept = 100 - F.floor(F.col("l_discount") * 100 + 0.5)

@@ -15,6 +15,7 @@ from strandline.plans import benchmarks as B
 from strandline.plans import company as C
 from strandline.plans import reconcile as R
 from strandline.plans import rules as Q
+from strandline.plans.tables import stored
 from strandline.plans.screen import natural_order, ordinal, watched
 from strandline.plans.workload import COMPANY, FLOW, QUERIES, SERIES, SQL, _daily, _fx, _half_up, _t, query
 from strandline.streaming import live
@@ -131,16 +132,7 @@ l AS ({' UNION ALL '.join(_summary_line(x, x) for x in ('1d', '1m', '3m', '1y',
 @query(SUMMARY)
 def benchmark_summary(spark: SparkSession, d: str) -> DataFrame:
     daily = _daily(spark, d)
-    rates = _fx(daily)
-    # the rates of one currency pair for each of the few series
-    names = daily.select("name").distinct()
-    return B.summary(daily, _per_series(names, rates), "1998-01-01")
-
-
-def _per_series(names: DataFrame, rates: DataFrame) -> DataFrame:
-    """``rates`` under every series name: the names go along as one array, of as many as there are series."""
-    listed = names.agg(F.array_sort(F.collect_set("name")).alias("n")).scalar()
-    return rates.withColumn("name", F.explode(listed))
+    return B.summary(daily, _fx(daily), "1998-01-01")
 
 
 @query(COMPANY + ", w AS (SELECT 'eem' AS fund, p_partkey, ext_hold, price, shares FROM seg WHERE in_eem UNION ALL SELECT 'smin', p_partkey, ext_hold, price, shares FROM seg WHERE in_smin UNION ALL SELECT 'eems', p_partkey, ext_hold, price, shares FROM seg WHERE in_eems), m AS (SELECT *, 100 * CAST(ext_hold AS DOUBLE) / sum(CAST(ext_hold AS DOUBLE)) OVER (PARTITION BY fund) AS weight, shares * price AS now, shares * (price * (1 + (p_partkey % 5 - 2) / 100)) AS captured FROM w), r AS (SELECT fund, sum(now) / sum(captured) AS basket FROM m GROUP BY 1) " + f"SELECT m.fund, p_partkey, {_half_up('weight * (now / captured / basket)', 6)} AS implied, {_half_up('weight * (now / captured / basket) - weight', 6)} AS drift_pp, false AS requires_trade FROM m JOIN r ON m.fund = r.fund WHERE now IS NOT NULL AND captured > 0")
@@ -504,6 +496,6 @@ def dq_zero_prints(spark: SparkSession, d: str) -> DataFrame:
 @query(SUMMARY + " WHERE horizon IN ('1m', '1y')")
 def dq_returns_re_derive(spark: SparkSession, d: str) -> DataFrame:
     """Stored returns that differ from those of the series: two windows were stored a point too high."""
-    fresh = benchmark_summary(spark, d)
+    fresh = stored(benchmark_summary(spark, d))
     kept = fresh.withColumn("own_pct", F.when(F.col("horizon").isin("1m", "1y"), F.col("own_pct") + 1).otherwise(F.col("own_pct")))
     return Q.not_re_derived(kept, fresh, ["name", "horizon"], "own_pct").select("name", "horizon", "own_pct", "converted_pct", "measured_from", "fx_pp")

@@ -13,6 +13,7 @@ from strandline.operators import lookup, series
 from strandline.operators.order import exact_median, nearest_rank
 from strandline.plans import company as C
 from strandline.plans.screen import Screen, screened, size_band
+from strandline.plans.tables import kept
 from strandline.sources.readers import shape_problems
 from strandline.streaming import live
 
@@ -207,6 +208,10 @@ def screen_search_filter_sort(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _daily(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, d, "daily", ["orders"], _daily_of_orders)
+
+
+def _daily_of_orders(spark: SparkSession, d: str) -> DataFrame:
     o = _t(spark, d, "orders").select(F.col("o_orderpriority").alias("name"), F.col("o_orderdate").cast("date").alias("d"), F.floor(F.col("o_totalprice") * 100 + 0.5).alias("c"))
     return o.groupBy("name", "d").agg(F.floor(F.sum("c") / F.count("*") + 0.5).cast("double").alias("close"))
 
@@ -219,9 +224,7 @@ def _fx(daily: DataFrame) -> DataFrame:
 @query(SERIES + "SELECT s.name, s.d, s.close, CASE WHEN date_diff('day', fx.d, s.d) <= 7 THEN fx.rate END AS rate, CASE WHEN date_diff('day', fx.d, s.d) <= 7 THEN fx.d END AS matched_on FROM s ASOF LEFT JOIN fx ON s.d >= fx.d")
 def fx_asof_7d(spark: SparkSession, d: str) -> DataFrame:
     daily = _daily(spark, d)
-    names = daily.select("name").distinct()
-    rates = _fx(daily).join(F.broadcast(names), F.lit(True))  # five series
-    return series.asof_backward(daily, rates, "name", "d", "rate", 7)
+    return series.asof_backward(daily, _fx(daily), [], "d", "rate", 7)
 
 
 @query(SERIES + f"SELECT name, {_half_up('(max(CASE WHEN i = 1 THEN close END) / max(CASE WHEN i = least(22, n) THEN close END) - 1) * 100', 6)} AS return_pct FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY d DESC) AS i, count(*) OVER (PARTITION BY name) AS n FROM s) GROUP BY name")

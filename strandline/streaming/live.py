@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from strandline.functions.scalar import price_choice
+from strandline.functions.scalar import change_pct, price_choice
 
 QUOTE = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -40,35 +39,24 @@ def in_session(rows: DataFrame, open_now: Column) -> DataFrame:
 
 
 def overlaid(base: DataFrame, quotes_now: DataFrame, key: str) -> DataFrame:
-    """Company rows under live prices: price, tier and free float follow the quote where there is one, the end-of-day price stays beside."""
-    now = quotes_now.select(F.col("symbol").alias(key), F.col("price").alias("_live"))
+    """Company rows under live prices: price, tier, exchange, previous close, days of staleness, day change and free float follow the quote where there is one.
+
+    Without a quote they are those of the end of the day, whose price stays beside in any case. ``prev_close`` and ``stale_days`` are read
+    where ``base`` has them; a quote may bring a ``prev_close`` of its own, which then counts before the stored one.
+    """
+    own = lambda c, kind: F.col(c) if c in base.columns else F.lit(None).cast(kind)
+    theirs = F.col("prev_close") if "prev_close" in quotes_now.columns else F.lit(None).cast("double")
+    now = quotes_now.select(F.col("symbol").alias(key), F.col("price").alias("_live"), theirs.alias("_live_before"))
     rows = base.join(now, key, "left").withColumn("eod_price", F.col("price"))
-    choice = price_choice(F.col("_live"), F.lit(None).cast("double"), F.col("eod_price"), F.lit(None).cast("double"), F.lit(0))
-    rows = rows.withColumn("_c", choice).withColumn("price", F.col("_c.price")).withColumn("tier", F.col("_c.tier"))
+    choice = price_choice(F.col("_live"), F.col("_live_before"), F.col("eod_price"), own("prev_close", "double"), own("stale_days", "int"))
+    rows = rows.withColumn("_c", choice)
+    kept = {"price": "price", "tier": "tier", "exchange": "exchange", "prev_close": "before", "stale_days": "stale_days"}
+    rows = rows.withColumns({name: F.col(f"_c.{c}") for name, c in kept.items()}).withColumn("day_change_pct", change_pct(F.col("price"), F.col("prev_close")))
     ff = F.floor(F.col("factor") * F.col("shares") * F.col("price") + 0.5)
-    return rows.withColumn("ff", F.when(F.col("ff").isNotNull(), ff)).drop("_c", "_live")
+    return rows.withColumn("ff", F.when(F.col("ff").isNotNull(), ff)).drop("_c", "_live", "_live_before")
 
 
 def verdict_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """(key, before, after) of the rows whose verdict differs."""
     old, new = before.select(key, F.col("verdict").alias("before")), after.select(key, F.col("verdict").alias("after"))
     return old.join(new, key).filter(~F.col("before").eqNullSafe(F.col("after")))
-
-
-def start_latest(spark: SparkSession, path: str, checkpoint: str, state: str, changes: str, once: bool = True) -> StreamingQuery:
-    """Stream of quote files: the table ``state`` holds the latest quote by symbol, ``changes`` gets the symbols that each batch changed.
-
-    A batch joins its own latest quotes with the last version of the state, writes the next one beside it and, as a batch that is
-    run again writes the same versions, survives a restart. Only keys that changed are emitted.
-    """
-
-    def each(batch: DataFrame, n: int) -> None:
-        session = batch.sparkSession
-        new = latest(quotes(batch))
-        old = session.read.parquet(f"{state}/version={n - 1}") if n else new.limit(0)
-        both = old.unionByName(new).groupBy("symbol").agg(F.max_by("price", F.struct("received_at", "event_id")).alias("price"), F.max("received_at").alias("received_at"), F.max_by("event_id", F.struct("received_at", "event_id")).alias("event_id"))
-        both.write.mode("overwrite").parquet(f"{state}/version={n}")
-        changed(old, session.read.parquet(f"{state}/version={n}")).write.mode("overwrite").parquet(f"{changes}/batch={n}")
-
-    writer = spark.readStream.schema(QUOTE).parquet(path).writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()

@@ -79,19 +79,6 @@ def test_workbook_gaps(spark, tmp_path):
     assert got == {0: ["a", None, "2"], 1: ["b", None, "c"]}
 
 
-def test_stream_equals_batch_and_emits_changed_keys_only(spark, tmp_path):
-    rows = [(i, dt.datetime(2026, 1, 1, 0, i % 7), i % 3, "view" if i % 5 else "error", float(i - 2), "") for i in range(30)]
-    later = [(100, dt.datetime(2026, 1, 2), 1, "view", 77.0, ""), (101, dt.datetime(2025, 1, 1), 2, "view", 5.0, ""), (102, dt.datetime(2026, 1, 2), 0, "view", float("inf"), "")]
-    paths = {k: str(tmp_path / k) for k in ("in", "cp", "state", "changes")}
-    key = lambda df: sorted(map(tuple, df.select("symbol", "price").collect()))
-    for part in (rows, later):
-        spark.createDataFrame(part, live.QUOTE).coalesce(1).write.mode("append").parquet(paths["in"])
-        live.start_latest(spark, paths["in"], paths["cp"], paths["state"], paths["changes"]).awaitTermination()
-    every = spark.createDataFrame(rows + later, live.QUOTE)
-    assert key(spark.read.parquet(f"{paths['state']}/version=1")) == key(live.latest(live.quotes(every)))
-    assert [tuple(r) for r in spark.read.parquet(f"{paths['changes']}/batch=1").select("symbol", "price").collect()] == [(1, 77.0)]
-
-
 def test_guarded_write_holds_floors_and_leaves_nothing_behind(spark, tmp_path):
     none = spark.createDataFrame([], "rule string, key string")
     path = str(tmp_path / "t")
