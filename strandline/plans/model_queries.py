@@ -176,8 +176,8 @@ def _holding_tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     master = cust.select(F.col("c_custkey").alias("ord"), F.col("c_custkey").cast("string").alias("scrip_code"), F.expr("concat('C', c_custkey)").alias("scrip_id"), isin.alias("isin"), F.expr("if(c_custkey % 10 = 3, concat('Dup Co ', c_custkey % 50), c_name)").alias("name"))
     universe = supp.select(F.col("s_suppkey").alias("ord"), F.expr("concat('N', s_suppkey)").alias("symbol"), F.expr("concat(if(s_suppkey % 2 = 0, 'INC', 'INS'), lpad(cast(s_suppkey as string), 8, '0'), '1')").alias("isin"), F.col("s_name").alias("name"))
     seed = cust.filter("c_custkey % 4 = 0").select(F.col("c_custkey").alias("ord"), F.expr("concat('D-', c_custkey)").alias("symbol"), isin.alias("isin"), F.expr("cast(if(c_custkey % 8 = 0, c_custkey + 1, c_custkey) as string)").alias("scrip_code"), F.col("c_name").alias("name"))
-    confirmed = spark.createDataFrame([("PINA", "5", "INC000000051"), ("PINB", "6", "INC000000071")], "ticker string, scrip_code string, isin string")
-    blocked = spark.createDataFrame([("BLK", "Blocked", "not listed")], "ticker string, name_prefix string, reason string")
+    confirmed = spark.createDataFrame([(2, "PINB", "6", "INC000000071"), (1, "PINA", "5", "INC000000051"), (3, "PINA", "6", "INC000000061")], "ord int, ticker string, scrip_code string, isin string")
+    blocked = spark.createDataFrame([(2, "BLK", "Blocked", "listed elsewhere"), (1, "BLK", "Blocked Ltd", "not listed")], "ord int, ticker string, name_prefix string, reason string")
     return holdings, master, universe, seed, confirmed, blocked
 
 
