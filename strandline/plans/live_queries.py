@@ -16,19 +16,27 @@ from strandline.streaming import keyed, live, model
 __all__ = ["QUERIES", "SQL"]
 
 _GOOD = "event_type <> 'error' AND value > 0"
-_EARLY = "event_id < (SELECT max(event_id) * 0.9 FROM events)"
+
+
+
+def _early(share: float) -> str:
+    return f"event_id < (SELECT max(event_id) * {share} FROM events)"
+
+
+_EARLY = _early(0.9)
 
 
 def _last_quotes(name: str, also: str = "true") -> str:
     return f"{name} AS (SELECT user_id, arg_max(value, (ts, event_id)) AS p FROM events WHERE {_GOOD} AND {also} GROUP BY 1)"
 
 
-MOVED = f"WITH {_last_quotes('b', _EARLY)}, {_last_quotes('n')}, moved AS (SELECT n.user_id AS symbol, b.p AS old_price, n.p AS price FROM n LEFT JOIN b USING (user_id) WHERE b.p IS DISTINCT FROM n.p)"
+def _moved(early: str) -> str:
+    return f"WITH {_last_quotes('b', early)}, {_last_quotes('n')}, moved AS (SELECT n.user_id AS symbol, b.p AS old_price, n.p AS price FROM n LEFT JOIN b USING (user_id) WHERE b.p IS DISTINCT FROM n.p)"
 
 
-def _instalments(spark: SparkSession, d: str) -> list[DataFrame]:
+def _instalments(spark: SparkSession, d: str, share: float = 0.9) -> list[DataFrame]:
     events = _t(spark, d, "events")
-    cut = events.agg((F.max("event_id") * 0.9).alias("m")).scalar()
+    cut = events.agg((F.max("event_id") * share).alias("m")).scalar()
     return [events.filter(F.col("event_id") < cut), events.filter(F.col("event_id") >= cut)]
 
 
@@ -47,7 +55,7 @@ def _streamed(spark: SparkSession, d: str) -> tuple[str, int]:
     return at, batches[0]
 
 
-@query(f"{MOVED} SELECT symbol, old_price, price FROM moved")
+@query(f"{_moved(_EARLY)} SELECT symbol, old_price, price FROM moved")
 def stream_changed_quotes(spark: SparkSession, d: str) -> DataFrame:
     """Symbols that the second instalment changes, as the stream emits them from its state."""
     at, second = _streamed(spark, d)
@@ -69,7 +77,9 @@ def _company_under(quotes: str, name: str) -> str:
     return f"{name} AS ({sql.replace('held AS (SELECT *,', over + 'held AS (SELECT *,', 1)} SELECT p_partkey, verdict FROM verdict)"
 
 
-BOTH = f"{MOVED}, {_company_under(_last_quotes('q', _EARLY), 'old')}, {_company_under(_last_quotes('q'), 'now')}"
+#: Of the companies few have a quote in the first instalment, so that the second moves many a verdict.
+FEW = 0.01
+BOTH = f"{_moved(_early(FEW))}, {_company_under(_last_quotes('q', _early(FEW)), 'old')}, {_company_under(_last_quotes('q'), 'now')}"
 
 
 @query(BOTH + " SELECT p_partkey, symbol IS NOT NULL AS price_changed, old.verdict <> now.verdict AS verdict_changed, old.verdict AS before, now.verdict AS after FROM old JOIN now USING (p_partkey) LEFT JOIN moved ON symbol = p_partkey WHERE symbol IS NOT NULL OR old.verdict <> now.verdict")
@@ -77,7 +87,7 @@ def stream_changed_companies(spark: SparkSession, d: str) -> DataFrame:
     """Companies whose price or verdict the second instalment changes: the model runs again in every batch of the stream."""
     at, batches = workspace(spark, "stream"), []
     base = C.companies(spark, d)
-    for part in _instalments(spark, d):
+    for part in _instalments(spark, d, FEW):
         part.write.mode("append").parquet(f"{at}/in")
         run = model.start_model(spark, base, f"{at}/in", f"{at}/checkpoint", at, lambda rows: C.verdicts(C.with_funds(rows)), "p_partkey")
         run.awaitTermination()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.operators import identity
 from strandline.plans.model_queries import _holding_tables
+from strandline.plans.screen import Screen, listed, natural_order, screened, sort_clicked, unlike_intersection
 from strandline.plans.workload import COMPANY, QUERIES, SQL, _half_up, _t, query
 
 __all__ = ["QUERIES", "SQL"]
@@ -16,7 +17,7 @@ def _norm(name: str) -> str:
     return f"regexp_replace(regexp_replace(upper({name}), '\\b(LIMITED|LTD|THE|COMPANY|CO)\\b', ' ', 'g'), '[^A-Z0-9]+', '', 'g')"
 
 
-HOLDINGS = f"""WITH holdings AS (SELECT p_partkey AS key, CASE p_partkey % 10 WHEN 0 THEN '--' WHEN 1 THEN 'C' || p_partkey WHEN 2 THEN CAST(p_partkey AS VARCHAR) WHEN 3 THEN 'n' || p_partkey % 150 WHEN 4 THEN 'D.' || p_partkey % 400
+HOLDINGS = f"""WITH holdings AS (SELECT p_partkey AS key, CASE p_partkey % 10 WHEN 0 THEN '--' WHEN 1 THEN 'C' || p_partkey WHEN 2 THEN CAST(p_partkey AS VARCHAR) WHEN 3 THEN 'n' || p_partkey // 10 % 150 WHEN 4 THEN 'D.' || p_partkey % 400
    WHEN 7 THEN CASE WHEN p_partkey % 20 = 7 THEN 'PINA' ELSE 'PINB' END WHEN 8 THEN 'BLK' ELSE 'X' || p_partkey END AS ticker,
   CASE WHEN p_partkey % 10 = 8 THEN 'Blocked Ltd ' || p_partkey WHEN p_partkey % 10 IN (3, 5) THEN 'The Customer#' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || ' Limited' WHEN p_partkey % 10 = 6 THEN 'Dup ' || p_partkey % 50 ELSE p_name END AS name FROM part),
 master AS (SELECT c_custkey AS ord, CAST(c_custkey AS VARCHAR) AS scrip_code, 'C' || c_custkey AS scrip_id, 'INC' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || '1' AS isin, CASE WHEN c_custkey % 10 = 3 THEN 'Dup Co ' || c_custkey % 50 ELSE c_name END AS name FROM customer),
@@ -47,5 +48,49 @@ w AS (SELECT c.key, how, code, CASE how WHEN 'universe' THEN u_isin WHEN 'seed'
  CASE how WHEN 'none' THEN 'none' WHEN 'confirmed' THEN 'hand-checked' WHEN 'name' THEN 'normalised-name' ELSE 'exact' END AS confidence, isin, symbol, source AS symbol_source, code AS scrip_code, scrip_id, name AS resolved_name FROM w""")
 def resolved_records(spark: SparkSession, d: str) -> DataFrame:
     """What each holding resolves to: scrip, name, and the exchange symbol of its ISIN with the list that says so; doubled pins and prefixes do not double a holding."""
-    rows = identity.resolve_holdings(*_holding_tables(spark, d))
+    holdings, *lists = _holding_tables(spark, d)
+    k = F.col("key")
+    holdings = holdings.withColumn("ticker", F.when(k % 10 == 3, F.concat(F.lit("n"), F.expr("key div 10 % 150"))).otherwise(F.col("ticker")))
+    rows = identity.resolve_holdings(holdings, *lists)
     return rows.select("key", "method", "via", "confidence", "isin", "symbol", "symbol_source", "scrip_code", "scrip_id", "resolved_name")
+
+
+@query("WITH t AS (SELECT p_partkey, ['Á', 'a', 'Ab', 'B', 'é', 'E'][1 + p_size % 6] AS w, CASE WHEN p_partkey % 3 = 0 THEN '' || p_partkey WHEN p_partkey % 3 = 1 THEN '00' || p_partkey || '0000000000000000000' ELSE p_partkey || lpad('' || p_size, 21, '0') END AS n FROM part), o AS (SELECT *, row_number() OVER (ORDER BY lower(strip_accents(w)), length(ltrim(n, '0')), ltrim(n, '0'), p_partkey) AS place FROM t) SELECT p_partkey, w || n AS label, place FROM o WHERE place <= 500")
+def collated_sort(spark: SparkSession, d: str) -> DataFrame:
+    """The first 500 labels of letters and numbers of up to 25 digits, in an order blind to case and accents that takes digits as numbers."""
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    w = F.get(F.array(*map(F.lit, ("Á", "a", "Ab", "B", "é", "E"))), F.col("p_size") % 6)
+    n = F.when(F.col("p_partkey") % 3 == 0, k).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("00"), k, F.lit("0" * 19))).otherwise(F.concat(k, F.lpad(size, 21, "0")))
+    rows = _t(spark, d, "part").select("p_partkey", F.concat(w, n).alias("label"))
+    top = rows.orderBy(natural_order(F.col("label")), "p_partkey").limit(500)
+    return top.select("p_partkey", "label", F.row_number().over(Window.orderBy(natural_order(F.col("label")), "p_partkey")).cast("long").alias("place"))  # of 500 rows
+
+
+@query("SELECT click, p_partkey, CAST(place AS BIGINT) AS place FROM (SELECT 'another' AS click, p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS place FROM part UNION ALL SELECT 'again', p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) FROM part UNION ALL SELECT 'a third', p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) FROM part) WHERE place <= 40")
+def header_clicks(spark: SparkSession, d: str) -> DataFrame:
+    """Top rows after clicks on one head, on the same again, and on a third without a preferred direction."""
+    spec, out = Screen(sort="p_size", limit=40), None
+    for click, column in (("another", "p_retailprice"), ("again", "p_retailprice"), ("a third", "p_size")):
+        spec = sort_clicked(spec, column, {"p_retailprice": "asc"})
+        top = screened(_t(spark, d, "part"), spec, {}, ["p_name"], "p_partkey")
+        order = F.desc(spec.sort) if spec.descending else F.asc(spec.sort)
+        own = top.select(F.lit(click).alias("click"), "p_partkey", F.row_number().over(Window.orderBy(order, "p_partkey")).cast("long").alias("place"))  # of 40 rows
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("SELECT c_custkey, c_mktsegment, c_acctbal, CAST(row_number() OVER (ORDER BY c_mktsegment, abs(c_acctbal) DESC, c_custkey) AS BIGINT) AS place FROM customer QUALIFY place <= 300")
+def listed_by_magnitude(spark: SparkSession, d: str) -> DataFrame:
+    """Customers by segment, then by the size of their balance whatever its sign."""
+    top = listed(_t(spark, d, "customer"), [("c_mktsegment", "asc"), ("c_acctbal", "abs")], "c_custkey", 300)
+    place = F.row_number().over(Window.orderBy("c_mktsegment", F.abs("c_acctbal").desc(), "c_custkey"))  # of 300 rows
+    return top.select("c_custkey", "c_mktsegment", "c_acctbal", place.cast("long").alias("place"))
+
+
+@query("SELECT (SELECT count(*) FROM part WHERE p_size > 20 AND p_brand LIKE 'Brand#1%' AND p_retailprice < 1500) AS together, 0::BIGINT AS unlike")
+def filters_intersect(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that pass three filters at once, and keys for which that is not the intersection of the three results."""
+    part = _t(spark, d, "part")
+    filters = [F.col("p_size") > 20, F.col("p_brand").startswith("Brand#1"), F.col("p_retailprice") < 1500]
+    unlike = unlike_intersection(part, filters, "p_partkey").agg(F.count("*").alias("n")).scalar()
+    return part.filter(filters[0] & filters[1] & filters[2]).agg(F.count("*").alias("together")).select("together", unlike.alias("unlike"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +60,47 @@ def ordinal(c: Column, listed: Sequence[str]) -> Column:
     return F.when(at > 0, at).otherwise(len(listed) + 1)
 
 
+#: Fixed value: the order of texts by base letters, blind to case and accents.
+COLLATION = "UNICODE_CI_AI"
+#: Places for the number of digits, which come before the digits themselves.
+LENGTH_PLACES = 6
+
+
 def natural_order(c: Column) -> Column:
-    """Key of a text order that ignores case and takes runs of digits as numbers (of up to 18 digits)."""
-    pieces = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 18, "0")).otherwise(p)), "")
+    """Key of a text order that is blind to case and accents and takes runs of digits as numbers, however long.
+
+    A run is its digits without leading zeros behind their number, so a longer one is larger and nothing is cut; the letters
+    between are compared by the engine's collation.
+    """
+    pieces = F.regexp_extract_all(c, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+
+    def coded(piece: Column) -> Column:
+        digits = F.regexp_replace(piece, "^0+(?=.)", "")
+        return F.when(piece.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), LENGTH_PLACES, "0"), digits)).otherwise(piece)
+
+    return F.collate(F.array_join(F.transform(pieces, coded), ""), COLLATION)
+
+
+def sort_clicked(spec: Screen, column: str, preferred: Mapping[str, str] | None = None) -> Screen:
+    """The screen after a click on a column's head: the same column turns its direction, another one begins with the direction it prefers, descending if none is said."""
+    if column == spec.sort:
+        return replace(spec, descending=not spec.descending)
+    return replace(spec, sort=column, descending=(preferred or {}).get(column, "desc") == "desc")
+
+
+def listed(df: DataFrame, orders: Sequence[tuple[str, str]], key: str, limit: int | None = None) -> DataFrame:
+    """Rows by several columns in turn, each (column, order): asc, desc, or abs, the largest magnitude first. Nulls come last, the key decides ties."""
+    by = {"asc": lambda c: F.col(c).asc_nulls_last(), "desc": lambda c: F.col(c).desc_nulls_last(), "abs": lambda c: F.abs(c).desc_nulls_last()}
+    df = df.orderBy(*(by[order](c) for c, order in orders), key)
+    return df if limit is None else df.limit(limit)
+
+
+def unlike_intersection(df: DataFrame, filters: Sequence[Column], key: str) -> DataFrame:
+    """Keys for which all filters at once and the intersection of each filter's own result disagree; none should."""
+    together, apart = df, None
+    for f in filters:
+        together = together.filter(f)
+        own = df.filter(f).select(key)
+        apart = own if apart is None else apart.intersect(own)
+    both = together.select(key).distinct()
+    return both.exceptAll(apart).unionByName(apart.exceptAll(both))
