@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import ratio_class, rounded
+from strandline.operators.order import nearest_rank
+from strandline.plans.tables import stored
 
 OUTLIER_PCT = 10.0
 AGREES = 0.02
@@ -33,3 +35,12 @@ def adjudicated(rows: DataFrame, threshold: float = OUTLIER_PCT) -> DataFrame:
         exact.isNotNull(), F.format_string("counts differ by a corporate action of %.4g, no third source", exact)
     ).otherwise("counts differ by no corporate action and no third source covers the company")
     return out.select("key", status.alias("status"), side.alias("agrees_with"), rounded(F.col("gap_pct"), 3).alias("gap_pct"), rounded(ratio, 4).alias("share_ratio"), exact.alias("action"), cause.alias("cause"))
+
+
+def summary(rows: DataFrame, threshold: float = OUTLIER_PCT) -> DataFrame:
+    """One row: rows compared, median of the magnitude of their gaps (the upper one), rows over ``threshold`` and over 5 percent, outliers by status."""
+    both = stored(compared(rows).select("key", F.abs("gap_pct").alias("size")))
+    middle = nearest_rank(both.withColumn("all", F.lit(0)), ["all"], "size", 0.5, "median_gap", "key").agg(F.max("median_gap")).scalar()
+    told = adjudicated(rows, threshold).agg(*(F.count_if(F.col("status") == s).alias(s.replace("-", "_")) for s in ("resolved-ours", "resolved-theirs", "quarantine")))
+    counts = both.agg(F.count("*").alias("n_compared"), F.count_if(F.col("size") > threshold).alias("n_over"), F.count_if(F.col("size") > 5).alias("n_over_5"))
+    return counts.select("n_compared", rounded(middle, 3).alias("median_gap"), "n_over", "n_over_5", *(F.lit(v).cast("long").alias(k) for k, v in told.first().asDict().items()))

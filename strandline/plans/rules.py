@@ -1,21 +1,49 @@
-"""Data-quality rules as violations, and writes that they guard."""
+"""Data-quality rules as violations."""
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.scalar import csv_safe, recent_isin
+from strandline.functions.scalar import recent_isin
+from strandline.operators.lookup import collisions
 from strandline.plans.company import GAP, replayed
 
 
-def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
-    """(rule, key) for every row and rule whose condition, the forbidden state, holds; one scan for all rules."""
-    fired = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules.items())))
-    return df.select(F.explode(fired).alias("rule"), F.col(key).cast("string").alias("key"))
+def violations(df: DataFrame, key: str, rules: dict[str, Column], details: dict[str, Column] | None = None) -> DataFrame:
+    """(rule, key) for every row and rule whose condition, the forbidden state, holds; one scan for all rules. With ``details`` also what was seen, null for a rule that names nothing."""
+    says = lambda name: (details or {}).get(name, F.lit(None)).cast("string")
+    fired = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(name).alias("rule"), says(name).alias("detail"))) for name, c in rules.items())))
+    rows = df.select(F.explode(fired).alias("v"), F.col(key).cast("string").alias("key"))
+    return rows.select("v.rule", "key", *(["v.detail"] if details is not None else []))
+
+
+def company_details() -> dict[str, Column]:
+    """What the row rules saw."""
+    text = lambda label, c: F.concat(F.lit(f"{label}="), F.coalesce(F.col(c).cast("string"), F.lit("none")))
+    return {
+        "replay": text("verdict", "verdict"), "quarantine-unknown": text("verdict", "verdict"), "factor-range": text("factor", "factor"), "choice-has-source": text("rule", "rule"), "primary-has-source": text("rule", "rule"),
+        "choice-re-derives": text("rule", "rule"), "value-has-basis": text("basis", "basis"), "no-zero-weight": text("held", "ext_hold"),
+    }
+
+
+def fund_collisions(holdings: DataFrame) -> DataFrame:
+    """Holdings (fund, isin) of a fund that share an ISIN with another of the same fund: one of the two is the wrong company."""
+    return collisions(holdings.filter("isin IS NOT NULL"), ["fund", "isin"])
+
+
+def trade_claims(drift: DataFrame, key: str) -> DataFrame:
+    """(rule, key) of drift records (requires_trade) that claim a trade: price alone forces none."""
+    return violations(drift, key, {"drift-needs-no-trade": F.coalesce("requires_trade", F.lit(True))})
+
+
+def unit_problems(rows: DataFrame, sizes: DataFrame, key: str, fields: list[str], large: float = 2e10, least: float = 1e5) -> DataFrame:
+    """(rule, key, detail): rupee ``fields`` under ``least`` of companies that an independent source (key, size) calls large; size never comes from the fields under test."""
+    both = rows.join(sizes.filter(F.col("size") >= large), key)
+    small = F.array_compact(F.array(*(F.when(F.col(f) < least, F.concat(F.lit(f"{f}="), F.format_string("%.2f", F.col(f).cast("double")))) for f in fields)))
+    return both.select(F.lit("rupees-of-the-large").alias("rule"), F.col(key).cast("string").alias("key"), F.explode(small).alias("detail"))
 
 
 def company_rules() -> dict[str, Column]:
@@ -77,50 +105,5 @@ def not_re_derived(kept: DataFrame, fresh: DataFrame, keys: list[str], value: st
     return fresh.join(old, keys).filter(differs).drop("_kept")
 
 
-class Refused(ValueError):
-    """A write that its rules forbid; nothing was written."""
-
-
-def guarded_write(df: DataFrame, path: str, found: DataFrame, least_rows: int = 0, shrink: float = 1.0, floors: dict[str, tuple[Column, float]] | None = None) -> None:
-    """Replace ``path`` by ``df`` if ``found`` is empty, the rows reach ``least_rows`` and ``shrink`` of those there, and each share of ``floors`` its least.
-
-    The rows are written beside the target once and take its place by renaming, so the good table stays until the new one is
-    whole; what was refused is removed.
-    """
-    spark = df.sparkSession
-    bad = found.groupBy("rule").count().orderBy("rule").limit(100).collect()
-    if bad:
-        raise Refused("; ".join(f"{r['rule']}: {r['count']}" for r in bad))
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path
-    target = path.rstrip("/")
-    fs = at(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    new, old = (at(f"{target}-{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
-    try:
-        df.write.parquet(new.toString())
-        rows = spark.read.schema(df.schema).parquet(new.toString())
-        shares = {k: F.coalesce(F.avg(c.cast("double")), F.lit(0.0)).alias(k) for k, (c, _) in (floors or {}).items()}
-        got = rows.agg(F.count("*").alias("_n"), *shares.values()).first()
-        before = spark.read.parquet(target).count() if fs.exists(at(target)) else 0
-        if got["_n"] < least_rows or got["_n"] < shrink * before:
-            raise Refused(f"{got['_n']} rows; {least_rows} are the least, {before} are there")
-        if low := [f"{k}: {got[k]:.4f} of {least:g}" for k, (_, least) in (floors or {}).items() if got[k] < least]:
-            raise Refused("; ".join(low))
-        if fs.exists(at(target)):
-            fs.rename(at(target), old)
-        fs.rename(new, at(target))
-        fs.delete(old, True)
-    finally:
-        fs.delete(new, True)
-
-
-def export_csv(df: DataFrame, path: str, banner: list[str]) -> None:
-    """Rows in their order as CSV parts that no spreadsheet takes for formulas, and the banner, where the rows are from, beside them."""
-    safe = [csv_safe(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]
-    df.select(*safe).write.mode("overwrite").csv(f"{path}/rows", header=True, escape='"', lineSep="\n")
-    lines = df.sparkSession.createDataFrame([(line,) for line in banner], "value string")  # a few lines
-    lines.coalesce(1).write.mode("overwrite").text(f"{path}/banner")
-
-
 def all_violations(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
