@@ -159,11 +159,15 @@ c AS (SELECT *, (other_cap - full_cap) / full_cap * 100 AS gap, other_cap / quot
 
 @query(RECONCILE + f", o AS (SELECT *, CASE WHEN third IS NULL THEN NULL WHEN abs(third / shares - 1) < 0.02 THEN 'ours' WHEN coalesce(abs(third / theirs - 1) < 0.02, false) THEN 'theirs' ELSE 'neither' END AS side FROM c WHERE abs(gap) > 10) SELECT key, CASE side WHEN 'ours' THEN 'resolved-ours' WHEN 'theirs' THEN 'resolved-theirs' ELSE 'quarantine' END AS status, side AS agrees_with, {_half_up('gap', 3)} AS gap_pct, {_half_up('ratio', 4)} AS share_ratio, CASE WHEN abs(ratio - 2) / 2 <= 0.002 THEN 2.0 WHEN abs(ratio - 0.5) / 0.5 <= 0.002 THEN 0.5 WHEN abs(ratio - 1.25) / 1.25 <= 0.002 THEN 1.25 END::DOUBLE AS action FROM o")
 def share_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    return R.adjudicated(_reconciled_rows(spark, d)).drop("cause")
+
+
+def _reconciled_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Companies with the value and quote of a second source, and free shares of a third one for two of three."""
     k = F.col("p_partkey")
     off = F.when(k % 13 == 0, None).when(k % 20 == 0, 2.0).when(k % 20 == 7, 1.25).when(k % 20 == 9, 0.5).when(k % 20 == 13, 1.17).otherwise(1 + (k % 7) / 1000)
     free = F.when(k % 3 == 0, F.col("factor") * F.col("shares") * 1.001).when(k % 3 == 1, F.col("factor") * F.col("shares") * off)
-    rows = C.companies(spark, d).select(k.alias("key"), "shares", "price", "factor", (F.col("shares") * F.col("price") * off).alias("other_cap"), F.when(k % 17 != 5, F.col("price")).alias("quote"), free.alias("implied_free"))
-    return R.adjudicated(rows).drop("cause")
+    return C.companies(spark, d).select(k.alias("key"), "shares", "price", "factor", (F.col("shares") * F.col("price") * off).alias("other_cap"), F.when(k % 17 != 5, F.col("price")).alias("quote"), free.alias("implied_free"))
 
 
 def _holding_tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:

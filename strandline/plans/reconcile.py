@@ -32,7 +32,7 @@ def adjudicated(rows: DataFrame, threshold: float = OUTLIER_PCT) -> DataFrame:
     status = F.when(side == "ours", "resolved-ours").when(side == "theirs", "resolved-theirs").otherwise("quarantine")
     exact = ratio_class(ratio)
     cause = F.when(status == "resolved-ours", "third source matches our count").when(status == "resolved-theirs", "third source matches the other count").when(
-        exact.isNotNull(), F.format_string("counts differ by a corporate action of %.4g, no third source", exact)
+        exact.isNotNull(), F.concat(F.lit("counts differ by a corporate action of "), F.regexp_replace(rounded(exact, 4).cast("string"), r"\.0$", ""), F.lit(", no third source"))
     ).otherwise("counts differ by no corporate action and no third source covers the company")
     return out.select("key", status.alias("status"), side.alias("agrees_with"), rounded(F.col("gap_pct"), 3).alias("gap_pct"), rounded(ratio, 4).alias("share_ratio"), exact.alias("action"), cause.alias("cause"))
 

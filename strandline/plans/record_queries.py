@@ -166,6 +166,16 @@ def quarantine_list(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("s_suppkey", F.col("quarantine").isNotNull().alias("quarantined"), F.col("quarantine.reason").alias("reason"), F.col("quarantine.gap_pct").alias("gap_pct"))
 
 
+def float_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Parts with two readings of their float, of which some lack one, and the rupees that one source publishes."""
+    q = F.col("l_quantity")
+    bse = rounded(F.sum(F.when(F.col("l_linestatus") == "O", q)) / F.sum(q), 4)
+    per = _t(spark, d, "lineitem").groupBy("l_partkey").agg(F.sum(q).alias("shares"), bse.alias("factor_bse"), F.sum(F.when(F.col("l_returnflag") == "N", q)).alias("implied_nse"), F.sum(F.when(F.col("l_returnflag") == "A", F.col("l_extendedprice"))).alias("rupees_nse"))
+    size = F.col("p_size")
+    rows = _t(spark, d, "part").join(per, F.col("p_partkey") == F.col("l_partkey"), "left").withColumn("price", F.col("p_retailprice"))
+    return rows.withColumns({"full_cap": F.when(size % 6 != 0, F.col("shares") * F.col("price") * 1.01), "factor_bse": F.when(size % 5 != 0, F.col("factor_bse")), "implied_nse": F.when(size % 4 != 0, F.col("implied_nse"))})
+
+
 FLOATS = f"""WITH per AS (SELECT l_partkey, sum(l_quantity) AS shares, {_half_up("sum(CASE WHEN l_linestatus = 'O' THEN l_quantity END) / sum(l_quantity)", 4)} AS bse, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity END) AS implied, sum(CASE WHEN l_returnflag = 'A' THEN l_extendedprice END) AS rupees FROM lineitem GROUP BY 1),
 b AS (SELECT p_partkey, p_retailprice AS price, shares, CASE WHEN p_size % 6 <> 0 THEN shares * p_retailprice * 1.01 END AS full_cap, CASE WHEN p_size % 5 <> 0 THEN bse END AS bse, CASE WHEN p_size % 4 <> 0 THEN implied END AS implied, rupees FROM part LEFT JOIN per ON l_partkey = p_partkey),
 n AS (SELECT *, {_half_up('implied / shares', 6)} AS f FROM b), m AS (SELECT *, CASE WHEN f > 0 AND f <= 1.02 THEN f END AS nse FROM n),
@@ -180,13 +190,7 @@ e AS (SELECT *, CASE WHEN rule IS NULL AND rupees > 0 THEN 'nse-only-published-r
  CASE WHEN factor IS NOT NULL THEN 'factor x shares x price' WHEN how = 'rupees' THEN 'published rupees of the second exchange' END AS basis, CASE how WHEN 'formed' THEN CASE WHEN rule LIKE 'nse%' THEN 'nse' ELSE 'bse' END WHEN 'rupees' THEN 'nse' END AS source FROM e""")
 def float_choice_records(spark: SparkSession, d: str) -> DataFrame:
     """Which exchange's float counts for every part, by which rule and gap, and the free float with its basis and source."""
-    q = F.col("l_quantity")
-    bse = rounded(F.sum(F.when(F.col("l_linestatus") == "O", q)) / F.sum(q), 4)
-    per = _t(spark, d, "lineitem").groupBy("l_partkey").agg(F.sum(q).alias("shares"), bse.alias("factor_bse"), F.sum(F.when(F.col("l_returnflag") == "N", q)).alias("implied_nse"), F.sum(F.when(F.col("l_returnflag") == "A", F.col("l_extendedprice"))).alias("rupees_nse"))
-    size = F.col("p_size")
-    rows = _t(spark, d, "part").join(per, F.col("p_partkey") == F.col("l_partkey"), "left").withColumn("price", F.col("p_retailprice"))
-    rows = rows.withColumns({"full_cap": F.when(size % 6 != 0, F.col("shares") * F.col("price") * 1.01), "factor_bse": F.when(size % 5 != 0, F.col("factor_bse")), "implied_nse": F.when(size % 4 != 0, F.col("implied_nse"))})
-    out = R.with_float(rows)
+    out = R.with_float(float_rows(spark, d))
     return out.select("p_partkey", *(F.col(f"choice.{c}").alias(c) for c in ("rule", "chose", "gap_pct", "threshold_pct", "factor")), "ff_at_capture", "ff", "basis", "source")
 
 

@@ -42,7 +42,7 @@ def trade_claims(drift: DataFrame, key: str) -> DataFrame:
 def unit_problems(rows: DataFrame, sizes: DataFrame, key: str, fields: list[str], large: float = 2e10, least: float = 1e5) -> DataFrame:
     """(rule, key, detail): rupee ``fields`` under ``least`` of companies that an independent source (key, size) calls large; size never comes from the fields under test."""
     both = rows.join(sizes.filter(F.col("size") >= large), key)
-    small = F.array_compact(F.array(*(F.when(F.col(f) < least, F.concat(F.lit(f"{f}="), F.format_string("%.2f", F.col(f).cast("double")))) for f in fields)))
+    small = F.array_compact(F.array(*(F.when(F.col(f) < least, F.concat(F.lit(f"{f}="), F.floor(f).cast("string"))) for f in fields)))
     return both.select(F.lit("rupees-of-the-large").alias("rule"), F.col(key).cast("string").alias("key"), F.explode(small).alias("detail"))
 
 
