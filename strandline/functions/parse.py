@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WESTERN = r"^-?(\d{1,3}(,\d{3})+|\d+)(\.\d+)?$"
-INDIAN = r"^-?\d{1,2}(,\d{2})*,\d{3}(\.\d+)?$"
+#: Shapes of numbers in the feeds.
+GROUPED = r"^-?\d{1,3}(,\d{2,3})*(\.\d+)?$"
 PLAIN = r"^-?\d+(\.\d+)?$"
-DATES = ("yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss'Z'", "d-MMM-yyyy HH:mm:ss", "d MMM yy '|' HH:mm", "MMM d, yyyy")
+#: Shapes of dates in the feeds.
+DATES = ("yyyy-MM-dd", "d-MMM-yyyy[ HH:mm:ss]", "d MMM yy '|' HH:mm", "MMM d, yyyy")
+INSTANT = "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSSSSS][XXX]"
 
 
 def grouped_number(c: Column) -> Column:
-    """Number with Indian or Western grouping, the whole string or null."""
+    """Number with groups of two or three digits, the whole string or null."""
     t = F.trim(c)
-    return F.when(t.rlike(WESTERN) | t.rlike(INDIAN), F.replace(t, F.lit(","), F.lit("")).try_cast("double"))
+    return F.when(t.rlike(GROUPED) | t.rlike(PLAIN), F.replace(t, F.lit(","), F.lit("")).try_cast("double"))
 
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -64,7 +66,7 @@ def csv_text(c: Column) -> Column:
 
 
 #: What quotes write where they have nothing.
-MISSING = ("", "-", "--", "N/A", "NA", "null", "undefined", "NaN", "Infinity", "-Infinity")
+MISSING = ("", "N/A", "NA", "None", "null", "nan", "-", "--", "Infinity")
 
 
 def quote_text(c: Column) -> Column:
@@ -77,10 +79,10 @@ def quote_number(c: Column) -> Column:
 
 
 def quote_range(c: Column) -> Column:
-    """`lo - hi` to a struct, null unless both are numbers."""
-    t = quote_text(c)
-    lo, hi = (_number(F.regexp_extract(t, r"^(\S+)\s+-\s+(\S+)$", i)) for i in (1, 2))
-    return F.when(lo.isNotNull() & hi.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi")))
+    """`lo - hi` to {lo, hi}; a half that is no number is null, and both are where there are not two halves."""
+    halves = F.split(quote_text(c), r"\s*-\s*")
+    half = lambda i: F.when(F.size(halves) == 2, _number(F.get(halves, F.lit(i))))
+    return F.struct(half(0).alias("lo"), half(1).alias("hi"))
 
 
 def quote_date(c: Column) -> Column:
@@ -89,14 +91,22 @@ def quote_date(c: Column) -> Column:
     return F.when(t.rlike(r"^\d{9,11}$"), F.timestamp_seconds(t.try_cast("long")).cast("date")).otherwise(feed_date(t))
 
 
-def quote_record(kv: Column, raw: Column, envelope_price: Column) -> Column:
-    """Fields of a `k=v` quote, ``kv`` being the column of its ``key_values``; the price of the envelope counts before that of the text, which is kept."""
+#: Fields of a quote that are numbers, by the labels of the text.
+QUOTE_NUMBERS = {
+    "prev_close": "Previous Close", "open": "Opening Price", "market_cap": "Market Cap", "volume": "Last Volume", "volume_10d": "10-Day Average Volume", "volume_3m": "3-Month Average Volume",
+    "average_50d": "50-Day Moving Average", "average_200d": "200-Day Moving Average", "year_change_pct": "Yearly Change (%)",
+}
+
+
+def quote_record(kv: Column, raw: Column, envelope_price: Column, status: Column | None = None) -> Column:
+    """Fields of a `k=v` quote, ``kv`` being the column of its ``key_values``: a finite price of the envelope counts before that of the text, which is kept."""
     f = lambda name: kv[name]
+    finite = F.when(~F.isnan(envelope_price) & (F.abs(envelope_price) < float("inf")), envelope_price)
+    day, year = quote_range(f("Day Range")), quote_range(f("52-Week Range"))
     return F.struct(
-        quote_text(f("Symbol")).alias("symbol"), quote_text(f("Company Name")).alias("name"), F.coalesce(positive(envelope_price), positive(quote_number(f("Current Price")))).alias("price"),
-        positive(quote_number(f("Previous Close"))).alias("prev_close"), quote_number(f("Open")).alias("open"), quote_range(f("Day Range")).alias("day_range"), quote_range(f("52-Week Range")).alias("year_range"),
-        quote_number(f("Volume")).alias("volume"), quote_number(f("Market Cap")).alias("market_cap"), quote_text(f("Last Split Factor")).alias("split_factor"), quote_date(f("Last Split Date")).alias("split_date"),
-        quote_text(f("Exchange")).alias("exchange"), raw.alias("raw"),
+        quote_text(f("Symbol")).alias("symbol"), quote_text(f("Company Name")).alias("name"), (F.lit(None).cast("string") if status is None else status).alias("status"), F.coalesce(finite, quote_number(f("Current Price"))).alias("price"),
+        *(quote_number(f(label)).alias(name) for name, label in QUOTE_NUMBERS.items()), day.alias("day_range"), year.alias("year_range"),
+        quote_text(f("Last Split Factor")).alias("split_factor"), quote_date(f("Last Split Date")).alias("split_date"), quote_text(f("Exchange")).alias("exchange"), raw.alias("raw"), F.lit("nse").alias("source"),
     )
 
 
@@ -119,13 +129,34 @@ def crore_to_rupees(c: Column) -> Column:
 
 
 def feed_date(c: Column) -> Column:
-    """Date of the feeds' shapes, else null."""
-    return F.coalesce(*(F.try_to_timestamp(F.trim(c), F.lit(f)).cast("date") for f in DATES))
+    """Date of the feeds' shapes, an instant's in UTC, else null."""
+    t = F.regexp_replace(F.regexp_replace(F.trim(c), r"\s*\|\s*", " | "), r"\s+", " ")
+    instant = F.try_to_timestamp(F.when(t.rlike("T"), t), F.lit(INSTANT))
+    zoned = F.when(t.rlike(r"(Z|[+-]\d\d:\d\d)$"), F.to_utc_timestamp(instant, F.current_timezone())).otherwise(instant)
+    return F.coalesce(*(F.try_to_timestamp(t, F.lit(f)).cast("date") for f in DATES), zoned.cast("date"))
+
+
+LETTERS_AND_DIGITS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+#: What a label may hold besides letters and digits, and not begin with.
+LABEL_MARKS = " ()%./-"
+
+
+def _begins_pair(piece: Column) -> Column:
+    """Whether a piece between commas begins with a label and an equals sign; a label holds a letter, and begins with a letter or a digit."""
+    label = F.ltrim(F.substring_index(piece, "=", 1))
+    fit = F.translate(label, LETTERS_AND_DIGITS + LABEL_MARKS, "") == ""
+    return (F.instr(piece, "=") > 1) & fit & (F.translate(F.left(label, F.lit(1)), LETTERS_AND_DIGITS, "") == "") & label.rlike("[A-Za-z]")
 
 
 def key_values(c: Column) -> Column:
-    """`k=v,k=v` to a map; a comma parts two pairs only where a key follows, the last of equal keys wins."""
-    parts = F.split(c, r",(?=\s*(?=[\w \-/.()%]*[A-Za-z])[A-Za-z0-9][\w \-/.()%]*=)")
-    keyed = F.transform(F.filter(parts, lambda x: F.instr(x, "=") > 1), lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("key"), F.trim(F.regexp_replace(x, "^[^=]*=", "")).alias("value")))
+    """`k=v,k=v` to a map. Pieces between commas that begin with no label belong to the value before them, and what stands before the first label to none; the last of equal keys wins."""
+    empty = F.array().cast("array<string>")
+
+    def glued(done: Column, piece: Column) -> Column:
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(F.element_at(done, -1), F.lit(","), piece)))
+        return F.when(_begins_pair(piece), F.concat(done, F.array(piece))).when(F.size(done) > 0, longer).otherwise(done)
+
+    parts = F.aggregate(F.split(c, ","), empty, glued)
+    keyed = F.transform(parts, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("key"), F.trim(F.substring(x, F.instr(x, "=") + 1, F.length(x))).alias("value")))
     last = F.filter(keyed, lambda x, i: ~F.exists(F.slice(keyed, i + 2, F.size(keyed)), lambda y: y["key"] == x["key"]))
     return F.map_from_entries(last)

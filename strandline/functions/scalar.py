@@ -145,6 +145,16 @@ def upcoming_reviews(d: Column, n: int) -> Column:
     return F.slice(F.filter(ends, lambda e: e > d), 1, n)
 
 
+#: Time zone, first and last minute of the sessions, Monday to Friday.
+SESSIONS = {"india": ("Asia/Kolkata", 9 * 60 + 15, 15 * 60 + 30), "usa": ("America/New_York", 9 * 60 + 30, 16 * 60)}
+
+
+def in_market_hours(utc: Column, market: str) -> Column:
+    """Whether a market is in session at an instant, by its own clock; holidays are not known."""
+    zone, opens, closes = SESSIONS[market]
+    return market_open(F.from_utc_timestamp(utc, zone), opens, closes)
+
+
 def india_time(utc: Column) -> Column:
     return F.from_utc_timestamp(utc, "Asia/Kolkata")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.functions import format as fmt
 from strandline.functions import scalar
 from strandline.functions.scalar import rounded
 from strandline.operators import identity
@@ -12,6 +13,7 @@ from strandline.plans import company as C
 from strandline.plans import records as R
 from strandline.plans.model_queries import _holding_tables
 from strandline.plans.screen import Screen, listed, natural_order, screened, sort_clicked, unlike_intersection
+from strandline.sources.readers import paired_arrays
 from strandline.plans.workload import COMPANY, QUERIES, SQL, _half_up, _t, query
 
 __all__ = ["QUERIES", "SQL"]
@@ -245,3 +247,28 @@ def universe_pruning(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     seed = _t(spark, d, "customer").filter("c_acctbal > 8000").select(k.alias("ord"), k.cast("string").alias("scrip_code"), F.when(k % 3 == 0, "INE").otherwise(isin(k)).alias("isin"))
     return R.universe_to_fetch(master, held, seed, 1800.0).select("route", "reason", "scrip_code")
+
+
+@query("SELECT l_partkey, CAST(l_shipdate AS DATE) AS date, l_extendedprice AS close FROM lineitem WHERE l_discount > 0.02")
+def zipped_series(spark: SparkSession, d: str) -> DataFrame:
+    """Closes of parallel arrays of times and values, by order; values of zero, below zero and nulls are no closes."""
+    value = F.when(F.col("l_discount") > 0.02, F.col("l_extendedprice")).when(F.col("l_discount") > 0.01, 0.0).when(F.col("l_discount") > 0, -F.col("l_extendedprice"))
+    rows = _t(spark, d, "lineitem").withColumns({"t": F.unix_timestamp(F.col("l_shipdate").cast("timestamp")), "v": value})
+    pairs = rows.groupBy("l_orderkey", "l_partkey").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("p"))  # the lines of an order
+    return paired_arrays(pairs.select("l_partkey", F.col("p.t").alias("t"), F.col("p.v").alias("v")), "t", "v", "l_partkey")
+
+
+@query("SELECT market, count(*) AS n FROM (SELECT 'india' AS market, ts + INTERVAL 330 MINUTE AS l, 555 AS o, 930 AS c FROM events UNION ALL SELECT 'usa', ts - CASE WHEN ts >= date_trunc('year', ts) + INTERVAL 2 MONTH + to_days(CAST(14 - isodow(date_trunc('year', ts) + INTERVAL 2 MONTH) AS INTEGER)) + INTERVAL 7 HOUR AND ts < date_trunc('year', ts) + INTERVAL 10 MONTH + to_days(CAST(7 - isodow(date_trunc('year', ts) + INTERVAL 10 MONTH) AS INTEGER)) + INTERVAL 6 HOUR THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END, 570, 960 FROM events) WHERE isodow(l) <= 5 AND hour(l) * 60 + minute(l) BETWEEN o AND c GROUP BY 1")
+def market_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Events inside the sessions of two markets, each by its own clock with its summer time."""
+    ts = F.col("ts").cast("timestamp")
+    markets = F.array_compact(F.array(*(F.when(scalar.in_market_hours(ts, m), F.lit(m)) for m in scalar.SESSIONS)))
+    return _t(spark, d, "events").select(F.explode(markets).alias("market")).groupBy("market").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, CASE WHEN v IS NULL THEN '—' ELSE CASE WHEN v > 0 THEN '+' ELSE '' END || printf('%.2f', v) || '%' END AS day, CASE WHEN f IS NULL THEN '—' WHEN f <> 0 AND abs(f) < 0.005 THEN CASE WHEN f < 0 THEN '>-' ELSE '<' END || '0.01%' ELSE printf('%.2f', f) || '%' END AS factor, n || CASE WHEN n = 1 THEN ' part' ELSE ' parts' END AS parts FROM (SELECT p_partkey, p_size AS n, CASE WHEN p_size % 5 <> 0 THEN (p_size - 25) / 7.3::DOUBLE END AS v, CASE WHEN p_size % 7 <> 0 THEN (p_size - 20) / 1024 END AS f FROM part)")
+def change_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Day changes, shares and counts as texts."""
+    n = F.col("p_size")
+    day, factor = F.when(n % 5 != 0, (n - 25) / 7.3), F.when(n % 7 != 0, (n - 20) / 102400)
+    return _t(spark, d, "part").select("p_partkey", fmt.day_change_text(day).alias("day"), fmt.factor_percent(factor).alias("factor"), F.concat(n.cast("string"), F.lit(" "), fmt.plural(n, "part")).alias("parts"))

@@ -9,10 +9,10 @@ from pyspark.sql import types as T
 from strandline.functions.parse import count_value, feed_date, price
 
 
-def strict_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
-    """Columns ``required`` by header name as strings, and ``reject_reason`` (null where good).
+def strict_csv(spark: SparkSession, path: str, required: list[str], optional: list[str] | None = None) -> DataFrame:
+    """Columns ``required`` and ``optional`` by header name as strings, and ``reject_reason`` (null where good).
 
-    A missing or doubled header raises. A row with fewer cells than the header is rejected; more cells are ignored.
+    A missing or doubled header raises; an optional column that is not there is null. A row with fewer cells than the header is rejected; more cells are ignored.
     """
     header = spark.read.csv(path, multiLine=True, escape='"').first()
     names = [(c or "").lstrip("﻿").strip() for c in header] if header else []
@@ -26,7 +26,8 @@ def strict_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame
     # a corrupt row is a short or a long one: its cells are counted with the quoted ones closed up
     cells = F.size(F.split(F.regexp_replace("_corrupt", r'"([^"]|"")*"', "q"), ","))
     short = F.col("_corrupt").isNotNull() & (cells < len(names))
-    return rows.select(*(F.trim(f"c{names.index(c)}").alias(c) for c in required), F.when(short, "short row").alias("reject_reason"))
+    cell = lambda c: F.trim(f"c{names.index(c)}") if c in names else F.lit(None).cast("string")
+    return rows.select(*(cell(c).alias(c) for c in [*required, *(optional or [])]), F.when(short, "short row").alias("reject_reason"))
 
 
 def csv_cells(line: Column, n: int) -> Column:
@@ -116,17 +117,23 @@ def preamble(rows: DataFrame, label: str) -> DataFrame:
     return above.filter(~title | feed_date(F.col("key")).isNull()).select("row_no", F.when(~title, F.col("key")).alias("key"), F.when(title, F.col("key")).otherwise(F.col("value")).alias("value"))
 
 
-PRICE_COLUMNS = ("TradDt", "FinInstrmId", "ISIN", "TckrSymb", "FinInstrmNm", "SctySrs", "FinInstrmTp", "OpnPric", "HghPric", "LwPric", "ClsPric", "LastPric", "PrvsClsgPric")
+#: Columns of a price file in the file's own order; the last two may be missing.
+PRICE_COLUMNS = ("TradDt", "FinInstrmTp", "FinInstrmId", "ISIN", "TckrSymb", "SctySrs", "FinInstrmNm", "OpnPric", "HghPric", "LwPric", "ClsPric", "LastPric", "PrvsClsgPric")
+OPTIONAL_PRICE_COLUMNS = ("TtlTradgVol", "TtlNbOfTxsExctd")
 
 
 def price_file(spark: SparkSession, path: str) -> DataFrame:
-    """A day's prices by header name: prices of zero or less are null, volumes of zero stay, rows without id are left out."""
-    rows = strict_csv(spark, path, [*PRICE_COLUMNS, "TtlTradgVol"])
+    """A day's prices by header name: prices of zero or less are null, counts of zero stay, cells that a short row lacks are null.
+
+    Rows without a scrip code come with ``reject_reason``, which is null for all others, so that they can be counted.
+    """
+    rows = strict_csv(spark, path, [*PRICE_COLUMNS], [*OPTIONAL_PRICE_COLUMNS])
     named = {"open": "OpnPric", "high": "HghPric", "low": "LwPric", "close": "ClsPric", "last": "LastPric", "prev_close": "PrvsClsgPric"}
-    rows = rows.filter("reject_reason IS NULL AND FinInstrmId <> ''")
+    text = lambda c: F.when(F.col(c) != "", F.col(c))
     return rows.select(
-        F.col("FinInstrmId").alias("scrip_code"), F.col("ISIN").alias("isin"), F.col("TckrSymb").alias("symbol"), F.col("FinInstrmNm").alias("name"), F.col("SctySrs").alias("series"), F.col("FinInstrmTp").alias("kind"),
-        feed_date(F.col("TradDt")).alias("trade_date"), *(price(F.col(c)).alias(n) for n, c in named.items()), count_value(F.col("TtlTradgVol")).alias("volume"),
+        text("FinInstrmId").alias("scrip_code"), text("ISIN").alias("isin"), text("TckrSymb").alias("symbol"), text("FinInstrmNm").alias("name"), text("SctySrs").alias("series"), text("FinInstrmTp").alias("kind"),
+        feed_date(F.col("TradDt")).alias("trade_date"), *(price(F.col(c)).alias(n) for n, c in named.items()), count_value(F.col("TtlTradgVol")).alias("volume"), count_value(F.col("TtlNbOfTxsExctd")).alias("trades"),
+        F.when(text("FinInstrmId").isNull(), "no scrip code").alias("reject_reason"),
     )
 
 

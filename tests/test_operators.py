@@ -139,12 +139,17 @@ def test_short_and_long_rows(spark, tmp_path):
 
 
 def test_price_file_and_shape_guard(spark, tmp_path):
-    head = ",".join([*readers.PRICE_COLUMNS, "TtlTradgVol"])
-    good = ["2026-08-17", "500", "INE000000001", "T", '"A, B"', "A", "STK", "1", "0", "-1", "2.5", "NaN", "1,000", "0"]
+    cells = {"TradDt": "2026-08-17", "FinInstrmTp": "STK", "FinInstrmId": "500", "ISIN": "INE000000001", "TckrSymb": "T", "SctySrs": "A", "FinInstrmNm": '"A, B"', "OpnPric": "1", "HghPric": "0", "LwPric": "-1", "ClsPric": "2.5", "LastPric": "NaN", "PrvsClsgPric": '"1,000"'}
+    assert list(cells) == list(readers.PRICE_COLUMNS)
+    line = lambda **other: ",".join((cells | other).values())
     p = tmp_path / "p.csv"
-    p.write_text(head + "\n" + ",".join(good[:-2] + ['"1,000"', "0"]) + "\n" + ",".join(["2026-08-17", "", *good[2:-2], "3", "0"]) + "\n")
-    (row,) = readers.price_file(spark, str(p)).collect()
-    assert (row.scrip_code, row.name, row.open, row.high, row.low, row.close, row.last, row.prev_close, row.volume) == ("500", "A, B", 1.0, None, None, 2.5, None, 1000.0, 0.0)
+    p.write_text("\n".join([",".join([*cells, "TtlTradgVol", "TtlNbOfTxsExctd"]), line() + ",0,7", line(FinInstrmId="") + ",3,1", "2026-08-17,STK,501,INE000000002"]) + "\n")
+    nameless, row, short = sorted(readers.price_file(spark, str(p)).collect(), key=lambda r: r.scrip_code or "")
+    assert (row.scrip_code, row.name, row.open, row.high, row.low, row.close, row.last, row.prev_close, row.volume, row.trades) == ("500", "A, B", 1.0, None, None, 2.5, None, 1000.0, 0.0, 7.0)
+    assert nameless.reject_reason == "no scrip code" and row.reject_reason is None and (short.scrip_code, short.isin, short.close, short.reject_reason) == ("501", "INE000000002", None, None)
+    p.write_text(",".join(cells) + "\n" + line() + "\n")  # neither optional column
+    (bare,) = readers.price_file(spark, str(p)).collect()
+    assert (bare.close, bare.volume, bare.trades, bare.trade_date) == (2.5, None, None, dt.date(2026, 8, 17))
     texts = [("D,X\n2026-01-01,1", "text/csv"), ("D,X\n1 Jan,1", "text/html; x"), ("<html>", None)]
     found = spark.createDataFrame(texts, "t string, c string").select(readers.shape_problems(F.col("t"), ["D"], F.col("c"), "D", F.lit("2026-01-01").cast("date")).alias("p")).collect()
     assert [r.p for r in found] == [[], ["html content type", "date is not iso"], ["markup", "fewer than two lines", "no column D"]]
