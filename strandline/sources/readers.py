@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.parse import count_value, feed_date, price
+from strandline.plans.tables import stored
+from strandline.sources.workbook import WorkbookSource, opened
 
 
 def strict_csv(spark: SparkSession, path: str, required: list[str], optional: list[str] | None = None) -> DataFrame:
@@ -62,35 +67,66 @@ def shape_problems(text: Column, required: list[str] | None = None, content_type
     return F.array_compact(F.array(*(F.when(bad, F.lit(why)) for bad, why in checks)))
 
 
+#: What is read of a file before it is admitted.
+HEAD_BYTES = 1 << 14
+
+
+def _heads(required: Sequence[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            headers, problems = [], []
+            for path, length in zip(pdf["path"], pdf["length"], strict=True):
+                with opened(path) as f:
+                    head = f.read(HEAD_BYTES).decode("utf-8", "replace").lstrip("\ufeff")
+                lines = [line for line in head.splitlines() if line.strip()]
+                start = head[:400].lower()
+                names = [c.strip().strip('"') for c in lines[0].split(",")] if lines else []
+                found = ["empty"] if not lines and length <= HEAD_BYTES else []
+                found += ["markup"] if "<!doctype" in start or "<html" in start else []
+                found += ["fewer than two lines"] if len(lines) < 2 and length <= HEAD_BYTES else []
+                headers.append(names)
+                problems.append(found + [f"no column {c}" for c in required if c not in names])
+            yield pd.DataFrame({"file": pdf["path"], "size": pdf["length"], "header": headers, "problems": problems})
+
+    return run
+
+
+def admitted_files(spark: SparkSession, path: str, required: Sequence[str], date_column: str | None = None, expected: str | None = None) -> DataFrame:
+    """(file, size, problems) of every delimited file under ``path``; one without problems is admitted.
+
+    Files are listed without being read; of each the first ``HEAD_BYTES`` are looked at, which tell an empty file, a page of markup, a file of one line and
+    missing columns. Only what passes is read on, line by line, for dates that are not ISO or not the ``expected`` one.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    heads = stored(files.mapInPandas(_heads(required), "file string, size long, header array<string>, problems array<string>"))
+    if not date_column:
+        return heads.select("file", "size", "problems")
+    good = heads.filter(F.size("problems") == 0)
+    paths = [r["file"] for r in good.select("file").collect()]  # a name a file
+    if not paths:
+        return heads.select("file", "size", "problems")
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value").filter(F.trim("value") != "")
+    at = good.select(F.col("file").alias("_file"), (F.array_position("header", date_column) - 1).cast("int").alias("_at"))
+    rows = lines.join(at, F.regexp_replace("file", "^file:/+", "/") == F.regexp_replace("_file", "^file:/+", "/"))
+    cell = F.regexp_replace(F.trim(F.get(F.split("value", ","), F.col("_at"))), '^"|"$', "")
+    iso = F.coalesce(cell.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))
+    per = rows.filter(F.coalesce(cell, F.lit("")) != date_column).groupBy("_file").agg(F.count_if(~iso).alias("odd"), F.count_if(iso & (cell != F.lit(expected))).alias("other"))
+    told = F.array_compact(F.array(F.when(F.col("odd") > 0, "date is not iso"), F.when(F.col("other") > 0, "another date")))
+    out = heads.join(per.select(F.col("_file").alias("file"), told.alias("more")), "file", "left")
+    return out.select("file", "size", F.concat("problems", F.coalesce("more", F.array().cast("array<string>"))).alias("problems"))
+
+
 def paired_arrays(df: DataFrame, stamps: str, values: str, *keys: str) -> DataFrame:
     """Parallel arrays of epoch seconds and closes to rows; null and non-positive closes leave."""
     rows = df.select(*keys, F.explode(F.arrays_zip(F.col(stamps).alias("t"), F.col(values).alias("v"))).alias("p"))
     return rows.select(*keys, F.timestamp_seconds("p.t").cast("date").alias("date"), F.col("p.v").cast("double").alias("close")).filter("close > 0")
 
 
-def workbook_rows(spark: SparkSession, path: str, sheet: str) -> DataFrame:
-    """(row_no, cells) of a SpreadsheetML sheet, gaps of ss:Index and MergeAcross filled with null.
-
-    One row of the XML reader is a worksheet, so row order is the file's.
-    """
-    cell = T.StructType([T.StructField("_ss:Index", T.IntegerType()), T.StructField("_ss:MergeAcross", T.IntegerType()), T.StructField("ss:Data", T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_ss:Type", T.StringType())]))])
-    row = T.StructType([T.StructField("_ss:Index", T.IntegerType()), T.StructField("ss:Cell", T.ArrayType(cell))])
-    schema = T.StructType([T.StructField("_ss:Name", T.StringType()), T.StructField("ss:Table", T.StructType([T.StructField("ss:Row", T.ArrayType(row))]))])
-    sheets = spark.read.format("xml").option("rowTag", "ss:Worksheet").schema(schema).load(path).filter(F.col("`_ss:Name`") == sheet)
-    rows = sheets.select(F.posexplode("ss:Table.ss:Row").alias("at", "row"))
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<at:int,v:string>>").alias("cells"))
-
-    def put(acc: Column, c: Column) -> Column:
-        at = F.coalesce(c["_ss:Index"] - 1, acc["next"])
-        return F.struct((at + 1 + F.coalesce(c["_ss:MergeAcross"], F.lit(0))).alias("next"), F.concat(acc["cells"], F.array(F.struct(at.alias("at"), c["ss:Data"]["_VALUE"].alias("v")))).alias("cells"))
-
-    placed = F.aggregate(F.coalesce(F.col("row.`ss:Cell`"), F.array().cast(T.ArrayType(cell))), start, put, lambda a: F.map_from_entries(a["cells"]))
-    rows = rows.select("at", F.col("row.`_ss:Index`").alias("index"), placed.alias("cells"))
-    wide = F.transform(F.sequence(F.lit(0), F.coalesce(F.array_max(F.map_keys("cells")), F.lit(0))), lambda i: F.col("cells")[i])
-    # rows go on from the last one that names its place
-    w = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = F.last(F.when(F.col("index").isNotNull(), F.col("index") - 1 - F.col("at")), True).over(w)
-    return rows.select((F.col("at") + F.coalesce(ahead, F.lit(0))).alias("row_no"), wide.alias("cells"))
+def workbook_rows(spark: SparkSession, path: str, sheet: str, rows_a_partition: int = 5000) -> DataFrame:
+    """(row_no, cells, kinds) of a sheet of a SpreadsheetML workbook: gaps are null, rows are numbered from 0 as the file places them."""
+    spark.dataSource.register(WorkbookSource)
+    rows = spark.read.format("workbook").option("sheet", sheet).option("rowsPerPartition", rows_a_partition).load(path)
+    return rows.select("row_no", "cells", "kinds")
 
 
 def sheet_records(rows: DataFrame, label: str) -> DataFrame:
