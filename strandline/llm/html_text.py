@@ -23,10 +23,11 @@ from strandline.llm import kernels as K
 
 PATH, WORDS, SIZES, HIDDEN = 128, 32, 4, 16
 INPUT = PATH + WORDS + SIZES
-#: Enclosing elements, the innermost, that a block is told by; deeper pages than any author writes would else take quadratic memory.
+#: Enclosing elements, the innermost, that a block is told by; deeper pages than any author writes would else take quadratic memory. No text is lost by it.
 DEPTH = 64
 # Elements whose content is never text, that hold nothing, and that start a block.
 RAW = "script|style|noscript|template|svg|iframe|textarea|title"
+FOREIGN = frozenset(("svg",))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
     "html head body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -89,9 +90,11 @@ class Tags:
                     return
                 at = to + 1
                 if name in ENDS and not closing:
-                    end = ENDS[name].search(page, at)
+                    # foreign content may close itself, and what has no end there ends nothing else
+                    alone = name in FOREIGN and page[to - 1] == "/" and not (attributes and attributes[-1][1].endswith("/"))
+                    end = None if alone else ENDS[name].search(page, at)
                     to = page.find(">", end.end()) if end else -1
-                    at = to + 1 if to >= 0 else len(page)
+                    at = to + 1 if to >= 0 else at if name in FOREIGN else len(page)
                     yield begin, at, False, "", []
                 else:
                     yield begin, at, closing, name, attributes
@@ -274,7 +277,7 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[int]]]:
         labels: list[int] = []
 
         def block(tag: str, text: str, label: int, parts: list[str] = parts, labels: list[int] = labels) -> None:
-            end = "" if tag == "p" and r.random() < 0.2 else f"</{tag}>"
+            end = "" if tag == "p" and r.random() < 0.2 else f"</{tag.split()[0]}>"
             parts.append(f"<{tag}>{text}{end}")
             labels.append(label)
 
@@ -289,9 +292,51 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[int]]]:
             names = ("ad", "ads advert", "sidebar", "promo banner", "cookie notice", "related", "share", "comments", "comment", "newsletter", "popup", "widget", "comment list", "user comments", "reply")
             wrap = one([f'<div class="{x}">' for x in names] + [f'<div class="{one(names)} {word()}">', f'<div id="{word()}-{one(names).split()[0]}">',"<aside>", '<div id="comments">', '<section class="comments">', "<form>", '<div id="sidebar">', '<div role="complementary">'])
             parts.append(wrap)
+            linked = r.random() < 0.3
+            inner = one(("ul", "ol", "div")) if linked else ""
+            parts.append(f"<{inner}>" if inner else "")
             for _ in range(r.integers(1, 5)):
-                block(one(("p", "div", "h3", "li")), odd(words(2, 40)), 0)
-            parts.append(f"</{re.split('[ >]', wrap[1:])[0]}>")
+                text = odd(words(2, 40) if not linked else words(1, 8))
+                block(one(("p", "div", "h3", "li")) if not linked else one(("li", "li", "p")), f'<a href="/{word()}">{text}</a>' if linked else text, 0)
+            parts.append((f"</{inner}>" if inner else "") + f"</{re.split('[ >]', wrap[1:])[0]}>")
+
+        def with_links(text: str) -> str:
+            """Some stretches of a text as links, at least one."""
+            some, out = text.split(" "), []
+            while some:
+                n = int(r.integers(1, 5))
+                piece, some = " ".join(some[:n]), some[n:]
+                out.append(f'<a href="/{word()}">{piece}</a>' if r.random() < 0.25 or not (some or any("<a" in x for x in out)) else piece)
+            return " ".join(out)
+
+        def body() -> None:
+            """A piece of an article: a paragraph or heading, a paragraph with links, a list, a table or a line that tells the author or the date."""
+            kind = r.random()
+            if kind < 0.1:
+                block(one(("h2", "h3", "h3", "h4")), words(1, 9), 1)
+            elif kind < 0.62:
+                text = odd(words(1, 60)) + "."
+                block(one(("p", "p", "p", "p", "h2", "blockquote", "li", "pre", "td")), f"<b>{text}<br>" if r.random() < 0.15 else text, 1)
+            elif kind < 0.76:
+                block(one(("p", "p", "p", "blockquote", "h2")), with_links(words(3, 40) + "."), 1)
+            elif kind < 0.88:
+                outer = one(("ul", "ol", "dl"))
+                parts.append(f"<{outer}>")
+                for _ in range(r.integers(2, 8)):
+                    text = words(1, 25) + one(("", ".", ";"))
+                    block("li" if outer != "dl" else one(("dt", "dd")), with_links(text) if r.random() < 0.2 else text, 1)
+                parts.append(f"</{outer}>")
+            elif kind < 0.95:
+                parts.append("<table>" + one(("", "<tbody>")))
+                columns = int(r.integers(1, 4))
+                for row in range(int(r.integers(2, 5))):
+                    parts.append("<tr>")
+                    for _ in range(columns):
+                        block("th" if row == 0 and r.random() < 0.8 else "td", one((words(1, 6), str(r.integers(0, 9999)), words(4, 12))), 1)
+                    parts.append("</tr>")
+                parts.append("</table>")
+            else:
+                block(one(("p", "p", "div", "address", 'p class="byline"', 'div class="meta"', 'div class="author"', 'p class="date"')), one((f"By {words(1, 4)}", f"By <a href='/{word()}'>{words(1, 3)}</a>", f"{r.integers(1, 29)} {words(1, 2)} {r.integers(1990, 2027)}", f"{words(1, 3)}, {words(1, 3)}")), 1)
 
         def main(parts: list[str] = parts) -> None:
             wrap = one(("<article>", "<article>", "<main>", "<div>", "<div>", f'<div class="{word()}">', f'<section id="{word()}-{word()}">', '<div class="content">', '<div id="content">', '<div class="post entry">', '<article class="post">', '<section class="article body">', '<div id="main">', '<div class="story text">'))
@@ -299,11 +344,12 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[int]]]:
             inner = r.random() < 0.3
             parts.append("<div>" * inner)
             block("h1", odd(words(3, 12)), 1)
-            for _ in range(r.integers(1, 14)):
+            for _ in range(r.integers(1, 12)):
                 if r.random() < 0.08:
                     side()
-                text = odd(words(1, 60)) + "."
-                block(one(("p", "p", "p", "p", "h2", "blockquote", "li", "pre", "td")), f"<b>{text}<br>" if r.random() < 0.15 else text, 1)
+                body()
+            if r.random() < 0.35:
+                block("p", with_links(words(3, 25) + one((".", ""))), 1)
             parts.append("</div>" * inner + f"</{re.split('[ >]', wrap[1:])[0]}>")
 
         def foot(parts: list[str] = parts) -> None:
@@ -322,7 +368,7 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, list[int]]]:
 
 
 @lru_cache(maxsize=2)
-def trained(seed: int = 5, pages: int = 700, epochs: int = 8) -> Labeller:
+def trained(seed: int = 5, pages: int = 1200, epochs: int = 10) -> Labeller:
     net, data = Labeller(seed), []
     for page, labels in labelled_pages(pages, seed):
         found = blocks(page)

@@ -487,6 +487,72 @@ def test_pages_of_another_maker_and_malformed_ones():
     assert 2 * tp / (2 * tp + wrong) > 0.97 and exact >= 50
 
 
+def test_articles_with_lists_tables_links_and_icons_are_whole():
+    net = html_text.trained()
+    r = random.Random(15)
+    say = lambda n: text(r, n).capitalize() + "."
+    exact = blocks = found = 0
+    for _ in range(80):
+        want, body = [], []
+
+        def put(tag, shown, want=want, body=body, inside=None):
+            want.append(shown)
+            body.append(f"<{tag}>{inside or shown}</{tag.split()[0]}>")
+
+        put("h1", say(6))
+        name, place = word(r), word(r)
+        put('p class="post-byline"', f"By {name} {place}", inside=f'<svg width="1"/>By <a href="/{name}">{name} {place}</a>')
+        for _ in range(r.randint(3, 7)):
+            kind = r.choice("ppplth")
+            if kind == "p":
+                a, b, c = say(12), text(r, 3), say(9)
+                put("p", f"{a} {b} {c}", inside=f'{a} <a href="/x">{b}</a> {c}' if r.random() < 0.5 else None)
+            elif kind == "h":
+                put("h3", text(r, 4))
+            elif kind == "l":
+                body.append("<ol>")
+                for _ in range(r.randint(3, 6)):
+                    put("li", say(r.randint(2, 12)))
+                body.append("</ol>")
+            else:
+                body.append("<table><tr>")
+                for cell in ("th", "th"):
+                    put(cell, text(r, 2))
+                body.append("</tr><tr>")
+                for cell in ("td", "td"):
+                    put(cell, str(r.randint(1, 999)))
+                body.append("</tr></table>")
+        end = text(r, 4)
+        put("p", f"More in {end}", inside=f'More in <a href="/y">{end}</a>')
+        wrap = r.choice(('<article class="entry">', "<main>", '<div class="story-body">', "<article>"))
+        menu = "".join(f'<li><a href="/{word(r)}">{word(r)}</a></li>' for _ in range(6))
+        page = f'<html><body><header><svg/><nav><ul>{menu}</ul></nav></header>{wrap}{"".join(body)}</{re.split("[ >]", wrap[1:])[0]}><div class="related-posts"><ul>{menu}</ul></div><div class="comments"><p>{say(8)}</p></div><footer><p>&copy; {say(4)}</p></footer></body></html>'
+        got = html_text.main_texts([page], net)[0].split("\n")
+        exact, blocks, found = exact + (got == want), blocks + len(want), found + len(set(got) & set(want))
+    assert found / blocks > 0.98 and exact >= 76, (found / blocks, exact)
+
+
+def test_foreign_content_hides_no_text():
+    first = lambda page: [b[0] for b in html_text.blocks(page)]
+    assert first("<p>A<svg width='1'/>b<p>C<svg><path/><text>no</text></svg>d<p>E<svg class=x>f<p>G") == ["Ab", "Cd", "Ef", "G"]
+    assert first("<p>A<script src='x'/>no</script>b<p>C<svg width=1/>no</svg>d<svg/ >e") == ["Ab", "Cde"]
+
+
+@pytest.mark.parametrize("case", ["empty", "odd"])
+def test_pages_that_are_empty_long_repeated_or_have_more_columns(spark, case):
+    kind = "page_id long, url string, html string, text string, n_chars string, words string"
+    article = "".join(f"<p>Paragraph number {k} of a very long article, all of it main text.</p>" for k in range(20_000))
+    rows = [(1, "u", None), (2, None, ""), (None, "u", "<article><h1>A head of it</h1><p>Some words of text, more.</p></article>"), (3, "u", f"<article>{article}</article>"), (3, "u", "<article><h1>A head of it</h1><p>Some words of text, more.</p></article>"), (4, "u", "no markup &amp; all &lt;b&gt;"), (5, "u", " \n<p> \u00a0 ")] * (case == "odd")
+    rows += rows[2:3]
+    got = html_text.page_texts(spark.createDataFrame([(*r, "x", "y", "z") for r in rows], kind)).collect()
+    texts = Counter((g.page_id, g.url, g.text.count("\n") if len(g.text) > 1000 else g.text) for g in got)
+    small = "A head of it\nSome words of text, more."
+    assert all(g.n_chars == len(g.text) for g in got) and len(got) == len(rows)
+    if rows:
+        assert texts[(None, "u", small)] == 2 and texts[(3, "u", small)] == 1 and texts[(1, "u", "")] == texts[(2, None, "")] == texts[(5, "u", "")] == 1
+        assert any(k[0] == 3 and k[2] == 19_999 for k in texts)
+
+
 def test_license_bodies_need_their_words_in_order(spark):
     whole = licenses.TEMPLATES[0][1].split()
     r = random.Random(1)
