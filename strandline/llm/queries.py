@@ -129,6 +129,15 @@ _CRC = """
     spelt AS (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM words)),
     crcs AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x), 2), lambda i: ('0x' || substr(x, i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, step[1 + (xor(c, b) & 255)])), 4294967295) % 10000 AS bucket FROM spelt, steps)"""
 SQL: dict[str, str] = {
+    "op3_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS sh FROM w),
+        e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS common FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM c WHERE 100 * common >= 85 * (nx + ny - common)), t AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (SELECT x, y FROM t UNION SELECT r.x, t.y FROM r JOIN t ON t.x = r.y),
+        m AS (SELECT x, min(y) AS least FROM r GROUP BY x)
+        SELECT doc_id, len(sh) AS n_shingles, least(doc_id, coalesce(m.least, doc_id)) AS component_id, doc_id <= coalesce(m.least, doc_id) AS kept FROM s LEFT JOIN m ON x = doc_id""",
     "op12_line_dedup": r"""
         WITH lines AS (SELECT rid, doc_id, n, l[i] AS line, i, trim(translate(l[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), E' \t\n\x0b\f\r') AS k
             FROM (SELECT rid, doc_id, l, len(l) AS n, unnest(range(1, len(l) + 1)) AS i FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), E'\n') AS l FROM documents))),
