@@ -11,7 +11,7 @@ from strandline.plans import company as C
 from strandline.plans import records as R
 from strandline.plans import reconcile, writing
 from strandline.plans import rules as Q
-from strandline.plans.model_queries import RECONCILE, _reconciled_rows
+from strandline.plans.model_queries import RECONCILE, _faulty, _reconciled_rows
 from strandline.plans.published import published
 from strandline.plans.record_queries import FLOATS, SLOTS, _holdings, float_rows
 from strandline.plans.tables import workspace
@@ -151,3 +151,27 @@ def reconcile_summary(spark: SparkSession, d: str) -> DataFrame:
 def reconcile_causes(spark: SparkSession, d: str) -> DataFrame:
     """Outliers by the cause that is told of them."""
     return reconcile.adjudicated(_reconciled_rows(spark, d)).groupBy("cause").agg(F.count("*").alias("n"))
+
+
+GAPS = FLOATS + ", y AS (SELECT p_partkey, gap AS g, row_number() OVER (ORDER BY abs(gap), p_partkey) AS i, count(*) OVER () AS n FROM e WHERE gap IS NOT NULL) "
+
+
+@query(GAPS + "SELECT count(*) AS compared, median(abs(g)) AS median_abs_gap, count(*) FILTER (abs(g) > 2) AS over, arg_max(p_partkey, (abs(g), p_partkey)) AS worst, arg_max(g, (abs(g), p_partkey)) AS worst_gap FROM y")
+def disagreement_report(spark: SparkSession, d: str) -> DataFrame:
+    """How far the two float factors are apart over all companies that have both."""
+    return R.disagreements(_records(spark, d), "p_partkey", "gap_pct", 2.0)[0]
+
+
+@query(GAPS + "SELECT p_partkey, g AS gap FROM y ORDER BY abs(g) DESC, p_partkey LIMIT 10")
+def disagreement_top10(spark: SparkSession, d: str) -> DataFrame:
+    """The ten largest of these gaps, with their signs."""
+    return R.disagreements(_records(spark, d), "p_partkey", "gap_pct", 2.0)[1]
+
+
+_EACH_FAULT = SQL["dq_violations"].replace("SELECT rule, count(*) AS n FROM (", "SELECT rule, CAST(p_partkey AS VARCHAR) AS key FROM (").removesuffix(" GROUP BY 1").replace(" AS rule FROM z WHERE", " AS rule, p_partkey FROM z WHERE").replace("' FROM z WHERE", "', p_partkey FROM z WHERE")
+
+
+@query(_EACH_FAULT)
+def dq_violation_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Every row that breaks a rule of the company model, with the rule: disjoint segments and the sampler's subset among them."""
+    return Q.violations(_faulty(C.assessed(spark, d)), "p_partkey", Q.company_rules())

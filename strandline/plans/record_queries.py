@@ -193,7 +193,7 @@ e AS (SELECT *, CASE WHEN rule IS NULL AND rupees > 0 THEN 'nse-only-published-r
 def float_choice_records(spark: SparkSession, d: str) -> DataFrame:
     """Which exchange's float counts for every part, by which rule and gap, and the free float with its basis and source."""
     out = R.with_float(float_rows(spark, d))
-    return out.select("p_partkey", *(F.col(f"choice.{c}").alias(c) for c in ("rule", "chose", "gap_pct", "threshold_pct", "factor")), "ff_at_capture", "ff", "basis", "source")
+    return out.select("p_partkey", *(F.col(f"choice.{c}").alias(c) for c in ("rule", "chose", "gap_pct", "threshold_pct")), "factor", "ff_at_capture", "ff", "basis", "source")
 
 
 BOUNDARY = COMPANY + """, p AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY ff, p_partkey) AS i, count(*) OVER (PARTITION BY segment) AS cnt FROM rk WHERE ff IS NOT NULL),

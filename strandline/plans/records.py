@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.scalar import company_key, derived_factor, listed_isin, rounded
 from strandline.operators.lookup import one_per_key
-from strandline.operators.order import numbered, placed, ranked
+from strandline.operators.order import exact_median, numbered, placed, ranked
 from strandline.plans.tables import stored
 
 SLOT = ("weight_pct", "quantity", "value_usd")
@@ -82,46 +82,58 @@ def quarantined(rows: DataFrame, findings: DataFrame, key: str) -> DataFrame:
 SWITCH_PCT = 2.0
 
 
-def float_choice(primary: Column, other: Column, threshold: float = SWITCH_PCT) -> Column:
-    """Which of two factors counts: {rule, chose, gap_pct, threshold_pct, why, factor}; null where there is neither."""
-    gap = F.when((primary > 0) & other.isNotNull(), rounded((other - primary) / primary * 100, 3))
-    text = F.format_string("%.3f", F.abs(gap))
+#: The rules by which one of two float factors counts.
+RULES = ("nse-preferred-on-material-gap", "bse-primary", "bse-only", "nse-only", "nse-only-published-rupees")
 
-    def says(rule: str, chose: str, factor: Column, why: Column, own_gap: Column) -> Column:
-        return F.struct(F.lit(rule).alias("rule"), F.lit(chose).alias("chose"), own_gap.alias("gap_pct"), F.lit(float(threshold)).alias("threshold_pct"), why.alias("why"), factor.alias("factor"))
 
-    none = F.lit(None).cast("double")
+def float_gap(primary: Column, other: Column) -> Column:
+    """Percent by which the second factor is above the first, which has to be above zero."""
+    return F.when((primary > 0) & other.isNotNull(), rounded((other - primary) / primary * 100, 3))
+
+
+def float_rule(primary: Column, other: Column, gap: Column, threshold: float) -> Column:
+    """Which rule decides between two factors; null where there is neither."""
     both = primary.isNotNull() & other.isNotNull()
-    return (
-        F.when(both & (F.abs(gap) > threshold), says("nse-preferred-on-material-gap", "nse", other, F.concat(F.lit("both publish, "), text, F.lit(f" % apart, beyond {threshold:g} %: the second counts")), gap))
-        .when(both, says("bse-primary", "bse", primary, F.concat(F.lit("both publish, "), F.coalesce(text, F.lit("an unknown share")), F.lit(f" % apart, within {threshold:g} %: the first stands")), gap))
-        .when(primary.isNotNull(), says("bse-only", "bse", primary, F.lit("the second publishes none to compare"), none))
-        .when(other.isNotNull(), says("nse-only", "nse", other, F.lit("the first has no reading"), none))
+    preferred, first, alone, second, _ = RULES
+    return F.when(both & (F.abs(gap) > threshold), preferred).when(both, first).when(primary.isNotNull(), alone).when(other.isNotNull(), second)
+
+
+def float_why(rule: Column, gap: Column, threshold: float) -> Column:
+    """The rule in words."""
+    apart = F.concat(F.lit("both publish, "), F.coalesce(F.format_string("%.3f", F.abs(gap)), F.lit("an unknown share")))
+    says = (
+        F.concat(apart, F.lit(f" % apart, beyond {threshold:g} %: the second counts")), F.concat(apart, F.lit(f" % apart, within {threshold:g} %: the first stands")), F.lit("the second publishes none to compare"),
+        F.lit("the first has no reading"), F.lit("no full value to form a factor from; the second exchange publishes rupees"),
     )
+    out = F.lit(None).cast("string")
+    for name, text in zip(RULES, says, strict=True):
+        out = F.when(rule == name, text).otherwise(out)
+    return out
 
 
 def with_float(rows: DataFrame, threshold: float = SWITCH_PCT) -> DataFrame:
-    """``rows`` (shares, price, full_cap, factor_bse, implied_nse, rupees_nse) with factor_nse, gap, choice, factor, ff, basis, source.
+    """``rows`` (shares, price, full_cap, factor_bse, implied_nse, rupees_nse) with factor_nse, gap_pct, choice {rule, chose, gap_pct, threshold_pct, why}, factor, ff_at_capture, ff, basis, source.
 
     The second exchange's factor is its implied free shares over all shares, where that can be a factor at all. The free float is factor times full value, brought to
     the price in force; where that cannot be formed the rupees that the second exchange publishes count.
     """
+    bse, nse = F.col("factor_bse"), F.col("factor_nse")
     rows = rows.withColumn("factor_nse", derived_factor(F.col("implied_nse"), F.when(F.col("shares") > 0, F.col("shares"))))
-    rows = rows.withColumn("choice", float_choice(F.col("factor_bse"), F.col("factor_nse"), threshold))
-    formed = F.col("choice.factor").isNotNull() & F.col("full_cap").isNotNull()
-    outright = ~formed & F.coalesce(F.col("rupees_nse") > 0, F.lit(False))
-    fallback = F.struct(
-        F.lit("nse-only-published-rupees").alias("rule"), F.lit("nse").alias("chose"), F.lit(None).cast("double").alias("gap_pct"), F.lit(float(threshold)).alias("threshold_pct"),
-        F.lit("no full value to form a factor from; the second exchange publishes rupees").alias("why"), F.lit(None).cast("double").alias("factor"),
-    )
-    choice = F.when(F.col("choice").isNull() & outright, fallback).otherwise(F.col("choice"))
-    captured = F.when(formed, rounded(F.col("choice.factor") * F.col("full_cap"))).when(outright, rounded(F.col("rupees_nse")))
-    basis = F.when(formed, "factor x full value").when(outright, "published rupees of the second exchange")
-    source = F.when(formed, F.col("choice.chose")).when(outright, "nse")
-    again = F.when(F.col("choice.factor").isNotNull() & (F.col("price") > 0), rounded(F.col("choice.factor") * F.col("shares") * F.col("price")))
-    rows = rows.withColumns({"_choice": choice, "ff_at_capture": captured, "_basis": basis, "source": source, "_again": again})
-    rows = rows.withColumns({"ff": F.coalesce("_again", "ff_at_capture"), "basis": F.when(F.col("_again").isNotNull(), "factor x shares x price").otherwise(F.col("_basis")), "choice": F.col("_choice")})
-    return rows.withColumns({"factor": F.col("choice.factor"), "gap_pct": F.when(F.col("factor_bse") > 0, F.col("choice.gap_pct"))}).drop("_choice", "_basis", "_again")
+    rows = rows.withColumn("gap_pct", float_gap(bse, nse)).withColumn("_rule", float_rule(bse, nse, F.col("gap_pct"), threshold))
+    rows = rows.withColumn("factor", F.when(F.col("_rule").startswith("nse"), nse).otherwise(bse))
+    formed = F.col("_rule").isNotNull() & F.col("full_cap").isNotNull()
+    rows = rows.withColumn("_how", F.when(formed, "formed").when(F.col("rupees_nse") > 0, "published"))
+    rows = rows.withColumn("_rule", F.when(F.col("_rule").isNull() & (F.col("_how") == "published"), RULES[-1]).otherwise(F.col("_rule")))
+    how, rule = F.col("_how"), F.col("_rule")
+    chose = F.left(rule, F.lit(3))
+    compared = F.when(rule.isin(*RULES[:2]), F.col("gap_pct"))
+    choice = F.struct(rule.alias("rule"), chose.alias("chose"), compared.alias("gap_pct"), F.lit(float(threshold)).alias("threshold_pct"), float_why(rule, compared, threshold).alias("why"))
+    rows = rows.withColumns({
+        "choice": F.when(rule.isNotNull(), choice), "ff_at_capture": F.when(how == "formed", rounded(F.col("factor") * F.col("full_cap"))).when(how == "published", rounded(F.col("rupees_nse"))),
+        "source": F.when(how == "formed", chose).when(how == "published", "nse"), "_again": F.when(F.col("price") > 0, rounded(F.col("factor") * F.col("shares") * F.col("price"))),
+    })
+    basis = F.when(F.col("_again").isNotNull(), "factor x shares x price").when(how == "formed", "factor x full value").when(how == "published", "published rupees of the second exchange")
+    return rows.withColumns({"ff": F.coalesce("_again", "ff_at_capture"), "basis": basis}).drop("_rule", "_how", "_again")
 
 
 def boundary_record(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -206,3 +218,12 @@ def universe_to_fetch(master: DataFrame, held: DataFrame, seed: DataFrame, floor
     fetched = good.groupBy("scrip_code").agg(reasons.alias("reason")).withColumn("route", F.lit("fetch"))
     rejected = asked.filter("reason IS NOT NULL").withColumn("route", F.lit("rejected"))
     return fetched.unionByName(rejected).select("scrip_code", "route", "reason")
+
+
+def disagreements(rows: DataFrame, key: str, gap: str, threshold: float, top: int = 10) -> tuple[DataFrame, DataFrame]:
+    """How far two readings are apart over ``rows``: one row (compared, median_abs_gap, the mean of the middle two, over the threshold, worst key and gap), and the ``top`` rows by magnitude."""
+    rows = stored(rows.select(key, F.col(gap).alias("gap")).filter("gap IS NOT NULL").withColumns({"size": F.abs("gap")}))
+    middle = exact_median(rows, "size", key, "median").scalar()
+    worst = F.struct("size", F.col(key))
+    told = rows.agg(F.count("*").alias("compared"), F.count_if(F.col("size") > threshold).alias("over"), F.max_by(key, worst).alias("worst"), F.max_by("gap", worst).alias("worst_gap"))
+    return told.select("compared", middle.alias("median_abs_gap"), "over", "worst", "worst_gap"), rows.orderBy(F.desc("size"), key).limit(top).select(key, "gap")

@@ -1,6 +1,5 @@
 """Workbooks in ranges of rows, and admission of files."""
 
-import datetime as dt
 import random
 
 import pytest
@@ -87,3 +86,16 @@ def test_one_verdict_a_file(spark, tmp_path):
         "short.csv": ["fewer than two lines"], "no.csv": ["no column TradDt", "no column X"], "long.csv": ["date is not iso"],
     }
     assert all(r.problems == [] for r in readers.admitted_files(spark, str(tmp_path / "odd.csv"), ["X"]).collect())
+
+
+def test_json_documents(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    kind = T.StructType([T.StructField("asOf", T.StringType()), T.StructField("rows", T.ArrayType(T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.DoubleType())])))])
+    at = tmp_path / "d.json"
+    at.write_text('{\n "asOf": "2026-01-05",\n "rows": [{"k": 1, "v": 2.5},\n {"k": 2}], "more": 1\n}\n')
+    doc = readers.json_document(spark, str(at), kind)
+    assert [tuple(r) for r in doc.select("asOf", F.explode("rows").alias("r")).select("asOf", "r.*").collect()] == [("2026-01-05", 1, 2.5), ("2026-01-05", 2, None)]
+    assert readers.json_document(spark, str(tmp_path / "no.json"), kind, required=False).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.json_document(spark, str(tmp_path / "no.json"), kind).count()
