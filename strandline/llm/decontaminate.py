@@ -13,6 +13,8 @@ are joined by a shuffle, and the words of items and documents are fetched for th
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ SHARE = 0.8
 STRETCH = 13
 #: Seed rows of some 300 bytes that are broadcast at most.
 BROADCAST_ROWS = 200_000
+#: More seed rows are broadcast in slices of about that many, each with a pass over the documents; more slices than these are joined by a shuffle of all positions.
+MOST_SLICES = 16
 #: Words before and after the first word of a hit that an overlap with it can reach.
 AROUND = STRETCH - 1
 
@@ -72,6 +76,29 @@ def _best(first: str, n: str, same: str, stretch: int) -> str:
     return f"coalesce(array_max(transform(sequence(1, greatest(1, size({same}) - {w} + 1)), s -> if({whole}, {sums}, 0))), 0)"
 
 
+def _slices(seeds: DataFrame, n: int, most: int) -> list[DataFrame]:
+    """``seeds`` in ranges of at most twice ``most`` rows; none if that takes more than ``MOST_SLICES``, or if a range is larger."""
+    parts = -(-n // most) if most else MOST_SLICES + 1
+    if parts > MOST_SLICES:
+        return []
+    rows = settle(seeds.repartitionByRange(parts, "seed", "item_id", "at").withColumn("slice", F.spark_partition_id()))
+    sizes = {r["slice"]: r["count"] for r in rows.groupBy("slice").count().collect()}  # a row a slice
+    if max(sizes.values()) > 2 * most:
+        return []
+    return [rows.filter(F.col("slice") == k).drop("slice") for k in sorted(sizes)]
+
+
+def _looked_up(hits: DataFrame, seeds: DataFrame, stretch: int) -> DataFrame:
+    """(doc_id, item_id, first_word, n_words, best): every position of ``hits`` (doc_id, h, seeds) whose seed is among the broadcast ``seeds``, compared with the words around."""
+    hits = hits.select("doc_id", "h", F.explode_outer("seeds").alias("list")).select("doc_id", "h", F.posexplode_outer("list").alias("pos", "seed"))
+    hits = hits.join(F.broadcast(seeds.drop("mask")), "seed")
+    # compared behind a generator: inside the join's condition it would take the join out of generated
+    # code, and every position would be copied with all words of its document
+    equal = f"transform(around, (a, i) -> if(at - {AROUND} + i < 0 OR at - {AROUND} + i >= n_words, 0, if(a = get(h, pos - {AROUND} + i), 1, 0)))"
+    hits = hits.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("first_word"), "n_words", "at", F.explode_outer(F.expr(f"array({equal})")).alias("equal"))
+    return hits.select("doc_id", "item_id", "first_word", "n_words", F.expr(_best(f"at - {AROUND}", "n_words", "equal", stretch)).alias("best"))
+
+
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, stretch: int = STRETCH, least_words: int = 1, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Verified overlaps: (doc_id, item_id, first_word, n_words, n_equal, similarity).
 
@@ -97,14 +124,9 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, share: float = SHA
     hits = rows.withColumn("seeds", F.expr(f"array({lists})"))
     w = f"least({stretch}, n_words)"
     keys = ["doc_id", "item_id", "first_word", "n_words"]
-    if n <= broadcast_rows:
-        hits = hits.select("doc_id", "h", F.explode_outer("seeds").alias("list")).select("doc_id", "h", F.posexplode_outer("list").alias("pos", "seed"))
-        hits = hits.join(F.broadcast(seeds.drop("mask")), "seed")
-        # compared behind a generator: inside the join's condition it would take the join out of generated
-        # code, and every position would be copied with all words of its document
-        equal = f"transform(around, (a, i) -> if(at - {AROUND} + i < 0 OR at - {AROUND} + i >= n_words, 0, if(a = get(h, pos - {AROUND} + i), 1, 0)))"
-        hits = hits.select("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("first_word"), "n_words", "at", F.explode_outer(F.expr(f"array({equal})")).alias("equal"))
-        hits = hits.withColumn("best", F.expr(_best(f"at - {AROUND}", "n_words", "equal", stretch)))
+    slices = [seeds] if n <= broadcast_rows else _slices(seeds, n, broadcast_rows)
+    if slices:
+        hits = reduce(DataFrame.unionByName, (_looked_up(hits, part, stretch) for part in slices))
     else:
         hits = hits.select("doc_id", F.explode_outer("seeds").alias("list")).select("doc_id", F.posexplode_outer("list").alias("pos", "seed"))
         hits = hits.join(seeds.select("seed", "item_id", "n_words", "at").hint("merge"), "seed")
