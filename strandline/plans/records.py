@@ -100,7 +100,7 @@ def float_rule(primary: Column, other: Column, gap: Column, threshold: float) ->
 
 def float_why(rule: Column, gap: Column, threshold: float) -> Column:
     """The rule in words."""
-    apart = F.concat(F.lit("both publish, "), F.coalesce(F.format_string("%.3f", F.abs(gap)), F.lit("an unknown share")))
+    apart = F.concat(F.lit("both publish, "), F.when(gap.isNotNull(), F.format_string("%.3f", F.abs(gap))).otherwise("an unknown share"))
     says = (
         F.concat(apart, F.lit(f" % apart, beyond {threshold:g} %: the second counts")), F.concat(apart, F.lit(f" % apart, within {threshold:g} %: the first stands")), F.lit("the second publishes none to compare"),
         F.lit("the first has no reading"), F.lit("no full value to form a factor from; the second exchange publishes rupees"),
