@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -97,3 +99,24 @@ def start_dead_letters(spark: SparkSession, path: str, checkpoint: str, out: str
     """Stream of the events that are no quotes, with the reason, as files in ``out``."""
     bad = quotes(events_in(spark, path)).filter("reject_reason IS NOT NULL")
     return bad.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_with_backoff(start: Callable[[], StreamingQuery], failures: int = 5, first_wait: float = 30.0, longest_wait: float = 60.0, wait: Callable[[float], None] = time.sleep) -> StreamingQuery:
+    """Runs a query to its end and starts it again from its checkpoint when it fails, after waits that double up to ``longest_wait``; the last of ``failures`` in a row is raised.
+
+    A run that got a batch through before it failed begins the count and the waits anew.
+    """
+    failed, pause = 0, first_wait
+    while True:
+        query = start()
+        try:
+            query.awaitTermination()
+            return query
+        except StreamingQueryException:
+            if any(p["numInputRows"] for p in query.recentProgress):
+                failed, pause = 0, first_wait
+            failed += 1
+            if failed >= failures:
+                raise
+            wait(pause)
+            pause = min(longest_wait, 2 * pause)

@@ -105,3 +105,26 @@ def test_published_versions(spark, tmp_path):
         published.publish(spark, path, published.stage(spark.range(9), path), spark.range(9).schema, 2)
     assert published.published(spark, path).count() == 3
     assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("data-")]) == 3  # two versions and the refused one
+
+
+def test_a_failing_stream_is_started_again_after_growing_waits(spark, tmp_path):
+    paths = {k: str(tmp_path / k) for k in ("in", "cp", "out")}
+    send(spark, EARLY[:6], paths["in"])
+    waits, left = [], [4]
+
+    def start():
+        def each(batch, n):
+            left[0] -= 1
+            if left[0] > 0:
+                raise ValueError("the store is away")
+            batch.write.mode("overwrite").parquet(f"{paths['out']}/batch={n}")
+
+        return keyed.events_in(spark, paths["in"]).writeStream.foreachBatch(each).option("checkpointLocation", paths["cp"]).trigger(availableNow=True).start()
+
+    keyed.run_with_backoff(start, 5, 1.0, 3.0, waits.append)
+    assert waits == [1.0, 2.0, 3.0] and spark.read.parquet(paths["out"]).count() == 6
+    left[0] = 99
+    send(spark, EARLY[6:8], paths["in"])
+    with pytest.raises(Exception, match="the store is away"):
+        keyed.run_with_backoff(start, 2, 1.0, 3.0, waits.append)
+    assert waits[3:] == [1.0]
