@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.scalar import normalised_name, normalised_ticker
 from strandline.operators.lookup import one_per_key, unique_only
+from strandline.plans.tables import stored
 
 
 SCRIP = ("isin", "scrip_code", "scrip_id", "name", "symbol", "symbol_source")
@@ -39,9 +40,10 @@ def resolve_holdings(holdings: DataFrame, master: DataFrame, universe: DataFrame
     Master ids and codes and seed symbols: the first row counts; universe symbols: the last; ISINs and names: only if one row has
     them. What is found carries the symbol of its ISIN with the list that says so. Every stage is a left join against keys that occur once.
     """
-    scrips = master.join(symbols_by_isin(universe, seed), "isin", "left")
-    codes = one_per_key(scrips.filter("scrip_code IS NOT NULL"), ["scrip_code"], [F.col("ord")])
-    lone = unique_only(scrips, "isin")
+    # the lists are looked up in several ways: each is put in shape once
+    scrips = stored(master.join(symbols_by_isin(universe, seed), "isin", "left"))
+    codes = stored(one_per_key(scrips.filter("scrip_code IS NOT NULL"), ["scrip_code"], [F.col("ord")]))
+    lone = stored(unique_only(scrips, "isin"))
     named = scrips.withColumn("norm", normalised_name(F.col("name"))).filter("norm <> ''")
     hits = named.groupBy("norm").agg(F.count("*").alias("hits"), F.any_value(F.struct(*SCRIP)).alias("name_hit"))
     last = one_per_key(universe, ["symbol"], [F.desc("ord")])

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import recent_isin
 from strandline.operators.lookup import collisions
 from strandline.plans.company import GAP, replayed
+from strandline.plans.tables import stored
 
 
 def violations(df: DataFrame, key: str, rules: dict[str, Column], details: dict[str, Column] | None = None) -> DataFrame:
@@ -77,7 +78,8 @@ def flow_violations(flows: DataFrame, sampled: DataFrame, key: str) -> DataFrame
 
 def seed_violations(seed: DataFrame, floor: float) -> DataFrame:
     """(key, problem) of seed rows (key, isin, cap): malformed ISIN, value below the floor, an ISIN that another row has."""
-    rows = seed.withColumn("n", F.count("*").over(Window.partitionBy("isin")))
+    twice = stored(seed.filter("isin IS NOT NULL").groupBy("isin").agg(F.count("*").alias("n")).filter("n > 1"))
+    rows = seed.join(twice, "isin", "left")
     problem = F.when(~F.coalesce(recent_isin(F.col("isin")), F.lit(False)), "isin").when(~F.coalesce(F.col("cap") >= floor, F.lit(False)), "floor").when(F.col("n") > 1, "repeated isin")
     return rows.select("key", problem.alias("problem")).filter("problem IS NOT NULL")
 
