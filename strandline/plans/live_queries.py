@@ -9,6 +9,7 @@ from strandline.functions import scalar
 from strandline.functions import format as fmt
 from strandline.functions.scalar import rounded
 from strandline.plans import company as C
+from strandline.plans.published import Files
 from strandline.plans.tables import workspace
 from strandline.plans.workload import COMPANY, QUERIES, SQL, _half_up, _t, query
 from strandline.streaming import keyed, live, model
@@ -40,6 +41,11 @@ def _instalments(spark: SparkSession, d: str, share: float = 0.9) -> list[DataFr
     return [events.filter(F.col("event_id") < cut), events.filter(F.col("event_id") >= cut)]
 
 
+def _next_batch(spark: SparkSession, folder: str) -> int:
+    """The number of the batch that is written to ``folder`` next."""
+    return 1 + max((int(n.removeprefix("batch=")) for n in Files(spark, folder).names("") if n.startswith("batch=")), default=-1)
+
+
 def _last_batch(spark: SparkSession, folder: str, first_new: int) -> DataFrame:
     return spark.read.parquet(folder).filter(F.col("batch") >= first_new).drop("batch")
 
@@ -49,9 +55,8 @@ def _streamed(spark: SparkSession, d: str) -> tuple[str, int]:
     at, batches = workspace(spark, "stream"), []
     for part in _instalments(spark, d):
         part.write.mode("append").parquet(f"{at}/in")
-        run = keyed.start_changes(spark, f"{at}/in", f"{at}/checkpoint", f"{at}/changes")
-        run.awaitTermination()
-        batches.append(run.lastProgress["batchId"] + 1)
+        keyed.start_changes(spark, f"{at}/in", f"{at}/checkpoint", f"{at}/changes").awaitTermination()
+        batches.append(_next_batch(spark, f"{at}/changes"))
     return at, batches[0]
 
 
@@ -89,9 +94,8 @@ def stream_changed_companies(spark: SparkSession, d: str) -> DataFrame:
     base = C.companies(spark, d)
     for part in _instalments(spark, d, FEW):
         part.write.mode("append").parquet(f"{at}/in")
-        run = model.start_model(spark, base, f"{at}/in", f"{at}/checkpoint", at, lambda rows: C.verdicts(C.with_funds(rows)), "p_partkey")
-        run.awaitTermination()
-        batches.append(run.lastProgress["batchId"] + 1)
+        model.start_model(spark, base, f"{at}/in", f"{at}/checkpoint", at, lambda rows: C.verdicts(C.with_funds(rows)), "p_partkey").awaitTermination()
+        batches.append(_next_batch(spark, f"{at}/changes"))
     return _last_batch(spark, f"{at}/changes", batches[0])
 
 

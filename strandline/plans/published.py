@@ -24,7 +24,7 @@ class Manifest:
     notes: dict
 
 
-class _Files:
+class Files:
     """The few file operations that publishing needs, on whatever file system the path names."""
 
     def __init__(self, spark: SparkSession, path: str):
@@ -65,7 +65,7 @@ MANIFESTS = "_manifest"
 
 def current(spark: SparkSession, path: str) -> Manifest | None:
     """The newest published version of the table at ``path``; None where none is published."""
-    files = _Files(spark, path)
+    files = Files(spark, path)
     numbers = sorted(n for n in files.names(MANIFESTS) if n.isdigit())
     if not numbers:
         return None
@@ -94,7 +94,7 @@ def stage(df: DataFrame, path: str) -> str:
 
 def publish(spark: SparkSession, path: str, data: str, schema: T.StructType, version: int, notes: dict | None = None, keep: int = 2) -> None:
     """Make a staged folder the table's ``version`` and drop all but the last ``keep`` versions; raises ``Conflict`` if the version is taken."""
-    files = _Files(spark, path)
+    files = Files(spark, path)
     if not files.create(f"{MANIFESTS}/{version:012d}", json.dumps({"data": data, "schema": schema.jsonValue(), "notes": notes or {}})):
         raise Conflict(f"version {version} of {path} is there")
     numbers = sorted(n for n in files.names(MANIFESTS) if n.isdigit())
@@ -106,4 +106,4 @@ def publish(spark: SparkSession, path: str, data: str, schema: T.StructType, ver
 
 def discard(spark: SparkSession, path: str, data: str) -> None:
     """Remove a staged folder that is not to be published."""
-    _Files(spark, path).remove(data)
+    Files(spark, path).remove(data)

@@ -103,8 +103,8 @@ def test_a_reader_finds_a_whole_table_at_any_step_of_a_write(spark, tmp_path, mo
     for step in ("stage", "publish"):
         old = getattr(writing, step)
         monkeypatch.setattr(writing, step, lambda *a, _old=old, **k: (read(), _old(*a, **k), read())[1])
-    remove = published._Files.remove
-    monkeypatch.setattr(published._Files, "remove", lambda self, name: (read(), remove(self, name), read())[1])
+    remove = published.Files.remove
+    monkeypatch.setattr(published.Files, "remove", lambda self, name: (read(), remove(self, name), read())[1])
     for n in (6, 7):
         writing.guarded_write(spark.range(n), path, none)
     assert seen == [5, 5, 5, 6, 6, 6, 6, 7, 7, 7, 7, 7]
