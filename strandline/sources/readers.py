@@ -173,6 +173,12 @@ def price_file(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder of any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at))
+
+
 def json_document(spark: SparkSession, path: str, schema: T.StructType, required: bool = True) -> DataFrame:
     """Rows of a whole-file JSON document; an optional one that is not there is an empty table."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
