@@ -62,7 +62,7 @@ b AS (SELECT key, CASE WHEN was_held THEN 'holdings' ELSE 'scrips' END AS via, s
   CASE WHEN listed THEN shares * p_retailprice * 1.01 END AS full_cap, CASE WHEN listed THEN shares END AS shares, CASE WHEN listed AND p_size % 6 <> 0 THEN bse END AS bse, CASE WHEN symbol IS NOT NULL AND p_size % 4 <> 0 THEN implied END AS implied, CASE WHEN symbol IS NOT NULL AND p_size % 4 <> 0 THEN rupees END AS rupees,
   CASE WHEN code IS NOT NULL AND p_size % 9 <> 0 THEN p_retailprice * 1.5 END AS price, CASE WHEN code IS NOT NULL AND p_size % 9 <> 0 THEN CASE WHEN p_size % 2 > 0 THEN 'stale' ELSE 'eod' END END AS tier, p_partkey % 97 = 5 AND p_partkey % 7 <> 0 AS quarantined,
   CASE WHEN symbol IS NOT NULL THEN CASE WHEN p_size % 2 = 0 AND n IS NOT NULL THEN 'detail-3m' WHEN p_size % 3 = 0 AND n IS NOT NULL THEN 'batch-3m' WHEN p_size % 5 = 0 AND n IS NOT NULL THEN 'batch-10d' END END AS adv_source FROM u
- UNION ALL SELECT key, 'seed', symbol, false, false, false, true, CASE WHEN seg0 IS NOT NULL THEN 'seed' END, NULL, NULL, NULL, NULL, NULL, NULL, NULL, false, NULL FROM fresh WHERE symbol IS NOT NULL OR seed_code IS NOT NULL),
+ UNION ALL SELECT key, 'seed', symbol, false, false, false, true, CASE WHEN seg0 IS NOT NULL THEN 'seed' END, NULL, NULL, NULL, NULL, NULL, NULL, NULL, c_custkey % 97 = 5 AND c_custkey % 2 = 0 AND c_custkey IN (SELECT p_partkey FROM part), NULL FROM fresh WHERE symbol IS NOT NULL OR seed_code IS NOT NULL),
 f1 AS (SELECT *, {_half_up('implied / CASE WHEN shares > 0 THEN shares END', 6)} AS r FROM b), f2 AS (SELECT *, CASE WHEN r > 0 AND r <= 1.02 THEN r END AS nse FROM f1), f3 AS (SELECT *, {_half_up('(nse - bse) / bse * 100', 3)} AS gap FROM f2),
 f4 AS (SELECT *, CASE WHEN bse IS NOT NULL AND nse IS NOT NULL THEN CASE WHEN abs(gap) > 2 AND bse > 0 THEN 'nse-preferred-on-material-gap' ELSE 'bse-primary' END WHEN bse IS NOT NULL THEN 'bse-only' WHEN nse IS NOT NULL THEN 'nse-only' END AS rule0 FROM f3),
 f5 AS (SELECT *, CASE WHEN rule0 LIKE 'bse%' THEN bse ELSE nse END AS factor, CASE WHEN rule0 IS NOT NULL AND full_cap IS NOT NULL THEN 'formed' WHEN rupees > 0 THEN 'rupees' END AS how FROM f4),
