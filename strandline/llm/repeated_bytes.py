@@ -8,7 +8,8 @@ the fingerprints of all their strings, in runs of bounded size cut between ancho
 side by side is compared byte for byte.
 
 Scale. Equal texts are one text (what has a copy is covered wholly and takes part once), equal stretches one stretch. What is
-shuffled is a row a stretch, the bytes around those that only resemble each other, and each text twice. The strings of an anchor with
+shuffled is a row a stretch, the bytes around those that only resemble each other, and each text twice, compressed; shuffle files go as soon as
+a step is written. The strings of an anchor with
 more than ``MANY`` different stretches are not gathered: each is a digest, and digests are counted by a shuffle.
 """
 
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import kernels as K
+from strandline.llm.meeting import pack, unpack
 from strandline.llm.shared import is_empty, settle
 
 LENGTH = 400
@@ -64,7 +66,13 @@ def _anchors(length: int, passage: int):
     step = (1 << _BITS) - length + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
+            new = []
+            for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                new.append(key not in seen)  # of the copies of a text in a partition, one
+                seen.add(key)
+            batch = batch.filter(pa.array(new, pa.bool_()))
             for a, b, data, off in K.chunks(batch.column(2), (1 << _BITS) - 1):
                 for base in range(0, max(1, len(data) - passage + 1), step):  # more than one only for a very long text
                     part = data[base : base + (1 << _BITS)]
@@ -87,9 +95,15 @@ def _anchors(length: int, passage: int):
     return run
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, off = K.buffer(batch.column(2))
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        data, off = K.buffer(unpack(batch.column(2)))
         lists = batch.column(3)
         at, flat = lists.offsets.to_numpy(), lists.values
         row = np.repeat(np.arange(len(batch)), np.diff(at))
@@ -205,8 +219,8 @@ def _words(text: np.ndarray) -> int:
 
 def _cut(length: int, passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = K.buffer(batch.column(1))
+        for batch in _slices(batches):
+            data, off = K.buffer(unpack(batch.column(1)))
             spans, copies = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             removed, runs, digest, passages = [], [], [], []
             for r in range(len(batch)):
@@ -245,7 +259,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
     anchors = keyed.select("k1", "k2", "text").mapInArrow(_anchors(length, passage), "anchor long, k1 long, k2 long, first long, last long, stop long, twice boolean, d1 long, d2 long")
-    anchors = anchors.dropDuplicates(["anchor", "k1", "k2", "first"])  # copies of a text count once
+    # dealt once, by what all that follows has in common
+    anchors = anchors.repartition("anchor").dropDuplicates(["anchor", "k1", "k2", "first"])  # copies of a text count once
     own, same = Window.partitionBy("anchor"), Window.partitionBy("anchor", "d1", "d2")
     anchors = anchors.withColumn("n", F.count("*").over(own)).filter("n > 1 OR twice")
     anchors = anchors.withColumn("m", F.count("*").over(same)).withColumn("at", F.row_number().over(same.orderBy("k1", "k2", "first")))
@@ -255,8 +270,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
 
     wanted = anchors.filter("at = 1 AND (kinds > 1 OR twice)").withColumn("single", F.col("m") == 1).withColumn("many", F.col("kinds") > many)
     per_text = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "first", "last", "stop", "single", "many")).alias("stretches"))
-    texts = keyed.select("k1", "k2", "text").join(per_text, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    parts = texts.select("k1", "k2", "text", "stretches").mapInArrow(_contexts, "anchor long, k1 long, k2 long, first long, last long, single boolean, many boolean, bytes binary")
+    texts = pack(keyed, "k1", "k2").hint("merge").join(per_text, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    parts = texts.select("k1", "k2", "packed", "stretches").mapInArrow(_contexts, "anchor long, k1 long, k2 long, first long, last long, single boolean, many boolean, bytes binary")
     few = parts
     if not is_empty(wanted.filter("many")):
         parts = settle(parts)
@@ -270,6 +285,6 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     spans = covered.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "length")).alias("spans"))
     copies = keyed.groupBy("k1", "k2").agg(F.count("*").alias("copies"))
     found = copies.join(spans, ["k1", "k2"], "left")
-    rows = keyed.join(found, ["k1", "k2"]).select("doc_id", "text", "spans", "copies")
+    rows = pack(keyed, "doc_id", "k1", "k2").hint("merge").join(found, ["k1", "k2"]).select("doc_id", "packed", "spans", "copies")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_cut(length, passage), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, repeats boolean")

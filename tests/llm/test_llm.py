@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -209,6 +210,19 @@ def test_repeated_bytes(docs, rows, many):
     assert Counter(tuple(g) for g in repeated_bytes.repeated_bytes(docs, many=many).collect()) == want
 
 
+def test_shuffle_files_go_once_a_step_is_written(spark, docs):
+    """What a step shuffled is not on disk during the next steps, whenever the driver collects its garbage."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {n for n in re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString(" "))}
+    before = names()
+    found = repeated_bytes.repeated_bytes(docs)  # its steps are written, its result is not
+    until = time.time() + 20
+    while names() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not names() - before
+    assert found.count()
+
+
 @pytest.mark.parametrize("kept_bits", [64, 6])
 def test_repeated_starts_are_told_by_their_bytes(monkeypatch, kept_bits):
     """Marks of six bits collide at once; the strings found stay those that really repeat."""
