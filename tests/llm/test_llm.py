@@ -645,3 +645,54 @@ def test_passages_of_hot_values_are_the_same_wherever_they_meet(spark):
     got = [Counter(map(tuple, passages.repeated_passages(docs, hot=hot).collect())) for hot in (2, 10**9)]
     assert got[0] == got[1]
     assert {g[0] for g in got[0]} | {g[3] for g in got[0]} == {k for k, _ in rows if k >= 100}
+
+
+@pytest.mark.parametrize("others", [4, 60])
+def test_passages_of_which_most_is_a_common_line_meet_pairwise(spark, others):
+    """Texts with a line of 44 words share 40 shingles of 46 with the first text, too few; pairs that also share the three words before and after it have a passage."""
+    r = random.Random(31)
+    own = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    rows, want = [], set()
+    for k in range(8):
+        line = own(44)
+        rows += [(1000 * k + j, f"{own(50)} {line} {own(50)}") for j in range(others)]
+        passage = f"{own(3)} {line} {own(3)}"
+        rows += [(1000 * k + 900 + j, f"{own(40)} {passage} {own(40)}") for j in range(3)]
+        want |= {(1000 * k + 900 + i, 1000 * k + 900 + j) for i in range(3) for j in range(i)}
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot in (2, 10**9):
+        got = {(g.doc_id, g.other_id) for g in passages.repeated_passages(docs, hot=hot).collect()}
+        links = got | {(a, b) for a, x in got for b, y in got if x == y and b < a}  # equal to the same third
+        assert got <= want <= links
+        if others < 6:
+            assert got == want
+
+
+def test_windows_of_a_large_group_that_may_share_a_passage():
+    r = np.random.default_rng(3)
+    line = r.integers(1, 65536, 91).astype(np.uint16)
+    near = np.array([np.where((np.arange(91) >= 45 - k % 60) & (np.arange(91) <= 45 + k // 2 % 40), line, r.integers(1, 65536, 91)) for k in range(300)]).astype(np.uint16)
+    near[::7, 60:] = 0
+    common = passages.shared_around(near)
+    for i, j in r.integers(0, 300, (400, 2)).tolist():
+        assert i == j or common[i, j] == np.isin(near[i][near[i] > 0], near[j]).sum()
+    for part in (np.zeros(300, int), r.integers(0, 2, 300)):
+        x, y = passages.pairs_around(near, part, 41)
+        pairs = {(min(p), max(p)) for p in zip(x.tolist(), y.tolist(), strict=True)}
+        equal = {frozenset((i, j)) for i in range(300) for j in range(i) if passages_equal(near[i], near[j])}
+        beside = {i: {j for j in range(300) if frozenset((i, j)) in equal and (min(i, j), max(i, j)) in pairs} for i in range(300)}
+        for i in range(300):
+            for j in range(i):
+                if max(common[i, j], common[j, i]) >= 41 and not (part.any() and part[i] == part[j]):
+                    assert (j, i) in pairs or beside[i] & beside[j]
+
+
+def passages_equal(a, b):
+    same = (a == b) & (a > 0)
+    lo = hi = 45
+    while lo and same[lo - 1]:
+        lo -= 1
+    while hi < 90 and same[hi + 1]:
+        hi += 1
+    return hi - lo + 1 >= 46
