@@ -5,11 +5,12 @@ import random
 import re
 import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from strandline.llm import html_text, kernels, licenses, mixing, near_dedup, passages, quality_model, quality_rules, repeated_bytes, secrets
+from strandline.llm import html_text, kernels, licenses, meeting, mixing, near_dedup, passages, quality_model, quality_rules, repeated_bytes, secrets, shared
 from strandline.llm.decontaminate import contaminated_spans
 from strandline.llm.shared import settle
 
@@ -688,6 +689,52 @@ def test_windows_of_a_large_group_that_may_share_a_passage():
                     assert (j, i) in pairs or beside[i] & beside[j]
 
 
+def test_passages_leave_no_tables_that_are_not_read_any_more(spark):
+    r = random.Random(41)
+    near = text(r, 70).split()
+    rows = [(k, " ".join([*near[: 20 + k], word(r), *near[21 + k :], *text(r, 30).split()])) for k in range(30)]
+    folder = Path(shared.shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    df = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = [set(spark.read.parquet(str(p)).columns) for p in set(folder.iterdir()) - before]
+    assert not any({"around", "before", "first_before", "low", "least", "seat", "b"} & names for names in left)
+    assert len({g.doc_id for g in df.collect()}) == 29
+
+
+@pytest.mark.parametrize("seats", [256, 4])
+def test_texts_meet_once_in_a_cell_of_many_pairs(spark, seats, monkeypatch):
+    monkeypatch.setattr(meeting, "SEATS", seats)
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(45)], "doc_id long, text string")
+    pairs = [(a, b, a) for a in range(40) for b in range(a)] + [(41, 40, 7), (42, 41, 8)]
+    rows = meeting.meet_in_cells(spark.createDataFrame(pairs, "a long, b long, extra long"), docs, "extra").collect()
+    texts = {(g.u, g.v, g.doc_id) for g in rows if g.other_id is None}
+    told = [g for g in rows if g.other_id is not None]
+    assert Counter((g.doc_id, g.other_id, g.extra) for g in told) == Counter(pairs)
+    assert all({(g.u, g.v, g.doc_id), (g.u, g.v, g.other_id)} <= texts and g.packed is None for g in told)
+    assert len(rows) - len(told) == len(texts)
+    assert len(texts) <= 45 if seats > 40 else len(texts) < 600
+
+
+def test_places_that_are_not_searched_hold_no_passage(monkeypatch):
+    """The bound on what is matched around a place leaves out no passage: searching every place gives the same."""
+    r = np.random.default_rng(8)
+    some = 0
+    for k in range(60):
+        x = r.integers(1, 1 << 60, 260).astype(np.uint64)
+        y = x.copy()
+        y[r.random(260) < 0.05 + 0.15 * (k % 4) / 3] = r.integers(1, 1 << 60)
+        y = np.delete(y, r.integers(0, 260, k % 5))
+        row, col = np.nonzero(x[:, None] == y)
+        pick = r.random(len(row)) < 0.1
+        args = x, y, (row - col)[pick], row[pick], 0.8
+        got = set(passages.passages_between(*args))
+        with monkeypatch.context() as m:
+            m.setattr(passages, "_most_around", lambda match, at, similar: np.zeros(len(at)))
+            assert got == set(passages.passages_between(*args))
+        some += bool(got)
+    assert 10 < some < 60
+
+
 def passages_equal(a, b):
     same = (a == b) & (a > 0)
     lo = hi = 45
