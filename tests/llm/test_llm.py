@@ -689,6 +689,68 @@ def test_windows_of_a_large_group_that_may_share_a_passage():
                     assert (j, i) in pairs or beside[i] & beside[j]
 
 
+def tops(n, links):
+    above = list(range(n))
+    for i, j in links:
+        x, y = above[i], above[j]
+        above = [min(x, y) if a in (x, y) else a for a in above]
+    return above
+
+
+def test_rows_of_near_copies_grow_with_their_number_and_not_with_their_pairs(spark):
+    r = random.Random(53)
+    rows, per = [], {}
+    for k, n in enumerate((30, 120)):
+        copy = [f"w{r.randrange(10**9)}" for _ in range(130)]
+        for j in range(n):
+            words = list(copy)
+            words[r.randrange(130)] = word(r)
+            rows.append((1000 * k + j, " ".join(words)))
+    r.shuffle(rows)
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    for k, n in enumerate((30, 120)):
+        mine = [g for g in got if g.doc_id // 1000 == k]
+        assert tops(n, {(g.doc_id - 1000 * k, g.other_id - 1000 * k) for g in mine}) == [0] * n
+        per[n] = len(mine) / n
+    assert per[120] < 1.3 * per[30] < 8
+
+
+@pytest.mark.parametrize("block, small", [(1024, 64), (16, 64), (16, 4)])
+def test_links_of_a_group_join_what_all_its_pairs_join(monkeypatch, block, small):
+    monkeypatch.setattr(passages, "BLOCK", block)
+    monkeypatch.setattr(passages, "SMALL", small)
+    monkeypatch.setattr(passages, "IDLE", 2)
+    r = np.random.default_rng(block + small)
+    some = lambda n: r.integers(1, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+    for n in (9, 40, 40):
+        copies, line, near = [some(140) for _ in range(5)], some(20), np.zeros((n, 91), np.uint32)
+        for k in range(n):
+            x = copies[r.integers(5)].copy()
+            x[60:80] = line  # all share a line around the middle
+            for q in r.choice(np.r_[0:60, 80:130], r.integers(0, 5)).tolist():
+                less, more = ((5, 5), (4, 5), (5, 4))[r.integers(3)]  # a word substituted, inserted or missing
+                x = np.concatenate([x[:q], some(more), x[q + less :]])
+                if q < 60:  # the line stays in its place
+                    x = np.concatenate([some(max(0, less - more)), x[max(0, more - less) :]])
+            near[k] = x[25:116]
+            near[k, : r.integers(0, 45) * (k % 3 == 0)] = 0
+            near[k, 91 - r.integers(0, 45) * (k % 4 == 0) :] = 0
+        ids = r.integers(0, n, n)
+        links = list(zip(*(v.tolist() for v in passages.links_around(near, ids, 0.8)), strict=True))
+        true = lambda i, j: ids[i] != ids[j] and (passages._aligned(near[i : i + 1], near[j : j + 1], 40.8)[0] or passages._shifted(near[i], near[j], 0.8))
+        assert all(true(i, j) for i, j in links) and len(links) == n - len(set(tops(n, links)))
+        assert tops(n, links) == tops(n, [(i, j) for i in range(n) for j in range(i) if true(i, j)])
+
+
+def test_windows_at_the_ends_of_their_texts_share_no_more_than_the_texts_have():
+    """A text that ends with the 41 periodic shingles that another begins with has none of it in the five places before them."""
+    at = np.arange(91)
+    x = np.where(at < 45, 100 + at, np.where(at < 86, 1 + at % 6, 0)).astype(np.uint32)
+    y = np.where(at < 45, 0, np.where(at < 86, 1 + at % 6, 200 + at)).astype(np.uint32)
+    assert not passages._aligned(x[None], y[None], 40.8)[0] and not passages._shifted(x, y, 0.8)
+    assert not len(passages.links_around(np.array([x, y]), np.arange(2), 0.8)[0])
+
+
 def test_passages_leave_no_tables_that_are_not_read_any_more(spark):
     r = random.Random(41)
     near = text(r, 70).split()
